@@ -23,7 +23,6 @@ from . import text as tx
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-
 #: Parts words in a batch for the tokenizer; a single token.
 MARK = b"^"
 
@@ -43,13 +42,16 @@ class Words(dict):
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
 
     def ids(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            missing = [w for w in dict.fromkeys(words) if w not in self]
+        self.fill(words)
+        return b"".join(map(self.__getitem__, words))
+
+    def fill(self, words: list[bytes]) -> None:
+        missing = list(set(words).difference(self))
+        if not missing:
+            return
         if len(self) + len(missing) > self.most:
             self.clear()
-            missing = list(dict.fromkeys(words))
+            missing = list(set(words))
         # One call for many words costs a third of a call each: they are parted by MARK, a token that words without it never give.
         plain = [w for w in missing if MARK not in w]
         for at in range(0, len(plain), 20_000):
@@ -61,7 +63,6 @@ class Words(dict):
         for w in missing:
             if MARK in w:
                 self[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
 
 
 @functools.lru_cache(1)
@@ -168,8 +169,10 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, cached_w
         end, rows = np.array([end_id], "<u4").tobytes(), []
         for batch in batches:
             for ids, data, offsets in tx.slices(batch.column(0), batch.column(1), 1 << 20):
-                for i, doc in enumerate(tx.plain_ids(ids)):
-                    rows += packer.put(doc, words.ids(bytes(data[offsets[i] : offsets[i + 1]]).split()) + end)
+                texts = [bytes(data[a:b]).split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                words.fill([w for t in texts for w in t])
+                for doc, t in zip(tx.plain_ids(ids), texts, strict=True):
+                    rows += packer.put(doc, b"".join(map(words.__getitem__, t)) + end)
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
