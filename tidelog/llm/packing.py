@@ -46,7 +46,7 @@ class Words(dict):
         return b"".join(map(self.__getitem__, words))
 
     def fill(self, words: list[bytes]) -> None:
-        missing = list(set(words).difference(self))
+        missing = [w for w in set(words) if w not in self]
         if not missing:
             return
         if len(self) + len(missing) > self.most:
