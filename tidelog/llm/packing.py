@@ -13,6 +13,7 @@ carried as they come. An empty table gives no piece.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -23,54 +24,126 @@ from . import text as tx
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-#: Parts words in a batch for the tokenizer; a single token.
+#: Parts strings in a batch for the tokenizer; a single token.
 MARK = b"^"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = ~_LETTER
+_SIGN[128:] = False
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
-class Words(dict):
-    """UTF-8 words -> little-endian 32-bit ids of the tokenizer, filled by the batch and emptied when it holds too many.
+class Tokens:
+    """Token ids of texts, looked up by the hash of a word's parts in an open-addressing table that the tokenizer fills.
 
-    The tokenizer drops white space and its split never joins across it, so a text's ids are those of its words in turn."""
+    The tokenizer drops white space, lower-cases, and splits words where a run of letters ends, never joining across such a place. So
+    a text's ids are those of its words' parts in turn: the letters a word begins with (when a sign of ASCII follows a letter of ASCII or
+    Latin-1), and the rest. Texts that may hold special tokens are encoded whole."""
 
-    def __init__(self, path: str, most: int):
+    BITS = 21
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a run
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.where = np.zeros(1 << self.BITS, np.int32)
+        self.first = np.zeros(1, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 if it has none."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            k = self.keys[slot[left]]
+            hit = k == h[left]
+            out[left[hit]] = self.where[slot[left[hit]]]
+            left = left[~hit & (k != 0)]
+            slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
+        return out
 
-    def ids(self, words: list[bytes]) -> bytes:
-        self.fill(words)
-        return b"".join(map(self.__getitem__, words))
-
-    def fill(self, words: list[bytes]) -> None:
-        missing = [w for w in set(words) if w not in self]
-        if not missing:
-            return
-        if len(self) + len(missing) > self.most:
-            self.clear()
-            missing = list(set(words))
-        # One call for many words costs a third of a call each: they are parted by MARK, a token that words without it never give.
-        plain = [w for w in missing if MARK not in w]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([(b"\n" + MARK + b"\n").join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            data = ids.tobytes()
-            self.update(zip(part, [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)], strict=True))
-        for w in missing:
-            if MARK in w:
-                self[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def add(self, h: np.ndarray, parts: list[bytes]) -> None:
+        ids = self.encode(parts)
+        entry = np.arange(len(h), dtype=np.int32) + np.int32(len(self.first) - 1)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        self.pool = np.concatenate([self.pool, *ids])
+        slot, left = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = h[free]
+            won = left[self.keys[slot[left]] == h[left]]
+            self.where[slot[won]] = entry[won]
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
+
+    def encode(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Many short strings in a few calls: runs of letters are parted by the tokens that end a run, others by MARK."""
+        call = lambda text: np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+        out: list = [None] * len(parts)
+        runs = [i for i, p in enumerate(parts) if _LETTERS.fullmatch(p)]
+        known = set(runs)
+        for at in range(0, len(runs), 20_000):
+            ids = call(b"\n".join([parts[i] for i in runs[at : at + 20_000]]))
+            for i, x in zip(runs[at : at + 20_000], np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1), strict=True):
+                out[i] = x
+        others = [i for i in range(len(parts)) if i not in known and MARK not in parts[i]]
+        for at in range(0, len(others), 20_000):
+            ids = call((b"\n" + MARK + b"\n").join([parts[i] for i in others[at : at + 20_000]]))
+            cuts = np.flatnonzero(ids == self.mark)
+            for i, a, b in zip(others[at : at + 20_000], [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
+                out[i] = ids[a:b]
+        return [call(p) if x is None else x for p, x in zip(parts, out, strict=True)]
+
+    def documents(self, data, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each document, as little-endian 32-bit numbers."""
+        special = {d for d in range(len(offsets) - 1) if b"<|" in bytes(data[offsets[d] : offsets[d + 1]])} if b"<|" in bytes(data) else set()
+        buf = tx.LOWER[np.frombuffer(data, np.uint8)]
+        starts, ends, first = tx.words(buf, offsets)
+        signs = np.append(np.flatnonzero(_SIGN[buf]), len(buf))
+        cut = signs[np.searchsorted(signs, starts)]
+        one, two = buf[np.maximum(cut - 1, 0)], buf[np.maximum(cut - 2, 0)]
+        cuts = (cut > starts) & (cut < ends) & (_LETTER[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7) & (cut - 2 >= starts)))
+        count = 1 + cuts.astype(np.int64)
+        lead = np.cumsum(count) - count  # index of a word's first part
+        a, b = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+        a[lead], b[lead] = starts, np.where(cuts, cut, ends)
+        a[lead[cuts] + 1], b[lead[cuts] + 1] = cut[cuts], ends[cuts]
+        h = np.maximum(tx.range_hashes(buf, a, b), np.uint64(1))
+        entry = self.find(h)
+        if (miss := np.flatnonzero(entry < 0)).size:
+            if len(self.first) + len(miss) > 1 << (self.BITS - 1):
+                self.clear()
+                miss = np.arange(len(h))
+            new, at = np.unique(h[miss], return_index=True)
+            raw = buf.tobytes()
+            self.add(new, [raw[x:y] for x, y in zip(a[miss[at]].tolist(), b[miss[at]].tolist(), strict=True)])
+            entry = self.find(h)
+        n = np.diff(self.first)[entry] if len(entry) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.first[entry] - before[:-1], n) + np.arange(before[-1])]
+        edge = before[np.append(lead, len(a))[first]].tolist()
+        out = [ids[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        for d in special:
+            out[d] = np.array(self.tokenizer.encode(str(data[offsets[d] : offsets[d + 1]], "utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @functools.lru_cache(1)
-def words_of(path: str, most: int) -> Words:
+def tokens_of(path: str) -> Tokens:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Words(path, most)
+    return Tokens(path)
 
 
 class Packer:
@@ -100,18 +173,15 @@ class Packer:
         return out
 
     def level(self, length: int) -> int:
-        """The fill level to join. Moving a window from h to g changes the sum of squares by 2 (N(g) - N(h) + 1) + ..., as below."""
+        """The fill level to join: a window that moves from h to g changes N(h)^2 + N(g)^2; ties go to the fullest window."""
         size, count = self.size, self.count
-        fits = size - length
-        delta = np.full(fits + 1, np.iinfo(np.int64).max)
-        h = np.flatnonzero(count[: fits + 1])
-        gain = 1 - 2 * count[h]  # N(h) falls by one
+        h = np.flatnonzero(count[: size - length + 1])
+        if not len(h):
+            return 0
         goal = h + length
-        rise = np.where(goal < size, 2 * count[np.minimum(goal, size - 1)] + 1, 0)  # N(goal) grows by one, unless full
-        delta[h] = gain + rise
-        delta[0] = 2 * count[length] + 1  # opens a window
-        least = delta.min()
-        return int(np.flatnonzero(delta == least)[-1])  # ties: the fullest
+        change = 2 - 2 * count[h] + 2 * np.append(count, -1)[goal]  # N(h) falls and N(goal) grows by one; a full window has no level
+        best = len(h) - 1 - int(change[::-1].argmin())
+        return int(h[best]) if change[best] <= 2 * count[length] + 1 else 0
 
     def _place(self, doc, start, ids, tokens) -> list[tuple]:
         length = len(ids) // 4
@@ -159,20 +229,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], SCHEMA.replace(" bigint", "").split(", "))
 
 
-def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, cached_words: int = 600_000) -> DataFrame:
-    """One row per piece. The tokenizer file must lie at `path` on each executor; cached_words bounds a worker's word cache."""
+def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2) -> DataFrame:
+    """One row per piece. The tokenizer file must lie at `path` on each executor."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        words, packer = words_of(path, cached_words), Packer(size, TaskContext.get().partitionId() << 40)
+        tokens, packer = tokens_of(path), Packer(size, TaskContext.get().partitionId() << 40)
         end, rows = np.array([end_id], "<u4").tobytes(), []
         for batch in batches:
             for ids, data, offsets in tx.slices(batch.column(0), batch.column(1), 1 << 20):
-                texts = [bytes(data[a:b]).split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                words.fill([w for t in texts for w in t])
-                for doc, t in zip(tx.plain_ids(ids), texts, strict=True):
-                    rows += packer.put(doc, b"".join(map(words.__getitem__, t)) + end)
+                for doc, x in zip(tx.plain_ids(ids), tokens.documents(data, offsets), strict=True):
+                    rows += packer.put(doc, x + end)
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
