@@ -19,6 +19,12 @@ REQUEST = "bucket int, chunk int, n int, keys binary, vals binary"
 REPLY = "chunk int, bucket int, vals binary"
 
 
+def typed(fn: Callable, *tables: str) -> Callable:
+    """Marks fn(key, table...) -> table for applyInArrow."""
+    fn.__annotations__ = {"key": tuple[pa.Scalar, ...], **{t: pa.Table for t in tables}, "return": pa.Table}
+    return fn
+
+
 def pack_bits(values: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each value."""
     if not width or not len(values):

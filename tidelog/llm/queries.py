@@ -39,6 +39,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .classifier import fit, score
 
@@ -47,7 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op7_packing, op8_token_counts, op10_quality_classifier)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -98,9 +98,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    requests = dealt.groupBy("chunk").applyInArrow(ask, ex.REQUEST)
+    requests = dealt.groupBy("chunk").applyInArrow(ex.typed(ask, "table"), ex.REQUEST)
     replies = ex.answer(requests, bits, beaten)
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(remove, SCHEMA + (", kept string" if with_text else ""))
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ex.typed(remove, "table", "replies"), SCHEMA + (", kept string" if with_text else ""))
 
 
 #: The same rows (without intervals) in DuckDB.
