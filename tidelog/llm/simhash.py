@@ -8,8 +8,8 @@ of the 2^(radius+1) - 1 non-zero vectors v, the mask holds the positions with <p
 some v is orthogonal to all their vectors, so the pair agrees on that mask and meets in its bucket. phi deals the vectors out evenly.
 
 Only distinct fingerprints are dealt into buckets (copies share one). A bucket of more than `most` fingerprints is split by the bits outside
-its mask: cut into radius + 1 blocks, a linked pair agrees on one of them, so the pair meets in a bucket of (mask, block, its bits) as well; this
-repeats until the bits that are left bound the bucket. In a bucket, pairs are compared in blocks of numpy arrays and only a spanning
+its mask: all positions are dealt into radius + 1 classes, a linked pair agrees on one of them, so the pair meets in a bucket of the mask with
+that class added; this repeats with other classes. In a bucket, pairs are compared in blocks of numpy arrays and only a spanning
 forest of its links leaves. Components come from alternating large-star and small-star steps, with a checkpoint each.
 
 Results: a null text has no words. A null doc_id takes part in no component: its component_id is null, and its fingerprint is given. Rows that
@@ -28,7 +28,6 @@ from . import text as tx
 from .shared import checkpoint
 
 BITS = 64
-_ONE = np.uint64(1)
 
 
 def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
@@ -131,46 +130,37 @@ def _linker(radius: int):
     return run
 
 
-def _blocks(free: list[int], parts: int) -> list[list[int]]:
-    return [free[i::parts] for i in range(parts)]
+def _long(mask: int):
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
-def _bits_at(fp, mask: int):
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+def _classes(level: int, parts: int) -> list[int]:
+    """All bit positions dealt into `parts` classes, another way at each level."""
+    deal = np.random.default_rng(level).permutation(BITS) % parts
+    return [sum(1 << i for i in range(BITS) if deal[i] == j) for j in range(parts)]
 
 
-def candidate_links(distinct: DataFrame, radius: int = 3, most: int = 2048) -> DataFrame:
-    """Links a-b between distinct fingerprints (column fp), a forest per bucket. `most` bounds the bucket that one task compares."""
-    spec = [(m, m) for m in masks(radius)]  # what a bucket's rows agree on; its name
-    frame = distinct.select("fp")
+def candidate_links(distinct: DataFrame, radius: int = 3, most: int = 2048, levels: int = 12) -> DataFrame:
+    """Links a-b between distinct fingerprints (column fp), a forest per bucket.
+
+    Buckets of up to `most` are compared; the rows of larger ones go on to finer masks (a look at the counts per level, no data leaves
+    the executors). After `levels` levels whatever is left is compared as it is, so no link is lost."""
+    rows = distinct.select("fp", F.explode(F.array(*map(_long, masks(radius)))).alias("m"))
     found = None
-    while spec:
-        table = F.array(*[F.xxhash64(F.lit(i), _bits_at(F.col("fp"), m)) for i, (m, _) in enumerate(spec)])
-        keyed = frame.select("fp", F.posexplode(table).alias("table", "key"))
-        final = all(BITS - bin(m).count("1") <= most.bit_length() - 1 for m, _ in spec)
-        if not final:
-            counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-            heavy = checkpoint(counts.where(F.col("n") > most).select("key"))
+    for level in range(levels + 1):
+        keyed = rows.withColumn("key", F.xxhash64("m", F.col("fp").bitwiseAND(F.col("m"))))
+        light, hot = keyed, 0
+        if level < levels:
+            heavy = checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"))
             hot = heavy.count()
-        else:
-            hot = 0
-        light = keyed
         if hot:
             light = keyed.join(heavy, "key", "left_anti")
         part = light.select("key", "fp").repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(_linker(radius), "a bigint, b bigint")
         found = part if found is None else found.unionByName(part)
         if not hot:
-            break
-        # Fingerprints of hot buckets meet again in finer ones: each mask with one block of the free bits.
-        frame = checkpoint(keyed.join(heavy, "key", "left_semi").select("fp").distinct())
-        finer = []
-        for m, _ in spec:
-            free = [i for i in range(BITS) if not m >> i & 1]
-            if len(free) < most.bit_length():
-                finer.append((m, m))
-                continue
-            finer += [(m | sum(1 << i for i in block), m) for block in _blocks(free, radius + 1)]
-        spec = list(dict.fromkeys(finer))
+            return found
+        finer = F.array(*[F.col("m").bitwiseOR(_long(c)) for c in _classes(level, radius + 1)])
+        rows = checkpoint(keyed.join(heavy, "key", "left_semi").select("fp", "m").distinct()).select("fp", F.explode(finer).alias("m")).distinct()
     return found
 
 

@@ -105,7 +105,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
 
 #: The same rows (without intervals) in DuckDB.
 ORACLE = """
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
 h AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM s),
 m AS (SELECT k, min(doc_id) AS d FROM h GROUP BY k),
