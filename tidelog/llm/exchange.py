@@ -108,8 +108,10 @@ def requests(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int, tag: int
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "n", "keys", "vals"])
 
 
-def answer(rows: DataFrame, bits: int, combine: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """REPLY for REQUEST. combine(starts, sizes, vals) gets the values in key order with the runs of equal keys, and returns a number for each."""
+def answer(rows: DataFrame, bits: int, combine: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], sums_below: int = 0) -> DataFrame:
+    """REPLY for REQUEST. combine(starts, sizes, vals) gets the values in key order with the runs of equal keys, and returns a number for each.
+
+    A bucket under sums_below adds a row of chunk -1 with the sum of its values (`total`) and its keys whose values' sum is positive."""
 
     def run(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
@@ -121,10 +123,20 @@ def answer(rows: DataFrame, bits: int, combine: Callable[[np.ndarray, np.ndarray
         out = np.empty(len(keys), np.int64)
         out[order] = combine(starts, np.diff(np.append(starts, len(keys))), vals[order])
         cuts = np.cumsum(n)[:-1]
-        return pa.table([table["chunk"], table["bucket"], pa.array([pack_numbers(x) for x in np.split(out, cuts)], pa.binary())], ["chunk", "bucket", "vals"])
+        packed = [pack_numbers(x) for x in np.split(out, cuts)]
+        chunks, buckets = table["chunk"].to_pylist(), table["bucket"].to_pylist()
+        if not sums_below:
+            return pa.table([pa.array(chunks, pa.int32()), pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bucket", "vals"])
+        total, positive = [None] * len(chunks), [None] * len(chunks)
+        if buckets[0] < sums_below:
+            each = np.add.reduceat(vals[order], starts)
+            chunks, buckets, packed = [*chunks, -1], [*buckets, buckets[0]], [*packed, b""]
+            total, positive = [*total, int(each.sum())], [*positive, int((each > 0).sum())]
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip((chunks, buckets, packed, total, positive), types, strict=True)], ["chunk", "bucket", "vals", "total", "positive"])
 
     run.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    return rows.groupBy("bucket").applyInArrow(run, REPLY)
+    return rows.groupBy("bucket").applyInArrow(run, REPLY + (", total bigint, positive bigint" if sums_below else ""))
 
 
 def gathered(replies: pa.Table, keys: np.ndarray, bits: int, tag: int = 0) -> np.ndarray:

@@ -27,6 +27,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("intervals")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -53,7 +65,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_lm_scores, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
