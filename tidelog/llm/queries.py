@@ -15,6 +15,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import line_rules
 
@@ -65,7 +77,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_lm_scores, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_lm_scores, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,3 +18,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the shared folder; its lineage ends there, so a lost executor costs nothing that was done before."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this session."""
+    ready(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
