@@ -1,6 +1,6 @@
 """Row images as columns: the uncompressed row format written and read by generated SQL expressions, so that decoding stays in the JVM.
 
-A TableSpec gives the layout; `encode(spec)` builds an image from plain columns, `decode(spec, image)` gives
+A TableSpec gives the layout; `encode_sql` builds an image from plain columns, `decode` adds
 struct<err string, vals array<string>>: for each column its T-SQL literal, or null. Layout: 4 header bytes (the last two: end of the fixed part),
 fixed columns, column count, null bitmap, count of variable columns and their end offsets (bit 15: stored off the row), their data.
 """
@@ -8,9 +8,10 @@ fixed columns, column count, null bitmap, count of variable columns and their en
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Type ids of the source system.
@@ -112,35 +113,27 @@ def _bytes(value: str, n: int) -> str:
     return "unhex(concat(" + ", ".join(f"substring({h}, {2 * k + 1}, 2)" for k in reversed(range(n))) + "))"
 
 
+def _shortest(x) -> str | None:
+    if x is None or x != x:
+        return None
+    if x in (float("inf"), float("-inf")):
+        return "+Inf" if x > 0 else "-Inf"
+    number = Decimal(repr(float(x)))
+    sign = "-" if number.is_signed() else ""
+    digits = "".join(map(str, number.as_tuple().digits)).rstrip("0") or "0"
+    exponent = number.adjusted() if number else 0
+    if exponent < -4 or exponent >= 6:
+        return f"{sign}{digits[0]}{'.' + digits[1:] if digits[1:] else ''}e{'-' if exponent < 0 else '+'}{abs(exponent):02d}"
+    if exponent < 0:
+        return f"{sign}0.{'0' * (-exponent - 1)}{digits}"
+    whole, rest = digits[: exponent + 1].ljust(exponent + 1, "0"), digits[exponent + 1 :]
+    return f"{sign}{whole}{'.' + rest if rest else ''}"
+
+
 @F.pandas_udf("string")
 def float_literal(values: pd.Series) -> pd.Series:
-    """Shortest digits; exponent form below 1e-4 and from 1e21 or, as printed here, from 1e6 on, with two exponent digits at least."""
-
-    def text(x) -> str | None:
-        if x is None or x != x:
-            return None if x is None else "NaN"
-        if x in (float("inf"), float("-inf")):
-            return "+Inf" if x > 0 else "-Inf"
-        if x == 0:
-            return "-0" if str(x)[0] == "-" else "0"
-        digits, exponent = f"{x:.17e}".split("e")
-        mantissa, _, e = repr(x).partition("e")
-        sign, digits = ("-" if x < 0 else ""), mantissa.replace("-", "").replace(".", "").lstrip("0").rstrip("0")
-        exponent = int(exponent)
-        if len(digits) <= abs(exponent) and abs(float(f"{digits}e{exponent - len(digits) + 1}") - abs(x)) > abs(x) * 1e-15:
-            exponent = int(f"{abs(x):e}".split("e")[1])
-        if exponent < -4 or exponent >= 6 and exponent >= 0 and exponent >= SWITCH:
-            return f"{sign}{digits[0]}{'.' + digits[1:] if digits[1:] else ''}e{'-' if exponent < 0 else '+'}{abs(exponent):02d}"
-        if exponent < 0:
-            return f"{sign}0.{'0' * (-exponent - 1)}{digits}"
-        whole = digits[: exponent + 1].ljust(exponent + 1, "0")
-        return f"{sign}{whole}{'.' + digits[exponent + 1 :] if digits[exponent + 1 :] else ''}"
-
-    return values.map(text)
-
-
-#: From this decimal exponent on a float is printed with an exponent.
-SWITCH = 21
+    """Shortest digits that give the number; with an exponent of two digits or more below 1e-4 and from 1e6 on."""
+    return values.map(_shortest)
 
 
 def _double(b: str, at: str) -> str:
@@ -236,45 +229,53 @@ def literal(c: ColumnSpec, b: str, at: str, size: str) -> str:
     return f"concat('0x', hex({piece}))"
 
 
-def decode_sql(spec: TableSpec, b: str) -> str:
-    """struct(err, vals) of the image b (SQL text). Every column after an error is left out: vals is null then."""
-    n_all, gaps = len(spec.columns), any(c.id != i + 1 for i, c in enumerate(spec.columns))
-    end = _le(b, "3", 2)
-    n = _le(b, f"({end} + 1)", 2)
-    bitmap = f"({end} + 3)"
-    after = f"({bitmap} + ({n} + 7) div 8)"  # position of the count of variable columns
-    n_var = f"if({after} + 1 <= length({b}), {_le(b, after, 2)}, 0)"
-    data = f"({after} + 1 + 2 * {n_var})"  # bytes before the variable data
-    raw = lambda v: f"if({after} + 3 + 2 * {v} <= length({b}), {_le(b, f'({after} + 2 + 2 * {v})', 2)}, 0)"
+def decode(df: DataFrame, spec: TableSpec, image: str, out: str) -> DataFrame:
+    """df with struct<err string, vals array<string>> of the column `image`; vals is null after an error.
+
+    The header is read in steps of their own, so that Catalyst works each offset out once per row."""
+    b, n_all, gaps = image, len(spec.columns), any(c.id != i + 1 for i, c in enumerate(spec.columns))
+    step = lambda d, name, sql: d.withColumn(name, F.expr(sql))
+    d = step(df, "_end", _le(b, "3", 2))
+    d = step(d, "_n", _le(b, "(_end + 1)", 2))
+    d = step(d, "_after", "_end + 3 + (_n + 7) div 8")  # position of the count of variable columns
+    d = step(d, "_vars", f"if(_after + 1 <= length({b}), {_le(b, '_after', 2)}, 0)")
+    n_var = sum(c.variable for c in spec.columns)
+    raw = ", ".join(f"if({v} < _vars and _after + {3 + 2 * v} <= length({b}), {_le(b, f'(_after + {2 + 2 * v})', 2)}, 0)" for v in range(n_var))
+    d = step(d, "_raw", f"array({raw})" if n_var else "cast(array() as array<bigint>)")
     vals, off_row = [], []
     for i, c in enumerate(spec.columns):
-        present = f"({i} < {n} and ({_le(b, f'({bitmap} + {i // 8})', 1)} & {1 << (i % 8)}) = 0)"
+        present = f"{i} < _n and ({_le(b, f'(_end + {3 + i // 8})', 1)} & {1 << (i % 8)}) = 0"
         place = spec.places[c.id]
         if place[0] == "var":
             v = place[1]
-            stop = f"({raw(v)} & 32767)"
-            start = f"({raw(v - 1)} & 32767)" if v else data
-            off_row.append(f"({present} and {v} < {n_var} and {raw(v)} >= 32768)")
-            good = f"{present} and {v} < {n_var} and {start} <= {stop} and {stop} <= length({b})"
-            vals.append(f"if({good}, {literal(c, b, f'({start} + 1)', f'({stop} - {start})')}, null)")
+            stop, start = f"(_raw[{v}] & 32767)", f"(_raw[{v - 1}] & 32767)" if v else "(_after + 1 + 2 * _vars)"
+            off_row.append(f"({present} and {v} < _vars and _raw[{v}] >= 32768)")
+            vals.append(f"if({present} and {v} < _vars and {start} <= {stop} and {stop} <= length({b}), {literal(c, b, f'cast({start} + 1 as int)', f'cast({stop} - {start} as int)')}, null)")
         elif place[0] == "bit":
             at = 5 + place[1]
             vals.append(f"if({present} and {at} <= length({b}), cast(shiftright({_le(b, str(at), 1)}, {place[2]}) & 1 as string), null)")
         else:
             at, size = 5 + place[1], place[2]
-            vals.append(f"if({present} and {at + size - 1} <= length({b}) and {at + size - 1} <= {end}, {literal(c, b, str(at), str(size))}, null)")
+            vals.append(f"if({present} and {at + size - 1} <= length({b}) and {at + size - 1} <= _end, {literal(c, b, str(at), str(size))}, null)")
     err = f"""case when {b} is null or length({b}) < 4 then 'truncated'
-      when {end} < 4 or {end} > length({b}) then 'compressed_row'
-      when {end} + 2 > length({b}) then 'truncated'
-      when {n} > {n_all} {f'or {n} = {n_all}' if gaps else ''} then 'schema_mismatch'
-      when {end} + 2 + ({n} + 7) div 8 > length({b}) then 'truncated'
+      when _end < 4 or _end > length({b}) then 'compressed_row'
+      when _end + 2 > length({b}) then 'truncated'
+      when _n > {n_all} {f'or _n = {n_all}' if gaps else ''} then 'schema_mismatch'
+      when _end + 2 + (_n + 7) div 8 > length({b}) then 'truncated'
       {f"when {' or '.join(off_row)} then 'off_row_lob'" if off_row else ''} end"""
-    return f"named_struct('err', {err}, 'vals', if(({err}) is null, array({', '.join(vals)}), null))"
-
-
-def decode(spec: TableSpec, image: str) -> Column:
-    """struct<err, vals> of the column named `image`."""
-    return F.expr(decode_sql(spec, image))
+    d = step(d, "_err", err)
+    d = step(d, out, f"named_struct('err', _err, 'vals', if(_err is null, array({', '.join(vals)}), null))")
+    return with_floats(d, spec, out).drop("_end", "_n", "_after", "_vars", "_raw", "_err")
+
+
+def with_floats(df: DataFrame, spec: TableSpec, out: str) -> DataFrame:
+    """Float columns' texts in the literal form; the only step that leaves the JVM, and only for tables that have one."""
+    floats = {i for i, c in enumerate(spec.columns) if c.type in (FLOAT, REAL)}
+    if not floats:
+        return df
+    items = [float_literal(F.col(f"{out}.vals")[i].cast("double")) if i in floats else F.col(f"{out}.vals")[i] for i in range(len(spec.columns))]
+    vals = F.when(F.col(f"{out}.err").isNull(), F.array(*items))
+    return df.withColumn(out, F.struct(F.col(f"{out}.err").alias("err"), vals.alias("vals")))
 
 
 def encode_sql(spec: TableSpec, values: dict[str, str], nulls: dict[str, str] | None = None, stored: int | None = None) -> str:
