@@ -94,28 +94,29 @@ def chunk_of(n: int):
     return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n)).cast("int")
 
 
-def requests(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int, tag: int = 0) -> pa.Table:
-    """Rows of REQUEST for sorted distinct keys; `tag` sets apart kinds of keys."""
+def requests(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int, tag: int = 0, drop: int = 0) -> pa.Table:
+    """Rows of REQUEST for sorted distinct keys; `tag` sets apart kinds of keys. `drop` low bits of all keys are zero and are not sent."""
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
     edges = np.concatenate([[0], edges, [len(keys)]])
     rows = []
     for b in np.flatnonzero(np.diff(edges)):
         part = slice(edges[b], edges[b + 1])
         rest = keys[part] - (np.uint64(int(b) << (64 - bits)))
-        rows.append(((tag << bits) + int(b), chunk, part.stop - part.start, pack_sorted(rest, 64 - bits), pack_numbers(vals[part])))
+        rows.append(((tag << bits) + int(b), chunk, part.stop - part.start, pack_sorted(rest >> np.uint64(drop), 64 - bits - drop), pack_numbers(vals[part])))
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     columns = list(zip(*rows, strict=True)) or [()] * 5
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "n", "keys", "vals"])
 
 
-def answer(rows: DataFrame, bits: int, combine: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], sums_below: int = 0) -> DataFrame:
+def answer(rows: DataFrame, bits: int, combine: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], sums_below: int = 0, drops: tuple[int, ...] = (0, 0)) -> DataFrame:
     """REPLY for REQUEST. combine(starts, sizes, vals) gets the values in key order with the runs of equal keys, and returns a number for each.
 
-    A bucket under sums_below adds a row of chunk -1 with the sum of its values (`total`) and its keys whose values' sum is positive."""
+    drops: the bits not sent, by tag. A bucket under sums_below adds a row of chunk -1 with the sum of its values (`total`) and its keys whose values' sum is positive."""
 
     def run(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
-        keys = np.concatenate([unpack_sorted(k, int(m), 64 - bits) for k, m in zip(table["keys"].to_pylist(), n, strict=True)])
+        drop = drops[table["bucket"][0].as_py() >> bits]
+        keys = np.concatenate([unpack_sorted(k, int(m), 64 - bits - drop) for k, m in zip(table["keys"].to_pylist(), n, strict=True)])
         vals = np.concatenate([unpack_numbers(v, int(m)) for v, m in zip(table["vals"].to_pylist(), n, strict=True)])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]

@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import text as tx
-from .shared import checkpoint
+from .shared import written
 
 FOLDS, TEST, DELETED = 7, 2, 3
+#: Low bits of a pair's hash that are left out: 48 bits are kept, so of 1e8 distinct pairs some 20 share a count with another.
+PAIR_DROP = 16
 BUCKETS, STEPS, TOP = 24, 4, 160
 END, BEGIN = np.uint64(0x51A7F0D2B3C49E11), np.uint64(0x0F3C5D7E91B2A486)
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -50,7 +52,7 @@ def _events(table: pa.Table):
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[edge[:-1]] = BEGIN
-        pair = tx.mix(before * np.uint64(0x9FB21C651E98DF25) ^ token)
+        pair = tx.mix(before * np.uint64(0x9FB21C651E98DF25) ^ token) >> np.uint64(PAIR_DROP) << np.uint64(PAIR_DROP)
         yield ids, tx.fold(ids, FOLDS), token, before, pair, edge
 
 
@@ -108,7 +110,7 @@ def fit_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.n
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: contract columns; score is the model's log10 probability of the text and its end."""
-    n_chunks, bits = ex.sizes(docs)
+    n_chunks, bits = ex.sizes(docs, chunk_mb=(8, 32))
     n_deleted = max(48, n_chunks // FOLDS)
     fold = F.expr(f"crc32(encode(coalesce(cast(doc_id as string), ''), 'utf-8')) % {FOLDS}")
     spread = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
@@ -118,13 +120,13 @@ def score(docs: DataFrame) -> DataFrame:
 
     def ask(key, table: pa.Table) -> pa.Table:
         words, pairs = _keys(table)
-        return pa.concat_tables([ex.requests(key[0].as_py(), *words, bits, 0), ex.requests(key[0].as_py(), *pairs, bits, 1)])
+        return pa.concat_tables([ex.requests(key[0].as_py(), *words, bits, 0), ex.requests(key[0].as_py(), *pairs, bits, 1, PAIR_DROP)])
 
     def total(starts, sizes, counts):
         return np.repeat(np.add.reduceat(counts, starts), sizes)
 
     requests = dealt.groupBy("chunk").applyInArrow(ex.typed(ask, "table"), ex.REQUEST)
-    replies = checkpoint(ex.answer(requests, bits, total, sums_below=1 << bits))
+    replies = written(ex.answer(requests, bits, total, sums_below=1 << bits, drops=(0, PAIR_DROP)))
     sums = replies.where("chunk < 0").agg(F.sum("total").alias("n"), F.sum("positive").alias("v")).first()
     n_train, v_train = int(sums["n"] or 0), int(sums["v"] or 0)
     replies = replies.where("chunk >= 0").select("chunk", "bucket", "vals")
