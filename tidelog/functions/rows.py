@@ -13,6 +13,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Type ids of the source system.
 BIT, TINYINT, SMALLINT, INT, BIGINT, REAL, FLOAT, SMALLMONEY, MONEY, DECIMAL, NUMERIC = 104, 48, 52, 56, 127, 59, 62, 122, 60, 106, 108
@@ -130,7 +131,7 @@ def _shortest(x) -> str | None:
     return f"{sign}{whole}{'.' + rest if rest else ''}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def float_literal(values: pd.Series) -> pd.Series:
     """Shortest digits that give the number; with an exponent of two digits or more below 1e-4 and from 1e6 on."""
     return values.map(_shortest)
