@@ -93,3 +93,28 @@ def test_patches():
     assert images.splice(b"abcdef", b"cd", b"XYZ", 2) == b"abXYZef" and images.splice(b"abcdef", b"xx", b"y", 2) is None
     assert images.reverse_patch(b"aaNNbb", b"NN", b"OO") == (b"aaOObb", "ok")
     assert [images.reverse_patch(b"aNaN", x, y)[1] for x, y in ((b"N", b"O"), (b"Z", b"O"), (b"N", b"OO"), (b"", b""))] == ["ambiguous", "not_found", "length_change", "length_change"]
+
+
+def test_fragments():
+    # "one" -> "three" at 4 and "xx" -> "y" at 10 (12 after the first change).
+    c0, c1, c3 = struct.pack("<HHHH", 4, 4, 10, 12), struct.pack("<HH", 3, 2), b"MARK"
+    record = b"HEADHEAD" + c3 + b"one\0" + b"three\0\0\0" + b"xx\0\0" + b"y"
+    parts = images.fragments(c0, c1, c3, record)
+    assert parts == [(4, b"one", b"three"), (10, b"xx", b"y")]
+    assert images.apply_fragments(b"abc one__ xx!", parts) == b"abc three__ y!"
+    assert images.apply_fragments(b"abc two__ xx!", parts) is None
+    assert images.step(b"abc one__ xx!", "LOP_MODIFY_COLUMNS", c0, c1, -1, c3, record)[3] == "splice_columns"
+    assert images.fragments(c0, c1, b"NONE", record) is None and images.fragments(b"", b"", c3, record) is None
+
+
+def test_analyzer(spark):
+    from tidelog.operators import analyzer
+
+    spec = TableSpec("dbo", "Test", (C(1, "ID", rows.INT, nullable=False), C(2, "Val", rows.INT)), (1,))
+    make = lambda a, b: bytearray(image(struct.pack("<ii", a, b), 2))
+    data = [(make(1, 2), make(1, 3), "splice"), (make(1, 2), make(5, 2), "splice"), (make(1, 2), make(1, 2), "splice"), (None, None, "no_image"), (None, None, "ambiguous"), (make(1, 2), bytearray(b"\x30"), "splice")]
+    got = analyzer.analyze(spark.createDataFrame(data, "before_image binary, after_image binary, fold_path string"), spec).collect()
+    assert [r.status for r in got] == ["ok", "ok", "no_changed_columns", "mr1_not_found", "patch_ambiguous", "mr1_decode_failed"]
+    assert got[0].redo == "update top(1) [dbo].[Test] set [Val]=3 where [ID]=1;" and got[0].undo == "update top(1) [dbo].[Test] set [Val]=2 where [ID]=1;"
+    assert got[1].redo == "update top(1) [dbo].[Test] set [ID]=5 where [ID]=1;" and got[1].undo == "update top(1) [dbo].[Test] set [ID]=1 where [ID]=5;"
+    assert [r.confidence for r in got] == ["high", "high", "low", "low", "low", "low"] and got[0].changed[0].column == "Val"

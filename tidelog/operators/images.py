@@ -33,8 +33,55 @@ def reverse_patch(image: bytes, new: bytes, old: bytes) -> tuple[bytes | None, s
     return image[:at] + old + image[at + len(new) :], "ok"
 
 
-def step(state: bytes | None, operation: str, c0: bytes | None, c1: bytes | None, offset: int | None):
-    """(new state, before, after, path) of one record."""
+def _u16(data: bytes, k: int) -> int:
+    return int.from_bytes(data[2 * k : 2 * k + 2], "little")
+
+
+def _up4(n: int) -> int:
+    return -(-n // 4) * 4
+
+
+def fragments(c0: bytes, c1: bytes, c3: bytes, record: bytes) -> list[tuple[int, bytes, bytes]] | None:
+    """(old offset, old bytes, new bytes) of a record that changes several places; None if its parts don't fit.
+
+    c0 has pairs (offset before, offset after), c1 the old lengths; the payload follows c3 in the record, moved on by the remainder of its
+    place by 4 (not to the next multiple), and holds old and new bytes in turn, each padded to 4. A new length follows from how the
+    offsets shift at the next place; the last one takes the rest."""
+    n = len(c0) // 4
+    at = record.find(c3) if c0 and len(c0) % 4 == 0 and len(c1) >= 2 * n else -1
+    if at < 0:
+        return None
+    at += len(c3)
+    data = record[at + at % 4 :] if at + at % 4 <= len(record) else None
+    if data is None:
+        return None
+    moved, out, at = [_u16(c0, 2 * k + 1) - _u16(c0, 2 * k) for k in range(n)], [], 0
+    for k in range(n):
+        size = _u16(c1, k)
+        old, at = data[at : at + size], at + _up4(size)
+        if len(old) < size or at > len(data):
+            return None
+        size = size + moved[k + 1] - moved[k] if k + 1 < n else len(data) - at
+        if size < 0 or at + size > len(data):
+            return None
+        out.append((_u16(c0, 2 * k), old, data[at : at + size]))
+        at = min(at + _up4(size), len(data))
+    return out
+
+
+def apply_fragments(image: bytes, parts: list[tuple[int, bytes, bytes]]) -> bytes | None:
+    """The image with all parts spliced in; None if any old bytes are not where they should be."""
+    shift = 0
+    for offset, old, new in parts:
+        image = splice(image, old, new, offset + shift)
+        if image is None:
+            return None
+        shift += len(new) - len(old)
+    return image
+
+
+def step(state: bytes | None, operation: str, c0: bytes | None, c1: bytes | None, offset: int | None, c3: bytes | None = None, record: bytes | None = None):
+    """(new state, before, after, path) of one record. A change of several places is tried forward from the image, then backward."""
     c0, c1 = c0 or b"", c1 or b""
     if operation == "LOP_INSERT_ROWS":
         return (c0 or state), None, c0 or None, "insert"
@@ -47,15 +94,20 @@ def step(state: bytes | None, operation: str, c0: bytes | None, c1: bytes | None
             return state, None, None, "no_offset"
         after = splice(state, c0, c1, offset)
         return (after, state, after, "splice") if after is not None else (state, None, None, "not_verified")
+    parts = fragments(c0, c1, c3 or b"", record or b"")
+    after = apply_fragments(state, parts) if parts else None
+    if after is not None:
+        return after, state, after, "splice_columns"
     before, why = reverse_patch(state, c0, c1)
     return (state, before, state, "reverse") if before is not None else (state, None, None, why)
 
 
 def fold(records: DataFrame) -> DataFrame:
-    """Records with page and slot, with before and after images. Needs KEY, lsn, operation, contents0, contents1, offset_in_row.
+    """Records with page and slot, with before and after images. Needs KEY, lsn, operation, contents0, contents1, offset_in_row; contents3 and log_record serve changes of several places.
 
     One shuffle by slot and a sort within partitions; the walk keeps the image of the slot at hand, across batches."""
     names = records.columns
+    extra_names = [n for n in ("contents3", "log_record") if n in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields) + ", " + ADDED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +116,11 @@ def fold(records: DataFrame) -> DataFrame:
             at = {n: batch.schema.get_field_index(n) for n in (*KEY, "operation", "contents0", "contents1", "offset_in_row")}
             keys = list(zip(*(batch.column(at[k]).to_pylist() for k in KEY), strict=True))
             found = []
-            for key, op, c0, c1, off in zip(keys, *(batch.column(at[n]).to_pylist() for n in ("operation", "contents0", "contents1", "offset_in_row")), strict=True):
+            more = [batch.column(batch.schema.get_field_index(n)).to_pylist() if n in extra_names else [None] * batch.num_rows for n in ("contents3", "log_record")]
+            for key, op, c0, c1, off, c3, rec in zip(keys, *(batch.column(at[n]).to_pylist() for n in ("operation", "contents0", "contents1", "offset_in_row")), *more, strict=True):
                 if key != slot:
                     slot, state = key, None
-                state, before, after, path = step(state, op, c0, c1, off)
+                state, before, after, path = step(state, op, c0, c1, off, c3, rec)
                 found.append((before, after, path))
             extra = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.binary(), pa.string()), strict=True)] if found else [pa.array([], t) for t in (pa.binary(), pa.binary(), pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "before_image", "after_image", "fold_path"])
