@@ -92,7 +92,8 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
     closed[line] = CLOSERS[last]  # of equal indexes numpy keeps the last: the line's last word
     failed |= ~closed & (n_in < open_words)
     for m in _BOILERPLATE.finditer(data):
-        failed[np.searchsorted(begin, m.start(), "right") - 1] = True
+        k = np.searchsorted(begin, m.start(), "right") - 1
+        failed[k] |= m.end() <= stop[k]  # not across the end of a document
     lost = tx.per_document(np.where(failed[line], 1, 0), first) if len(line) else np.zeros(n_docs, np.int64)
 
     base_failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
@@ -108,3 +109,21 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
 def line_rules(docs: DataFrame, max_lost: float = 0.5, with_text: bool = False) -> DataFrame:
     """One row per document with counts, verdict and (with_text) the text without its failed lines."""
     return tx.map_documents(docs, lambda *a: judge(*a, max_lost, with_text), SCHEMA + (", cleaned string" if with_text else ""))
+
+
+#: The same rows in DuckDB.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM a WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(8)) AS p FROM g WHERE (doc_id, k) IN (SELECT (doc_id, k) FROM g GROUP BY doc_id, k HAVING count(*) > 1)) GROUP BY doc_id),
+l AS (SELECT doc_id, line, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS v FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+j AS (SELECT doc_id, line, len(v) AS n, 10 * len(list_filter(v, lambda x: regexp_matches(x, '[!?][!?]$'))) > 3 * len(v) OR 10 * len(list_filter(v, lambda x: regexp_matches(x, '[#*$%&<>][#*$%&<>]$'))) > 3 * len(v)
+  OR 10 * len(list_filter(v, lambda x: x = '|' OR x = '>')) > 2 * len(v) OR 10 * len(list_filter(range(1, len(v)), lambda k: v[k] = v[k + 1])) > 3 * len(v)
+  OR (len(v) < 12 AND NOT regexp_matches(v[-1], '[.!?:;"'')\\]]$')) OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(BOILERPLATE)}') AS bad FROM l),
+s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (bad), 0) AS lost FROM j GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM a LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * n_lost_words <= n_words AS kept, n_lost_words FROM f
+"""

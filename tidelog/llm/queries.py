@@ -81,6 +81,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .substring_dedup import ORACLE
+    from . import quality_rules, substring_dedup
 
-    return {"op4_substring_dedup": ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE}
