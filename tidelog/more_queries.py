@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import predicates as P
 from .functions import rows as R
-from .operators import images, resolve, statements
+from .operators import analyzer, deltas, images, resolve, statements
 from .sources import log_sources as src
 
 ORDERS = R.TableSpec(
@@ -184,6 +184,24 @@ def update_redo_undo(spark, sf_dir):
     return _updates(spark, sf_dir).select(F.col("o_orderkey").cast("long").alias("k"), "n", redo.alias("redo"), undo.alias("undo"), there.alias("forward"), back.alias("inverse"))
 
 
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS k, '-- No key in the fragment at offset 12; the changed columns may match more rows than one.' || chr(10) || 'UPDATE [dbo].[orders] SET [o_custkey] = ' || (o_custkey + 1) || ' WHERE [o_custkey] = ' || o_custkey || ';' AS forward,
+ '-- No key in the fragment at offset 12; the changed columns may match more rows than one.' || chr(10) || 'UPDATE [dbo].[orders] SET [o_custkey] = ' || o_custkey || ' WHERE [o_custkey] = ' || (o_custkey + 1) || ';' AS inverse FROM orders""")
+def update_from_fragment(spark, sf_dir):
+    """The fragment's place is read from the end of the raw record."""
+    old, new = R._bytes("o_custkey", 8), R._bytes("o_custkey + 1", 8)
+    df = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey", f"{old} AS old", f"{new} AS new")
+    df = df.withColumn("record", F.expr("concat(X'AABBCC', X'0C0008000800', old, new)")).withColumn("at", deltas.fragment_offset("record", "new", "old"))
+    forward, inverse = deltas.delta_update(ORDERS, F.col("delta"), F.col("at"))
+    return deltas.fragment_values(df, ORDERS, "old", "new", "at").select(F.col("o_orderkey").cast("long").alias("k"), forward.alias("forward"), inverse.alias("inverse"))
+
+
+@query("""SELECT status, confidence, count(*) AS n FROM (SELECT CASE WHEN n.n = 3 AND o_orderkey % 3 = 0 THEN 'patch_not_found' ELSE 'ok' END AS status, CASE WHEN n.n = 3 AND o_orderkey % 3 = 0 THEN 'low' ELSE 'high' END AS confidence
+ FROM orders, (SELECT unnest([2, 3]) AS n) n) GROUP BY status, confidence""")
+def update_analysis(spark, sf_dir):
+    folded = images.fold(_slot_history(spark, sf_dir)).where("operation = 'LOP_MODIFY_ROW'")
+    return analyzer.analyze(folded, ORDERS).groupBy("status", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- resolution -----------------------------------------------------------------------------------------------------------------
 
 _RECORD = """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 100 + event_id % 9 ELSE 0 END AS alloc_unit_id, CASE WHEN event_id % 3 = 0 THEN 200 + event_id % 7 ELSE 0 END AS partition_id,
