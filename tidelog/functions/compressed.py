@@ -56,26 +56,24 @@ def unicode_text(data: pd.Series) -> pd.Series:
 
 def _fixed_bytes(v: str, n: int) -> str:
     """n little-endian bytes of a big-endian number of up to n bytes with its sign bit inverted; null if it is longer."""
-    h = f"hex({v})"
-    top = f"cast(conv(substring({h}, 1, 2), 16, 10) as int)"
-    flipped = f"concat(lpad(hex({top} ^ 128), 2, '0'), substring({h}, 3, {2 * n}))"
-    full = f"lpad({flipped}, {2 * n}, if({top} >= 128, '00', 'FF'))"
-    little = "concat(" + ", ".join(f"substring({full}, {2 * k + 1}, 2)" for k in reversed(range(n))) + ")"
-    return f"if(length({v}) = 0, X'{'00' * n}', if(length({v}) > {n}, null, unhex({little})))"
+    little = "concat(" + ", ".join(f"substring(f_, {2 * k + 1}, 2)" for k in reversed(range(n))) + ")"
+    full = f"lpad(concat(lpad(hex(t_ ^ 128), 2, '0'), substring(w_, 3, {2 * n})), {2 * n}, if(t_ >= 128, '00', 'FF'))"
+    body = R._let(f"hex({v})", "w_", R._let("cast(conv(substring(w_, 1, 2), 16, 10) as int)", "t_", R._let(full, "f_", f"unhex({little})")))
+    return f"case when length({v}) = 0 then X'{'00' * n}' when length({v}) <= {n} then {body} end"
 
 
 def _vardecimal(v: str, scale: int) -> str:
     """Sign bit and excess-64 exponent, then digits in groups of ten bits for three of them; cut or padded to the scale."""
     zero = "'0" + ("." + "0" * scale if scale else "") + "'"
     bits = f"array_join(transform(sequence(2, length({v})), k -> lpad(conv(hex(substring({v}, k, 1)), 16, 2), 8, '0')), '')"
-    groups = f"array_join(transform(sequence(1, greatest(1, (8 * (length({v}) - 1) + 9) div 10)), k -> lpad(conv(rpad(substring({bits}, 10 * k - 9, 10), 10, '0'), 2, 10), 3, '0')), '')"
-    digits = f"ltrim('0', if(length({v}) < 2, '', {groups}))"
-    head = f"cast(conv(hex(substring({v}, 1, 1)), 16, 10) as int)"
-    point = f"(({head} & 127) - 63)"
-    padded = f"if({point} <= 0, concat(repeat('0', 1 - {point}), {digits}), rpad({digits}, greatest(length({digits}), {point}), '0'))"
-    at = f"greatest(1, {point})"
-    text = f"concat(substring({padded}, 1, {at}), {f"'.', rpad(substring({padded}, {at} + 1, {scale}), {scale}, '0')" if scale else "''"})"
-    return f"if(length({v}) = 0 or {digits} = '', {zero}, concat(if({head} >= 128 or {text} = {zero}, '', '-'), {text}))"
+    groups = f"array_join(transform(sequence(1, greatest(1, (8 * (length({v}) - 1) + 9) div 10)), k -> lpad(conv(rpad(substring(b_, 10 * k - 9, 10), 10, '0'), 2, 10), 3, '0')), '')"
+    digits = f"if(length({v}) < 2, '', {R._let(bits, 'b_', f'ltrim({chr(39)}0{chr(39)}, {groups})')})"
+    text = f"concat(substring(q_, 1, greatest(1, e_)), {f"'.', rpad(substring(q_, greatest(1, e_) + 1, {scale}), {scale}, '0')" if scale else "''"})"
+    padded = "if(e_ <= 0, concat(repeat('0', 1 - e_), g_), rpad(g_, greatest(length(g_), e_), '0'))"
+    signed = R._let(text, "r_", f"concat(if(o_ >= 128 or r_ = {zero}, '', '-'), r_)")
+    body = R._let(digits, "g_", f"if(g_ = '', {zero}, {R._let(padded, 'q_', signed)})")
+    head = R._let(f"cast(conv(hex(substring({v}, 1, 1)), 16, 10) as int)", "o_", R._let("(o_ & 127) - 63", "e_", body))
+    return f"case when length({v}) = 0 then {zero} when {v} is not null then {head} end"
 
 
 def decode(df: DataFrame, spec: R.TableSpec, image: str, out: str) -> DataFrame:
@@ -112,10 +110,7 @@ def decode(df: DataFrame, spec: R.TableSpec, image: str, out: str) -> DataFrame:
             e = F.expr(f"if({v} is null, null, if(length({v}) = 0, '0', conv(hex(substring({v}, 1, 1)), 16, 10)))")
         elif c.type in INT_LIKE:
             raw = _fixed_bytes(v, INT_LIKE[c.type])
-            if c.type in (R.MONEY,):
-                e = F.expr(R._money(R._signed(raw, "1", 8)))
-            else:
-                e = F.expr(R.literal(c, raw, "1", str(INT_LIKE[c.type])))
+            e = F.expr(R._let(raw, "i_", R._money(R._signed("i_", "1", 8)) if c.type == R.MONEY else R.literal(c, "i_", "1", str(INT_LIKE[c.type]))))
         elif c.type in (R.REAL, R.FLOAT):
             w = R.fixed_size(c)
             raw = f"if(length({v}) > {w}, null, unhex(lpad(hex({v}), {2 * w}, '0')))"

@@ -97,21 +97,29 @@ class TableSpec:
 # ---- numbers in bytes, as SQL text: b is a binary expression, at a 1-based position -------------------------------------------------
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with `name` standing for value, which is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _le(b: str, at: str, n: int, kind: str = "bigint") -> str:
     """Unsigned little-endian number of n bytes."""
-    parts = ", ".join(f"substring({b}, {at} + {k}, 1)" for k in reversed(range(n)))
-    return f"cast(conv(hex(concat({parts})), 16, 10) as {kind})"
+    if n == 1:
+        return f"cast(conv(hex(substring({b}, {at}, 1)), 16, 10) as {kind})"
+    parts = ", ".join(f"substring(h_, {2 * k + 1}, 2)" for k in reversed(range(n)))
+    return _let(f"hex(substring({b}, {at}, {n}))", "h_", f"cast(conv(concat({parts}), 16, 10) as {kind})")
 
 
 def _signed(b: str, at: str, n: int) -> str:
-    u = _le(b, at, n, "decimal(20,0)")
-    return f"cast(if({u} >= {1 << (8 * n - 1)}BD, {u} - {1 << (8 * n)}BD, {u}) as bigint)"
+    if n < 8:
+        return _let(_le(b, at, n), "u_", f"if(u_ >= {1 << (8 * n - 1)}, u_ - {1 << (8 * n)}, u_)")
+    return _let(_le(b, at, n, "decimal(20,0)"), "u_", f"cast(if(u_ >= {1 << 63}BD, u_ - {1 << 64}BD, u_) as bigint)")
 
 
 def _bytes(value: str, n: int) -> str:
     """n little-endian bytes of an integer expression (two's complement)."""
-    h = f"lpad(right(hex(cast({value} as bigint)), {2 * n}), {2 * n}, '0')"
-    return "unhex(concat(" + ", ".join(f"substring({h}, {2 * k + 1}, 2)" for k in reversed(range(n))) + "))"
+    parts = ", ".join(f"substring(x_, {2 * k + 1}, 2)" for k in reversed(range(n)))
+    return _let(f"lpad(right(hex(cast({value} as bigint)), {2 * n}), {2 * n}, '0')", "x_", f"unhex(concat({parts}))")
 
 
 def _shortest(x) -> str | None:
@@ -139,16 +147,14 @@ def float_literal(values: pd.Series) -> pd.Series:
 
 def _double(b: str, at: str) -> str:
     """IEEE 754 double from its bytes, exactly: sign, exponent and mantissa put together by powers of two."""
-    hi, lo = _le(b, f"({at} + 4)", 4), _le(b, at, 4)
-    e, m = f"(shiftright({hi}, 20) & 2047)", f"(({hi} & 1048575) * 4294967296 + {lo})"
-    power = f"if({e} = 0, {m} * pow(2D, -1074), (1 + {m} * pow(2D, -52)) * pow(2D, {e} - 1023))"
-    return f"(if({hi} >= 2147483648, -1D, 1D) * ({power}))"
+    power = "if(e_ = 0, m_ * pow(2D, -1074), (1 + m_ * pow(2D, -52)) * pow(2D, e_ - 1023))"
+    body = _let("shiftright(hi_, 20) & 2047", "e_", _let(f"(hi_ & 1048575) * 4294967296 + {_le(b, at, 4)}", "m_", f"if(hi_ >= 2147483648, -1D, 1D) * {power}"))
+    return _let(_le(b, f"({at} + 4)", 4), "hi_", body)
 
 
 def _single(b: str, at: str) -> str:
-    v = _le(b, at, 4)
-    e, m = f"(shiftright({v}, 23) & 255)", f"({v} & 8388607)"
-    return f"(if({v} >= 2147483648, -1D, 1D) * if({e} = 0, {m} * pow(2D, -149), (1 + {m} * pow(2D, -23)) * pow(2D, {e} - 127)))"
+    power = "if(e_ = 0, m_ * pow(2D, -149), (1 + m_ * pow(2D, -23)) * pow(2D, e_ - 127))"
+    return _let(_le(b, at, 4), "v_", _let("shiftright(v_, 23) & 255", "e_", _let("v_ & 8388607", "m_", f"if(v_ >= 2147483648, -1D, 1D) * {power}")))
 
 
 def _days(days: str, origin: str) -> str:
@@ -157,9 +163,8 @@ def _days(days: str, origin: str) -> str:
 
 def _clock(ticks: str, scale: int) -> str:
     """HH:MM:SS.fffffff from units of 10^-scale seconds."""
-    t = f"({ticks} * {10 ** (7 - scale)})"
-    sec = f"cast({t} div 10000000 as bigint)"
-    return f"concat(lpad({sec} div 3600, 2, '0'), ':', lpad(({sec} div 60) % 60, 2, '0'), ':', lpad({sec} % 60, 2, '0'), '.', lpad({t} % 10000000, 7, '0'))"
+    parts = "concat(lpad(s_ div 3600, 2, '0'), ':', lpad((s_ div 60) % 60, 2, '0'), ':', lpad(s_ % 60, 2, '0'), '.', lpad(t_ % 10000000, 7, '0'))"
+    return _let(f"{ticks} * {10 ** (7 - scale)}", "t_", _let("t_ div 10000000", "s_", parts))
 
 
 def _quoted(text: str, prefix: str = "") -> str:
@@ -173,15 +178,14 @@ def _decimal(b: str, at: str, size: int, scale: int) -> str:
     else:
         words = [f"cast({_le(b, f'({at} + {1 + 4 * k})', 4)} as decimal(38,0)) * {1 << (32 * k)}BD" for k in range((size - 1) // 4)]
         magnitude = "cast((" + " + ".join(words) + ") as decimal(38,0))"
-    digits = f"lpad(cast({magnitude} as string), greatest(length(cast({magnitude} as string)), {scale + 1}), '0')"
-    text = f"concat(substring({digits}, 1, length({digits}) - {scale}), '.', right({digits}, {scale}))" if scale else digits
-    return f"concat(if(substring({b}, {at}, 1) = X'01' or {magnitude} = 0, '', '-'), {text})"
+    text = f"concat(substring(d_, 1, length(d_) - {scale}), '.', right(d_, {scale}))" if scale else "d_"
+    sign = f"if(substring({b}, {at}, 1) = X'01' or m_ = '0', '', '-')"
+    return _let(f"cast({magnitude} as string)", "m_", _let(f"lpad(m_, greatest(length(m_), {scale + 1}), '0')", "d_", f"concat({sign}, {text})"))
 
 
 def _money(units: str) -> str:
-    u = f"cast({units} as decimal(20,0))"
-    a = f"lpad(cast(abs({u}) as string), greatest(length(cast(abs({u}) as string)), 5), '0')"
-    return f"concat(if({u} < 0, '-', ''), substring({a}, 1, length({a}) - 4), '.', right({a}, 4))"
+    text = "concat(if(n_ < 0, '-', ''), substring(a_, 1, length(a_) - 4), '.', right(a_, 4))"
+    return _let(f"cast({units} as decimal(20,0))", "n_", _let("lpad(cast(abs(n_) as string), greatest(length(cast(abs(n_) as string)), 5), '0')", "a_", text))
 
 
 def literal(c: ColumnSpec, b: str, at: str, size: str) -> str:
@@ -200,10 +204,10 @@ def literal(c: ColumnSpec, b: str, at: str, size: str) -> str:
     if t in (DECIMAL, NUMERIC):
         return _decimal(b, at, fixed_size(c), c.scale)
     if t == SMALLDATETIME:
-        return f"""concat("'", {_days(_le(b, at, 2), '1900-01-01')}, ' ', lpad({_le(b, f'({at} + 2)', 2)} div 60, 2, '0'), ':', lpad({_le(b, f'({at} + 2)', 2)} % 60, 2, '0'), ":00.000'")"""
+        clock = _let(_le(b, f"({at} + 2)", 2), "c_", "concat(lpad(c_ div 60, 2, '0'), ':', lpad(c_ % 60, 2, '0'))")
+        return f"""concat("'", {_days(_le(b, at, 2), '1900-01-01')}, ' ', {clock}, ":00.000'")"""
     if t == DATETIME:
-        ms = f"(({_le(b, at, 4)} * 10) div 3)"
-        clock = f"concat(lpad({ms} div 3600000, 2, '0'), ':', lpad(({ms} div 60000) % 60, 2, '0'), ':', lpad(({ms} div 1000) % 60, 2, '0'), '.', lpad({ms} % 1000, 3, '0'))"
+        clock = _let(f"({_le(b, at, 4)} * 10) div 3", "c_", "concat(lpad(c_ div 3600000, 2, '0'), ':', lpad((c_ div 60000) % 60, 2, '0'), ':', lpad((c_ div 1000) % 60, 2, '0'), '.', lpad(c_ % 1000, 3, '0'))")
         return f"""concat("'", {_days(_signed(b, f'({at} + 4)', 4), '1900-01-01')}, ' ', {clock}, "'")"""
     if t == DATE:
         return f"""concat("'", {_days(_le(b, at, 3), '0001-01-01')}, "'")"""
@@ -215,8 +219,8 @@ def literal(c: ColumnSpec, b: str, at: str, size: str) -> str:
         day = _days(_le(b, f"({at} + {n})", 3), "0001-01-01")
         if t == DATETIME2:
             return f"""concat("'", {day}, ' ', {clock}, "'")"""
-        z = _signed(b, f"({at} + {n + 3})", 2)
-        return f"""concat("'", {day}, ' ', {clock}, ' ', if({z} < 0, '-', '+'), lpad(abs({z}) div 60, 2, '0'), ':', lpad(abs({z}) % 60, 2, '0'), "'")"""
+        zone = _let(_signed(b, f"({at} + {n + 3})", 2), "z_", "concat(if(z_ < 0, '-', '+'), lpad(abs(z_) div 60, 2, '0'), ':', lpad(abs(z_) % 60, 2, '0'))")
+        return f"""concat("'", {day}, ' ', {clock}, ' ', {zone}, "'")"""
     if t == UNIQUEIDENTIFIER:
         h = lambda order: "concat(" + ", ".join(f"hex(substring({b}, {at} + {k}, 1))" for k in order) + ")"
         return f"""concat("'", {h((3, 2, 1, 0))}, '-', {h((5, 4))}, '-', {h((7, 6))}, '-', {h((8, 9))}, '-', {h(range(10, 16))}, "'")"""
