@@ -171,10 +171,17 @@ def export_ndjson(events: DataFrame) -> DataFrame:
     return events.select("id", F.to_json(F.struct(*[F.col(c).cast("string").alias(EXPORT_NAMES.get(c, c)) for c in columns])).alias("line"))
 
 
+def rollback_lines(events: DataFrame, where: LogFilter = LogFilter()) -> DataFrame:
+    """The rollbacks that can run as rows in script order (newest first), for selections too large for one text; sorted by range, so
+    write.text gives files in order."""
+    chosen = where.apply(events).where("rollback_sql is not null and rollback_sql <> ''")
+    return chosen.orderBy(F.desc("lsn"), F.desc("id")).select("db_name", "lsn", F.col("rollback_sql").alias("line"))
+
+
 def rollback_script(events: DataFrame, title: str, where: LogFilter = LogFilter()) -> DataFrame:
     """One row: the rollbacks that can run, newest first, inside a transaction to be closed by hand.
 
-    A script is a single text by nature; `where` selects the transactions it covers."""
+    A script is a single text by nature; `where` selects the transactions it covers. For large selections see rollback_lines."""
     chosen = where.apply(events).where("rollback_sql is not null and rollback_sql <> ''")
     parts = F.transform(F.sort_array(F.collect_list(F.struct("lsn", "id", "rollback_sql")), asc=False), lambda x: x["rollback_sql"])
     head = F.lit(f"-- Rollback of {title}\n-- Review before running.\n\nBEGIN TRANSACTION;\n\n")

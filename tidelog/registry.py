@@ -16,7 +16,6 @@ from .plans import log_queries as Q
 EV = f"({fixtures.sql(fixtures.EVENTS, True)}) AS log_events"
 REC = f"({fixtures.sql(fixtures.RECORDS, True)}) AS log_records"
 PAGE = "id, lsn, txn_id, operation, db_name, schema_name, table_name, sql_stmt, rollback_sql, event_time, commit_time, status"
-OPS = " AS {a}, ".join(f"CAST(sum(CASE WHEN operation = '{o}' THEN 1 ELSE 0 END) AS BIGINT)" for o in ("INSERT", "UPDATE", "DELETE"))
 COUNTS = ", ".join(f"CAST(sum(CASE WHEN operation = '{o}' THEN 1 ELSE 0 END) AS BIGINT) AS {a}" for o, a in (("INSERT", "inserts"), ("UPDATE", "updates"), ("DELETE", "deletes")))
 IN_TXN = "txn_id IS NOT NULL AND txn_id <> ''"
 SINCE, UNTIL = datetime(2024, 1, 5, 3, 4, 5, 678000), datetime(2024, 2, 20, 1, 2, 3, 456000)
@@ -218,6 +217,11 @@ def export_ndjson(e):
     return Q.export_ndjson(e.select("id", "lsn", "operation", "db_name"))
 
 
+@events_query(f"SELECT db_name, lsn, rollback_sql AS line FROM {EV} WHERE rollback_sql <> ''")
+def rollback_lines(e):
+    return Q.rollback_lines(e)
+
+
 @events_query(f"""SELECT '-- Rollback of db1' || chr(10) || '-- Review before running.' || chr(10) || chr(10) || 'BEGIN TRANSACTION;' || chr(10) || chr(10)
  || string_agg(rollback_sql, chr(10) || chr(10) ORDER BY lsn DESC) || chr(10) || chr(10) || '-- COMMIT TRANSACTION;' || chr(10) || '-- ROLLBACK TRANSACTION;' AS script
 FROM {EV} WHERE db_name = 'db1' AND rollback_sql <> ''""")
