@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     members = tied.union(tied.select("root", "root")).distinct()
     named = members.join(least.withColumnRenamed("fp", "node"), "node")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("fp"), "component")
-    label = least.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    # Kept as a table, so that both sides of the join are plain shuffles and a fingerprint that many documents share can be split.
+    label = checkpoint(least.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
     return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
