@@ -50,7 +50,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def slices(ids: pa.Array, texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+def slices(ids: pa.Array, texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
     """(ids, UTF-8 buffer, document offsets) of runs of documents of about `limit` bytes; a longer document is a run of its own."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
@@ -122,7 +122,7 @@ def fold(doc_ids: np.ndarray, of: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None or i != i else str(int(i)).encode()) % of for i in doc_ids], np.int64)
 
 
-def map_documents(docs, per_slice, schema: str, limit: int = 1 << 21):
+def map_documents(docs, per_slice, schema: str, limit: int = 1 << 20):
     """mapInArrow over (doc_id, text): `per_slice(ids, data, offsets)` returns the columns of one run of documents.
 
     Needs no shuffle; memory is bounded by one Arrow batch and one run (or the longest document)."""
