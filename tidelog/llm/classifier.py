@@ -200,6 +200,10 @@ def keep(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame
     import pyarrow as pa
     from pyspark.sql.types import BooleanType
 
+    from .shared import small_batches
+
+    small_batches(docs.sparkSession)
+
     def verdict(texts: pa.Array) -> pa.Array:
         out = []
         for _, data, offsets in tx.slices(pa.array(np.arange(len(texts))), texts):

@@ -174,6 +174,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: f
     """The rows of docs, all columns, that hold no item. The verdict is computed beside the row, so no join on ids is needed."""
     from pyspark.sql.types import BooleanType
 
+    from .shared import small_batches
+
+    small_batches(docs.sparkSession)
     for index in indexes(benchmark, shingle, similarity, radius, block_chars):
 
         def free(texts: pa.Array, index=index) -> pa.Array:

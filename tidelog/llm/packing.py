@@ -232,6 +232,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2) -> DataFrame:
     """One row per piece. The tokenizer file must lie at `path` on each executor."""
 
+    from .shared import small_batches
+
+    small_batches(docs.sparkSession)
+
     def run(batches):
         from pyspark import TaskContext
 

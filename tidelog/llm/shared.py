@@ -32,3 +32,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are large: Arrow batches of at most `rows` rows keep a Python worker's memory low. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

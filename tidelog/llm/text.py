@@ -129,6 +129,9 @@ def map_documents(docs, per_slice, schema: str, limit: int = 1 << 20):
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    from .shared import small_batches
+
+    small_batches(docs.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
