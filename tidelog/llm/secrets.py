@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and dictionary-primed zstandard novelty for strings in a sensitive context.
 
-Base spans (leftmost, non-overlapping per kind): assign, access, hex. The method looks at every string of 16 to 512 characters of
-[A-Za-z0-9+/_.=-] that has a digit and a letter and stands within 48 characters after a sensitive word (`CONTEXT`). Its novelty is what it
-adds to a compressed frame: bytes of zstd(surroundings + string) minus zstd(surroundings), both primed with a dictionary of code and
+Base spans (leftmost, non-overlapping per kind): assign, access, hex. The method looks at every string of 16 characters or more of
+[A-Za-z0-9+/_.=-] that has a digit and a letter and begins at a sensitive word (`_WORD`) or within 48 characters after it, in its line; each
+word counts, also one inside the 48 characters of another, and a string is taken to its end whatever its length. Its novelty is what it adds to a compressed frame: bytes of zstd(surroundings + string) minus zstd(surroundings), both primed with a dictionary of code and
 identifiers (`PRIMER`) and with the text around it, over the string's length. Prose, identifiers and repeated strings compress; keys do not. A
 string that adds at least `novelty` bytes a character is reported as kind `novel`, unless it touches a base span.
 
@@ -11,6 +11,7 @@ Results: a null text is an empty one. Ids may be null or repeat; rows are scanne
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -24,7 +25,7 @@ SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sh
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_CONTEXT = re.compile(r"(?:secret|token|passw|credential|private[ _-]?key|api[ _-]?key|access[ _-]?key|auth|bearer|signature|session[ _-]?id)[^\n]{0,48}", re.I | re.A)
+_WORD = re.compile(r"(?=(secret|token|passw|credential|private[ _-]?key|api[ _-]?key|access[ _-]?key|auth|bearer|signature|session[ _-]?id))", re.I | re.A)
 _STRING = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 #: What code and configuration look like: identifiers, words, dates, versions, paths.
@@ -67,14 +68,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float) -> list[tuple[int, int, int]]:
+    words = [m.span(1) for m in _WORD.finditer(text)]
+    runs = [m.span() for m in _STRING.finditer(text)] if words else []
+    ends = [b for _, b in runs]
     out, seen = [], set()
-    for context in _CONTEXT.finditer(text):
-        for m in _STRING.finditer(text, context.start(), min(len(text), context.end() + 512)):
-            a, b = m.span()
-            if a in seen or a > context.end() or b - a > 512 or any(s < b and a < e for s, _, e in base):
+    for word, stop in words:
+        line = text.find("\n", stop, stop + 48)
+        last = line if line >= 0 else min(len(text), stop + 48)
+        for k in range(bisect.bisect_right(ends, word), len(runs)):
+            # A word inside a string begins it; so strings of one run have their end in common.
+            a, b = max(runs[k][0], word), runs[k][1]
+            if a > last:
+                break
+            if b in seen or b - a < 16 or any(s < b and a < e for s, _, e in base):
                 continue
-            seen.add(a)
-            s = m.group()
+            seen.add(b)
+            s = text[a:b]
             if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
                 continue
             around = (text[max(0, a - 400) : a] + text[b : b + 400]).encode()
