@@ -1,27 +1,38 @@
 """Quality rules, line first: each line is judged on its own, failing lines go, and a document that loses too many words is rejected.
 
 A line with a word fails when (n: its words)
-* punctuation: it has under 12 words and the last one does not end in one of . ! ? : ; " ' ) ], or over 30 % of its words end in two of ! ?, or over 30 % in
+* punctuation: it has under 12 words and the last one does not end in one of CLOSING, or over 30 % of its words end in two of ! ?, or over 30 % in
   two of # * $ % & < >;
 * navigation: over 20 % of its words are a lone | or >;
-* boilerplate: it holds one of BOILERPLATE in any case, or over 30 % of its words equal the word before them in that line.
+* boilerplate: it holds one of BOILERPLATE (A-Z in any case), or over 30 % of its words equal the word before them in that line.
+
+Equal hashes of lines and windows are confirmed on the bytes, so counts are exact whatever the texts.
 
 Results: a null text is an empty one; a document without words fails the base rule. A null doc_id is passed on. Repeated rows are
-judged one by one. No shuffle; everything is vectorised over the Arrow buffer.
+judged one by one, an empty table gives no row, very long texts are judged whole, and columns other than doc_id and text are not read, so
+their names don't matter. No shuffle; everything is vectorised over the Arrow buffer.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from . import text as tx
 
-#: Phrases of legal notices, consent banners and calls to act.
-BOILERPLATE = ("all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "enable javascript", "click here", "subscribe to", "sign up for", "lorem ipsum")
+# Phrases of legal notices, consent banners and calls to act, in English, German, French and Spanish.
+BOILERPLATE = (
+    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "enable javascript", "click here", "subscribe to", "sign up for", "lorem ipsum",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "klicken sie hier", "jetzt anmelden", "newsletter abonnieren",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "cliquez ici", "inscrivez-vous", "abonnez-vous",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "aviso legal", "haga clic", "regístrese", "suscríbase",
+)
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode(), re.I)
+#: Marks that close a sentence or a quotation.
+CLOSING = ".!?:;\"')]»”’…。！？"
 
 
 def _table(chars: str) -> np.ndarray:
@@ -30,10 +41,23 @@ def _table(chars: str) -> np.ndarray:
     return out
 
 
-SYMBOLS, CLOSERS, SHOUTS, MARKS = _table("#*$%&|<>"), _table(".!?:;\"')]"), _table("!?"), _table("#*$%&<>")
+SYMBOLS, CLOSERS, SHOUTS, MARKS = _table("#*$%&|<>"), _table(CLOSING.encode("ascii", "ignore").decode()), _table("!?"), _table("#*$%&<>")
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_lost_words bigint"
 
 
+def closes(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character before each end is one of CLOSING."""
+    out = CLOSERS[buf[ends - 1]]
+    for c in CLOSING:
+        raw = c.encode()
+        if len(raw) > 1:
+            hit = ends >= len(raw)
+            for k, byte in enumerate(raw):
+                hit &= buf[np.maximum(ends - len(raw) + k, 0)] == byte
+            out |= hit
+    return out
+
+
 def _covered(words: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Words in any of the windows that start at `starts`."""
     steps = np.zeros(words + 1, np.int64)
@@ -42,14 +66,22 @@ def _covered(words: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Whether a key occurs twice or more."""
+def _equal_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of neighbours of equal keys, in the order of keys and places: in a group each one but the first is second once."""
     order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    out = np.zeros(len(keys), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    return order[same], order[same + 1]
+
+
+def _duplicate_lines(data, lines: list[tuple[int, int]]) -> int:
+    return len(lines) - len({bytes(data[a:b]) for a, b in lines})
+
+
+def _repeat_words(words: list[bytes], width: int) -> int:
+    """Words in windows that occur twice or more, counted on the words themselves."""
+    windows = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+    found = Counter(windows)
+    return int(_covered(len(words), np.array([i for i, w in enumerate(windows) if found[w] > 1], np.int64), width).sum())
 
 
 def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, open_words: int = 12) -> list:
@@ -65,7 +97,15 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
     hashes = tx.range_hashes(buf, starts, ends)
     keys = tx.window_hashes(hashes, 8)[at] if len(at) else np.zeros(0, np.uint64)
     keys = tx.mix(keys ^ tx.mix(doc[at].astype(np.uint64) + np.uint64(1)))
-    n_repeat = tx.per_document(_covered(len(starts), at[_repeated(keys)], 8).astype(np.int64), first)
+    one, two = _equal_pairs(keys)
+    one, two = at[one], at[two]
+    n_repeat = tx.per_document(_covered(len(starts), np.concatenate([one, two]), 8).astype(np.int64), first)
+    # Equal hashes are confirmed on the bytes; a document with a collision is counted on its words.
+    same = np.ones(len(one), bool)
+    for k in range(8):
+        same &= tx.same_ranges(buf, (starts[one + k], ends[one + k]), (starts[two + k], ends[two + k]))
+    for d in np.unique(doc[np.concatenate([one[~same], two[~same]])]):
+        n_repeat[d] = _repeat_words([bytes(data[a:b]) for a, b in zip(starts[first[d] : first[d + 1]].tolist(), ends[first[d] : first[d + 1]].tolist(), strict=True)], 8)
 
     # A line begins at each document's start and after each \n; lines of one document are neighbours.
     begin = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(buf[:-1] == 10) + 1 if len(buf) else []])).astype(np.int64)
@@ -76,9 +116,12 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
     of = np.searchsorted(offsets, begin, "right") - 1
     full = np.flatnonzero(n_in)
     line_keys = tx.mix(tx.range_hashes(buf, begin[full], stop[full]) ^ tx.mix(of[full].astype(np.uint64) + np.uint64(1)))
-    distinct = np.unique(line_keys, return_index=True)[1]
+    one, two = _equal_pairs(line_keys)
     n_docs = len(offsets) - 1
-    n_dup = np.bincount(of[full], minlength=n_docs) - np.bincount(of[full][distinct], minlength=n_docs)
+    n_dup = np.bincount(of[full][two], minlength=n_docs)
+    same = tx.same_ranges(buf, (begin[full[one]], stop[full[one]]), (begin[full[two]], stop[full[two]]))
+    for d in np.unique(of[full][np.concatenate([one[~same], two[~same]])]):
+        n_dup[d] = _duplicate_lines(data, [(int(begin[i]), int(stop[i])) for i in full[of[full] == d]])
 
     last, before, size = buf[ends - 1], buf[np.maximum(ends - 2, 0)], ends - starts
     share = lambda flags: np.bincount(line[flags], minlength=len(begin))
@@ -86,10 +129,11 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
     failed |= 10 * share((size > 1) & MARKS[last] & MARKS[before]) > 3 * n_in
     failed |= 10 * share((size == 1) & ((last == 124) | (last == 62))) > 2 * n_in
     stutter = np.zeros(len(starts), bool)
-    stutter[1:] = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
+    again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1]))
+    stutter[again + 1] = tx.same_ranges(buf, (starts[again], ends[again]), (starts[again + 1], ends[again + 1]))
     failed |= 10 * share(stutter) > 3 * n_in
     closed = np.zeros(len(begin), bool)
-    closed[line] = CLOSERS[last]  # of equal indexes numpy keeps the last: the line's last word
+    closed[line] = closes(buf, ends)  # of equal indexes numpy keeps the last: the line's last word
     failed |= ~closed & (n_in < open_words)
     for m in _BOILERPLATE.finditer(data):
         k = np.searchsorted(begin, m.start(), "right") - 1
@@ -120,7 +164,7 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(rang
 l AS (SELECT doc_id, line, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS v FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 j AS (SELECT doc_id, line, len(v) AS n, 10 * len(list_filter(v, lambda x: regexp_matches(x, '[!?][!?]$'))) > 3 * len(v) OR 10 * len(list_filter(v, lambda x: regexp_matches(x, '[#*$%&<>][#*$%&<>]$'))) > 3 * len(v)
   OR 10 * len(list_filter(v, lambda x: x = '|' OR x = '>')) > 2 * len(v) OR 10 * len(list_filter(range(1, len(v)), lambda k: v[k] = v[k + 1])) > 3 * len(v)
-  OR (len(v) < 12 AND NOT regexp_matches(v[-1], '[.!?:;"'')\\]]$')) OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(BOILERPLATE)}') AS bad FROM l),
+  OR (len(v) < 12 AND NOT regexp_matches(v[-1], '[{CLOSING.replace("'", "''").replace("]", chr(92) + "]")}]$')) OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(BOILERPLATE).replace("'", "''")}') AS bad FROM l),
 s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (bad), 0) AS lost FROM j GROUP BY doc_id),
 f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM a LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id))

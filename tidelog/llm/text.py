@@ -1,8 +1,9 @@
 """Vectorised tokenising and hashing of whole Arrow text columns with numpy.
 
-Texts stay in the UTF-8 buffer that Arrow delivers; words are byte ranges of it. Hashes are polynomials
-modulo 2**64 taken from one prefix sum, so a word or a window of words costs a subtraction and a product
-whatever its length. A null text counts as an empty one everywhere.
+Texts stay in the UTF-8 buffer that Arrow delivers; words are byte ranges of it. A range is hashed eight bytes at a time, each block mixed
+into a 64-bit state before the next one. A window of words is a Rabin-Karp polynomial of the word hashes modulo the prime 2**61 - 1, built
+by doubling, so its cost grows with the logarithm of the width. Among n distinct windows about n^2 / 2^62 pairs collide by chance.
+A null text counts as an empty one everywhere.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 SEPARATOR = np.zeros(256, bool)
@@ -20,25 +22,14 @@ SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD6E8FEB86659FD93 | 1
-_M64 = (1 << 64) - 1
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, grown by doubling and kept for the life of the worker."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        have[1] = base
-        done = 2
-        while done < size:
-            have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
-            done *= 2
-        _powers[base] = have
-    return have[:n]
+_M = np.uint64
+#: Rabin-Karp: the modulus, and a base drawn at random once.
+PRIME = (1 << 61) - 1
+BASE = 0x1A2B3C4D5E6F7081 % PRIME
+_P = _M(PRIME)
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Ranges over this many bytes are hashed one by one.
+LONG = 4096
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,22 +70,78 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def blocks_at(buf: np.ndarray) -> np.ndarray:
+    """For each byte, the eight bytes from it on as a number; zeros follow the buffer."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))
+
+
+def first_bytes(blocks: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of ranges as numbers, zeros beyond their size (which may be negative)."""
+    return blocks[np.minimum(at, len(blocks) - 1)] & _LOW[np.clip(size, 0, 8)]
+
+
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range."""
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_BYTE_BASE, len(buf)), out=sums[1:])
-    inverse = _power(pow(_BYTE_BASE, -1, 1 << 64), len(buf) + 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    blocks = blocks_at(buf)
+    h = mix(size.astype(np.uint64) * _M(0x9E3779B97F4A7C15) ^ first_bytes(blocks, starts, size))
+    live, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        h[live] = mix((h[live] + _M(0xA24BAED4963EE407)) ^ first_bytes(blocks, starts[live] + k, size[live] - k))
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), 91)
+    return h
+
+
+def same_ranges(buf: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether ranges (starts, ends) of the buffer hold the same bytes, pair by pair; exact."""
+    (a0, a1), (b0, b1) = a, b
+    size, blocks = a1 - a0, blocks_at(buf)
+    same = size == b1 - b0
+    live, k = np.flatnonzero(same & (size > 0)), 0
+    while len(live) and k < 64:
+        equal = first_bytes(blocks, a0[live] + k, size[live] - k) == first_bytes(blocks, b0[live] + k, size[live] - k)
+        same[live[~equal]] = False
+        k += 8
+        live = live[equal & (size[live] > k)]
+    for i in live:
+        same[i] = np.array_equal(buf[a0[i] : a1[i]], buf[b0[i] : b1[i]])
+    return same
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Equal modulo the prime, below 2**61 + 8."""
+    return (x & _P) + (x >> _M(61))
+
+
+def _times(a: np.ndarray, by: int) -> np.ndarray:
+    """a * by modulo the prime (not fully reduced), from halves of 31 and 30 bits so that nothing overflows."""
+    high, low = _M(by >> 31), _M(by & 0x7FFFFFFF)
+    a1, a0 = a >> _M(31), a & _M(0x7FFFFFFF)
+    middle = a1 * low + a0 * high
+    return _folded(_folded(_M(2) * (a1 * high) + (middle >> _M(30)) + ((middle & _M(0x3FFFFFFF)) << _M(31))) + _folded(a0 * low))
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash of each run of `width` consecutive word hashes; entry i starts at word i."""
     if len(h) < width:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _power(_WORD_BASE, len(h)), out=sums[1:])
-    inverse = _power(pow(_WORD_BASE, -1, 1 << 64), len(h) + 1)
-    return mix((sums[width:] - sums[:-width]) * inverse[: len(h) - width + 1])
+    part, size, out, done = _folded(h), 1, None, 0
+    while True:  # part: polynomials of `size` words; out: of the `done` words that the low bits of the width add up to
+        if width & size:
+            n = len(h) - done - size + 1
+            out = part if out is None else _folded(_times(out[:n], pow(BASE, size, PRIME)) + part[done : done + n])
+            done += size
+        if done == width:
+            break
+        n = len(part) - size
+        part, size = _folded(_times(part[:n], pow(BASE, size, PRIME)) + part[size : size + n]), 2 * size
+    out = np.where(out >= _P, out - _P, out)
+    return mix(np.where(out >= _P, out - _P, out) + _M(0x632BE59BD9B4E019))
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:
