@@ -7,7 +7,8 @@ full sequences, and what is left is cut into sequences whose sizes are powers of
 
 Each partition packs what it reads; nothing is shuffled, and the state is the open windows' pieces (numbers, no texts). A sequence id
 holds the partition in its upper bits. Results: a null text is an empty document, that is the end id alone; null and repeated ids are
-carried as they come. An empty table gives no piece.
+carried as they come, each row by itself. An empty table gives no piece. Very long texts are cut, never dropped; columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class Tokens:
-    """Token ids of texts, looked up by the hash of a word's parts in an open-addressing table that the tokenizer fills.
+    """Token ids of texts, looked up by a word's parts in an open-addressing table that the tokenizer fills.
 
     The tokenizer drops white space, lower-cases, and splits words where a run of letters ends, never joining across such a place. So
     a text's ids are those of its words' parts in turn: the letters a word begins with (when a sign of ASCII follows a letter of ASCII or
@@ -54,38 +55,74 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.where = np.zeros(1 << self.BITS, np.int32)
+        self.where = np.full(1 << self.BITS, -1, np.int32)
         self.first = np.zeros(1, np.int64)
         self.pool = np.zeros(0, "<u4")
+        #: Of each entry its size in bytes and its first 16 bytes, which are all of it: longer parts are in `long`, by their bytes.
+        self.size, self.low, self.high = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.long: dict[bytes, int] = {}
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, -1 if it has none."""
+    def find(self, h: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The entry of each short part, -1 if it has none. An entry is taken only if its bytes are the part's."""
         out = np.full(len(h), -1, np.int64)
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
-            k = self.keys[slot[left]]
-            hit = k == h[left]
-            out[left[hit]] = self.where[slot[left[hit]]]
-            left = left[~hit & (k != 0)]
+            e = self.where[slot[left]]
+            left, e = left[e >= 0], e[e >= 0]
+            hit = (self.low[e] == low[left]) & (self.high[e] == high[left]) & (self.size[e] == size[left])
+            out[left[hit]] = e[hit]
+            left = left[~hit]
             slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
         return out
 
-    def add(self, h: np.ndarray, parts: list[bytes]) -> None:
+    def _append(self, parts: list[bytes]) -> np.ndarray:
         ids = self.encode(parts)
-        entry = np.arange(len(h), dtype=np.int32) + np.int32(len(self.first) - 1)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        entry = np.arange(len(parts), dtype=np.int32) + np.int32(len(self.first) - 1)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
         self.pool = np.concatenate([self.pool, *ids])
+        return entry
+
+    def add(self, h: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, parts: list[bytes]) -> None:
+        """Short parts that have no entry yet."""
+        entry = self._append(parts)
+        self.size, self.low, self.high = (np.concatenate(x) for x in ((self.size, size), (self.low, low), (self.high, high)))
         slot, left = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
         while len(left):
-            free = left[self.keys[slot[left]] == 0]
-            self.keys[slot[free]] = h[free]
-            won = left[self.keys[slot[left]] == h[left]]
-            self.where[slot[won]] = entry[won]
-            left = left[self.keys[slot[left]] != h[left]]
+            free = left[self.where[slot[left]] < 0]
+            self.where[slot[free]] = entry[free]
+            left = left[self.where[slot[left]] != entry[left]]
             slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
 
+    def add_long(self, parts: list[bytes]) -> None:
+        for p, e in zip(parts, self._append(parts).tolist(), strict=True):
+            self.long[p] = e
+        blank = np.zeros(len(parts), np.int64)
+        self.size, self.low, self.high = np.concatenate([self.size, blank - 1]), np.concatenate([self.low, blank.astype(np.uint64)]), np.concatenate([self.high, blank.astype(np.uint64)])
+
+    def entries(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The entry of each part buf[a:b]; parts that are new get one."""
+        size, blocks, raw = b - a, tx.blocks_at(buf), None
+        h, low, high = tx.range_hashes(buf, a, b), tx.first_bytes(blocks, a, size), tx.first_bytes(blocks, a + 8, size - 8)
+        short, out = np.flatnonzero(size <= 16), np.full(len(a), -1, np.int64)
+        if len(self.first) + len(a) > 1 << (self.BITS - 1):
+            self.clear()
+        bytes_of = lambda k: raw[a[k] : b[k]]
+        if len(short) < len(a):
+            raw = buf.tobytes()
+            long = [(k, bytes_of(k)) for k in np.flatnonzero(size > 16).tolist()]
+            if new := list(dict.fromkeys(p for _, p in long if p not in self.long)):
+                self.add_long(new)
+            for k, p in long:
+                out[k] = self.long[p]
+        out[short] = self.find(h[short], size[short], low[short], high[short])
+        while (miss := np.flatnonzero(out < 0)).size:  # once more only if different parts share a hash
+            raw = raw or buf.tobytes()
+            new = miss[np.unique(h[miss], return_index=True)[1]]
+            self.add(h[new], size[new], low[new], high[new], [bytes_of(k) for k in new.tolist()])
+            out[miss] = self.find(h[miss], size[miss], low[miss], high[miss])
+        return out
+
     def encode(self, parts: list[bytes]) -> list[np.ndarray]:
         """Many short strings in a few calls: runs of letters are parted by the tokens that end a run, others by MARK."""
         call = lambda text: np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -118,16 +155,7 @@ class Tokens:
         a, b = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
         a[lead], b[lead] = starts, np.where(cuts, cut, ends)
         a[lead[cuts] + 1], b[lead[cuts] + 1] = cut[cuts], ends[cuts]
-        h = np.maximum(tx.range_hashes(buf, a, b), np.uint64(1))
-        entry = self.find(h)
-        if (miss := np.flatnonzero(entry < 0)).size:
-            if len(self.first) + len(miss) > 1 << (self.BITS - 1):
-                self.clear()
-                miss = np.arange(len(h))
-            new, at = np.unique(h[miss], return_index=True)
-            raw = buf.tobytes()
-            self.add(new, [raw[x:y] for x, y in zip(a[miss[at]].tolist(), b[miss[at]].tolist(), strict=True)])
-            entry = self.find(h)
+        entry = self.entries(buf, a, b)
         n = np.diff(self.first)[entry] if len(entry) else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(self.first[entry] - before[:-1], n) + np.arange(before[-1])]

@@ -6,7 +6,8 @@ space whose left neighbour is no space: `splits_at_spaces` proves from the vocab
 its two sides never meet. The splice counts the left chunk's tokens up to that place and the right chunk's from it on. Without one the
 overlap doubles, up to the rest of the document, which is then encoded in one piece.
 
-Results: a null text counts as empty (0 bytes, 0 tokens). Ids may be null or repeat; each row is counted by itself.
+Results: a null text counts as empty (0 bytes, 0 tokens). Ids may be null or repeat; each row is counted by itself. An empty table gives no row,
+very long texts are counted whole, and columns other than doc_id and text are not read. No shuffle.
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ def count_huge(path: str, text: str, chunk: int, overlap: int) -> int:
             if edges:
                 there = _begins(sp, text[edges[0] : to], False) + edges[0]
                 both = np.intersect1d(here, there)
-                inner = [e for e in edges if e in both]
+                common = set(both.tolist())
+                inner = [e for e in edges if e in common]
                 stable = inner[len(inner) // 2] if inner else None
             if stable is not None:
                 break
