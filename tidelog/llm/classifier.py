@@ -1,13 +1,16 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and text metadata.
 
-Score of a document with features x (L2-scaled word counts by hash bucket, then standardised statistics):
+Score of a document with features x (each hash bucket's share of the words, then standardised statistics):
     sigmoid(b + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2])
-The pairwise part takes linear time (sum-of-squares identity). Training is Adam on the log loss, with numpy on the driver, over at most
-`max_train` labelled rows (those of smallest hash of doc_id, so a bounded and reproducible sample); scoring runs in the executors over
-all rows and whole texts. The model has (buckets + statistics) * (rank + 1) floats, whatever the corpus.
+The pairwise part takes linear time (sum-of-squares identity) over the distinct buckets of a document. Training is Adam on the log loss, with
+numpy on the driver, over at most `max_train` labelled rows (those of smallest hash of doc_id, so a bounded and reproducible sample). Their
+features, not their texts, reach the driver: at most 2^bits numbers a row. Scoring runs in the executors over all rows and whole texts. The
+model has (buckets + statistics) * (rank + 1) floats, whatever the corpus.
 
 Labels, lang, source and doc_id are no inputs of a score. A null text is an empty one: it has all-zero words and gets a score.
-A null label or doc_id trains nothing. Without labels of both kinds every score is the share of label 1 (0.5 if there are none).
+A null label or doc_id trains nothing; of labels that repeat an id the highest counts. Without labels of both kinds every score is the share
+of label 1 (0.5 if there are none), so empty tables train and score without a special case. Repeated rows are scored one by one, very long
+texts whole. Columns other than doc_id and text are not read for a score; `keep` passes them on under whatever names they have.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .quality_rules import CLOSERS, MARKS, SHOUTS, SYMBOLS
+from .quality_rules import MARKS, SHOUTS, SYMBOLS, closes
 
 N_STATS = 14
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
@@ -56,7 +59,7 @@ def statistics(buf, offsets, starts, ends, first) -> np.ndarray:
         by_word((length == 1) & ((last == 124) | (last == 62))) / words,
         by_word((length > 1) & MARKS[last] & MARKS[before]) / words,
         by_word((length > 1) & SHOUTS[last] & SHOUTS[before]) / words,
-        by_word(CLOSERS[last]) / words,
+        by_word(closes(buf, ends)) / words,
         by_word(again) / words,
         distinct / words,
         unique_lines / lines,
@@ -77,10 +80,17 @@ class Machine:
     bits: int
 
     def logits(self, buf, offsets) -> np.ndarray:
-        starts, ends, first = tx.words(buf, offsets)
-        index = (tx.range_hashes(buf, starts, ends) >> np.uint64(64 - self.bits)).astype(np.int64)
-        stats = (statistics(buf, offsets, starts, ends, first) - self.mean) / self.scale
-        return _forward(self, index, first, np.clip(stats, -5, 5))[0]
+        bucket, x, first, stats = features(buf, offsets, self.bits)
+        return forward(self, bucket, x, first, np.clip((stats - self.mean) / self.scale, -5, 5))[0]
+
+
+def features(buf, offsets, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets of each document in order, each one's share of the words, where a document's begin, and its statistics."""
+    starts, ends, first = tx.words(buf, offsets)
+    index = (tx.range_hashes(buf, starts, ends) >> np.uint64(64 - bits)).astype(np.int64)
+    key, count = np.unique((tx.owner(first) << bits) + index, return_counts=True)
+    doc = key >> bits
+    return key & ((1 << bits) - 1), count / np.diff(first)[doc], np.searchsorted(doc, np.arange(len(offsets))), statistics(buf, offsets, starts, ends, first)
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -91,45 +101,44 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forward(m, index, first, stats):
-    """Each word weighs 1 / (words of its document), so a bucket's feature is its share of the words."""
-    each = 1.0 / np.maximum(np.diff(first), 1)
+def forward(m: Machine, bucket, x, first, stats) -> tuple[np.ndarray, np.ndarray]:
+    """Logit of each document, and its sums over features of v x."""
     n_words = 1 << m.bits
-    weight = each[:, None]
-    # Equal words of a document add up in x before the square; with shares the difference is second order and left out of x^2.
-    linear = _sums(m.w[index], first) * each
-    s = _sums(m.v[index], first) * weight + stats @ m.v[n_words:]
-    q = _sums(m.v[index] ** 2, first) * weight**2 + (stats**2) @ (m.v[n_words:] ** 2)
-    return m.bias + linear + stats @ m.w[n_words:] + 0.5 * (s**2 - q).sum(1), s, each
-
-
-def train(texts: list[str], labels: list[int], bits: int = 12, rank: int = 4, epochs: int = 12, seed: int = 7) -> Machine:
-    """Adam on the log loss with an L2 pull on all weights; stronger on words than on the statistics."""
-    import pyarrow as pa
-
+    vx = m.v[bucket] * x[:, None]
+    s = _sums(vx, first) + stats @ m.v[n_words:]
+    q = _sums(vx**2, first) + (stats**2) @ (m.v[n_words:] ** 2)
+    return m.bias + _sums(m.w[bucket] * x, first) + stats @ m.w[n_words:] + 0.5 * (s**2 - q).sum(1), s
+
+
+def gradients(m: Machine, bucket, x, first, stats, g) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the sum of g times the logits, by w, v and the bias: dz/dw_i = x_i, dz/dv_if = x_i (s_f - v_if x_i)."""
+    s, n_words = forward(m, bucket, x, first, stats)[1], 1 << m.bits
+    of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    gw, gv = np.zeros_like(m.w), np.zeros_like(m.v)
+    gx = g[of] * x
+    gw[:n_words], gw[n_words:] = np.bincount(bucket, gx, n_words), g @ stats
+    for k in range(m.v.shape[1]):
+        gv[:n_words, k] = np.bincount(bucket, gx * (s[of, k] - m.v[bucket, k] * x), n_words)
+    gv[n_words:] = stats.T @ (g[:, None] * s) - m.v[n_words:] * ((stats**2).T @ g)[:, None]
+    return gw, gv, float(g.sum())
+
+
+def train_on(bucket, x, first, stats, labels, bits: int = 12, rank: int = 4, epochs: int = 12, seed: int = 7) -> Machine:
+    """Adam on the log loss with an L2 pull on all weights. Features as from `features`."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     size = (1 << bits) + N_STATS
     m = Machine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, rank)), np.zeros(N_STATS), np.ones(N_STATS), bits)
-    if len(set(labels)) < 2:
+    if len(set(y.tolist())) < 2:
         rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
         m.v[:] = 0
         m.bias = float(np.log(rate / (1 - rate)))
         return m
-    index, firsts, stats, base = [], [np.zeros(1, np.int64)], [], 0
-    for _, data, offsets in tx.slices(pa.array(range(len(texts))), pa.array(texts, pa.string())):
-        buf = np.frombuffer(data, np.uint8)
-        starts, ends, first = tx.words(buf, offsets)
-        index.append((tx.range_hashes(buf, starts, ends) >> np.uint64(64 - bits)).astype(np.int64))
-        stats.append(statistics(buf, offsets, starts, ends, first))
-        firsts.append(first[1:] + base)
-        base += len(starts)
-    index, first, stats = np.concatenate(index), np.concatenate(firsts), np.concatenate(stats)
     m.mean, m.scale = stats.mean(0), stats.std(0) + 1e-3
     stats = np.clip((stats - m.mean) / m.scale, -5, 5)
     moments = [[0.0, 0.0] for _ in range(3)]
     step = 0
-    # Both labels weigh the same in sum up to a factor, so the rare one is learned; the bias is then moved back by that factor.
+    # Label 0 weighs as much as label 1 in sum, within a factor of four either way, so that the rare one is learned.
     odds = y.mean() / (1 - y.mean())
     weight = np.where(y == 1, 1.0, np.clip(odds, 0.25, 4.0))
     for _ in range(epochs):
@@ -138,22 +147,14 @@ def train(texts: list[str], labels: list[int], bits: int = 12, rank: int = 4, ep
             rows = np.sort(order[at : at + 256])
             lengths = first[rows + 1] - first[rows]
             f = np.concatenate([[0], np.cumsum(lengths)])
-            ix = np.concatenate([index[first[r] : first[r + 1]] for r in rows])
-            z, s, each = _forward(m, ix, f, stats[rows])
+            where = np.repeat(first[rows] - f[:-1], lengths) + np.arange(f[-1])
+            z = forward(m, bucket[where], x[where], f, stats[rows])[0]
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
-            of = np.repeat(np.arange(len(rows)), lengths)
-            n_words = 1 << bits
-            gw, gv = np.zeros_like(m.w), np.zeros_like(m.v)
-            gw[:n_words] = np.bincount(ix, g[of] * each[of], n_words)
-            gw[n_words:] = g @ stats[rows]
-            for k in range(rank):
-                gv[:n_words, k] = np.bincount(ix, g[of] * each[of] * (s[of, k] - m.v[ix, k] * each[of]), n_words)
-            gv[n_words:] = stats[rows].T @ (g[:, None] * s) - m.v[n_words:] * ((stats[rows] ** 2).T @ g)[:, None]
-            gw[:n_words] += 1e-4 * m.w[:n_words]
-            gw[n_words:] += 1e-4 * m.w[n_words:]
+            gw, gv, gb = gradients(m, bucket[where], x[where], f, stats[rows], g)
+            gw += 1e-4 * m.w
             gv += 1e-4 * m.v
             step += 1
-            for k, (value, grad) in enumerate(((m.w, gw), (m.v, gv), (None, g.sum()))):
+            for k, (value, grad) in enumerate(((m.w, gw), (m.v, gv), (None, gb))):
                 a, b = moments[k]
                 a, b = 0.9 * a + 0.1 * grad, 0.99 * b + 0.01 * grad * grad
                 moments[k] = [a, b]
@@ -165,21 +166,43 @@ def train(texts: list[str], labels: list[int], bits: int = 12, rank: int = 4, ep
     return m
 
 
+def train(texts: list[str], labels: list[int], bits: int = 12, **options) -> Machine:
+    """Of texts at hand."""
+    raw = [(t or "").encode() for t in texts]
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    return train_on(*features(buf, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), bits), labels, bits, **options)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """At most max_train rows (text, label) outside the held-out fold, by smallest hash of the id."""
+    """At most max_train rows (doc_id, text, label) outside the held-out fold, by smallest hash of the id, then of the text."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     known = known.where(F.expr("doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0"))
     # Ids are limited before they meet the texts, so no more than max_train of them are looked up.
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_train)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options) -> Machine:
-    """max_train bounds the rows that reach the driver, longest texts included."""
-    rows = labelled(docs, labels, max_train).select(F.coalesce("text", F.lit("")).alias("text"), "label").limit(max_train).toArrow()
-    # Sorted by text, so that the order in which partitions arrive doesn't matter.
-    rows = rows.sort_by([("text", "ascending"), ("label", "ascending")])
-    return train(rows["text"].to_pylist(), [int(x) for x in rows["label"].to_pylist()], **options)
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, bits: int = 12, **options) -> Machine:
+    """max_train bounds the rows whose features reach the driver."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for _, data, offsets in tx.slices(batch.column(0), batch.column(1)):
+                bucket, x, first, stats = features(np.frombuffer(data, np.uint8), offsets, bits)
+                cut = lambda v, f=first: [v[a:b] for a, b in zip(f[:-1].tolist(), f[1:].tolist(), strict=True)]
+                n = len(first) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + n], batch.column(2)[at : at + n].cast(pa.float64()), pa.array(cut(bucket), pa.list_(pa.int64())), pa.array(cut(x), pa.list_(pa.float64())), pa.array(list(stats), pa.list_(pa.float64()))], ["doc_id", "label", "bucket", "x", "stats"])
+                at += n
+
+    found = labelled(docs, labels, max_train).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id bigint, label double, bucket array<bigint>, x array<double>, stats array<double>")
+    # Sorted, so that the order in which partitions arrive doesn't matter.
+    rows = sorted(found.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bucket"], r["x"]))
+    flat = lambda name: np.concatenate([np.asarray(r[name], np.float64) for r in rows]) if rows else np.zeros(0)
+    first = np.concatenate([[0], np.cumsum([len(r["bucket"]) for r in rows])]).astype(np.int64)
+    return train_on(flat("bucket").astype(np.int64), flat("x"), first, flat("stats").reshape(-1, N_STATS), [int(r["label"]) for r in rows], bits, **options)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
