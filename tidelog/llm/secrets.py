@@ -6,7 +6,8 @@ word counts, also one inside the 48 characters of another, and a string is taken
 identifiers (`PRIMER`) and with the text around it, over the string's length. Prose, identifiers and repeated strings compress; keys do not. A
 string that adds at least `novelty` bytes a character is reported as kind `novel`, unless it touches a base span.
 
-Results: a null text is an empty one. Ids may be null or repeat; rows are scanned one by one. No shuffle.
+Results: a null text is an empty one. Ids may be null or repeat; rows are scanned one by one. An empty table gives no row, very long texts are
+scanned whole, and columns other than doc_id and text are not read. No shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -71,6 +73,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float) ->
     words = [m.span(1) for m in _WORD.finditer(text)]
     runs = [m.span() for m in _STRING.finditer(text)] if words else []
     ends = [b for _, b in runs]
+    # Base spans of different kinds may overlap: the furthest end so far tells whether one reaches into a place.
+    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
+    taken = lambda a, b: (k := bisect.bisect_left(starts, b)) > 0 and reach[k - 1] > a
     out, seen = [], set()
     for word, stop in words:
         line = text.find("\n", stop, stop + 48)
@@ -80,7 +85,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float) ->
             a, b = max(runs[k][0], word), runs[k][1]
             if a > last:
                 break
-            if b in seen or b - a < 16 or any(s < b and a < e for s, _, e in base):
+            if b in seen or b - a < 16 or taken(a, b):
                 continue
             seen.add(b)
             s = text[a:b]
