@@ -1,6 +1,6 @@
 """A lookup of 64-bit keys across chunks of a corpus, as two Spark shuffles of packed rows.
 
-Documents are dealt into chunks by a hash of their id. A chunk asks for its distinct keys once each: a row per range of keys
+Documents are dealt into chunks by a hash of their id and text; equal rows that would fill a chunk are worked on once. A chunk asks for its distinct keys once each: a row per range of keys
 (`bucket`) holds them in sorted order, Elias-Fano packed, with a number for each. The bucket's task sees all chunks' rows of its range
 and answers each row with a number per key, in the row's order; the chunk's task gets the answers beside its documents again. So a key
 that a third of all documents hold costs a row entry per chunk, not per occurrence, and no task sees more than a chunk or a range.
@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
+
 REQUEST = "bucket int, chunk int, n int, keys binary, vals binary"
 REPLY = "chunk int, bucket int, vals binary"
 
@@ -83,24 +85,59 @@ def unpack_numbers(data: bytes, n: int) -> np.ndarray:
 
 
 def sizes(docs: DataFrame, least: int = 48, chunk_mb: tuple[float, float] = (2, 32), keys_each: int = 1 << 20) -> tuple[int, int]:
-    """How many chunks, and log2 of how many buckets: from the bytes of all texts (one pass over them)."""
+    """How many chunks, and log2 of how many buckets: from the bytes of all texts (one pass over them).
+
+    There is a row for each chunk and bucket. Up to 16 GB of texts both keep their size; then both grow with the root of the input, so
+    that rows grow in proportion to it, until tasks would get too large (chunks of twice chunk_mb, buckets of four times keys_each)."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    chunk = min(max(total / 512, chunk_mb[0] * 2**20), chunk_mb[1] * 2**20)
-    return max(least, int(total / chunk) + 1), max(6, int(total / 6 / keys_each).bit_length())
+    grown = max(1.0, (total / 2**34) ** 0.5)
+    chunk = min(max(total / 512, chunk_mb[0] * 2**20), chunk_mb[1] * 2**20 * min(grown, 2.0))
+    return max(least, int(total / chunk) + 1), max(6, int(total / 6 / (keys_each * min(grown, 4.0))).bit_length())
+
+
+def spread() -> Column:
+    """A number that deals rows into chunks; rows that share an id are dealt by their texts, too."""
+    return F.xxhash64("doc_id", "text")
+
+
+def without_hot(docs: DataFrame, most_bytes: int = 1 << 20) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(rows, restore): doc_id, text, copies and hot of docs, in which equal rows that would fill a chunk (more than most_bytes of one id and
+    text) stand once, with their number and a key; restore gives such rows' results back to each of them.
+
+    No more than (bytes of all texts) / most_bytes rows are hot, and their results are joined back by broadcast only after a count."""
+    plain = docs.select("doc_id", "text")
+    keys = plain.groupBy(spread().alias("hot")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("b"))
+    hot = checkpoint(keys.where((F.col("n") > 1) & (F.col("n") * F.col("b") > most_bytes)).select("hot"))
+    n_hot = hot.count()
+    if not n_hot:
+        return plain.withColumn("copies", F.lit(1).cast("long")).withColumn("hot", F.lit(None).cast("long")), lambda found: found.drop("hot")
+    small = (lambda df: F.broadcast(df)) if n_hot <= 1_000_000 else (lambda df: df)
+    marked = plain.withColumn("key", spread()).join(small(hot.withColumnRenamed("hot", "key").withColumn("is_hot", F.lit(True))), "key", "left")
+    once = marked.where("is_hot").groupBy("doc_id", "text", "key").agg(F.count(F.lit(1)).alias("copies"))
+    rows = marked.where("is_hot is null").select("doc_id", "text", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("long").alias("hot"))
+    rows = rows.unionByName(once.select("doc_id", "text", "copies", F.col("key").alias("hot")))
+
+    def restore(found: DataFrame) -> DataFrame:
+        ids = marked.where("is_hot").select(F.col("doc_id").alias("own"), "key")
+        of = checkpoint(found)
+        back = ids.join(small(of.where("hot is not null")), (F.col("key") == F.col("hot")) & F.col("own").eqNullSafe(F.col("doc_id")))
+        return of.where("hot is null").drop("hot").unionByName(back.drop("own", "key", "hot"))
+
+    return rows, restore
 
 
-def chunk_of(n: int):
-    """A chunk for each document; documents without an id are spread by their text."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n)).cast("int")
+def ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, stop) of the buckets that sorted keys fall in."""
+    top = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(top, prepend=-1))
+    return list(zip(top[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
 
 
 def requests(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int, tag: int = 0, drop: int = 0) -> pa.Table:
     """Rows of REQUEST for sorted distinct keys; `tag` sets apart kinds of keys. `drop` low bits of all keys are zero and are not sent."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-    edges = np.concatenate([[0], edges, [len(keys)]])
     rows = []
-    for b in np.flatnonzero(np.diff(edges)):
-        part = slice(edges[b], edges[b + 1])
+    for b, start, stop in ranges(keys, bits):
+        part = slice(start, stop)
         rest = keys[part] - (np.uint64(int(b) << (64 - bits)))
         rows.append(((tag << bits) + int(b), chunk, part.stop - part.start, pack_sorted(rest >> np.uint64(drop), 64 - bits - drop), pack_numbers(vals[part])))
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -142,11 +179,9 @@ def answer(rows: DataFrame, bits: int, combine: Callable[[np.ndarray, np.ndarray
 
 def gathered(replies: pa.Table, keys: np.ndarray, bits: int, tag: int = 0) -> np.ndarray:
     """The answers for a chunk's sorted distinct keys, in their order."""
-    counts = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    out = np.zeros(len(keys), np.int64)
-    at = np.concatenate([[0], np.cumsum(counts)])
+    out, places = np.zeros(len(keys), np.int64), {b: (start, stop) for b, start, stop in ranges(keys, bits)}
     for b, vals in zip(replies["bucket"].to_pylist(), replies["vals"].to_pylist(), strict=True):
         if b >> bits == tag:
-            b -= tag << bits
-            out[at[b] : at[b + 1]] = unpack_numbers(vals, int(counts[b]))
+            start, stop = places[b - (tag << bits)]
+            out[start:stop] = unpack_numbers(vals, stop - start)
     return out

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> None:
-    """Takes the checkpoint folder from the session's setting; makes one of its own only where none is set (a local session, as in tests)."""
+    """Takes the checkpoint folder from the session's setting; makes one of its own only in a local session without one, as in tests."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-"))
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidelog-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def folder(spark: SparkSession) -> str:
     """The checkpoint folder of this session."""
     ready(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ a smaller id outside the chunk holds it (inside the chunk it is seen at once). A
 windows add up to maximal intervals. Windows are judged on the input texts.
 
 Results: a null text has no words; a document shorter than a window loses nothing. A null doc_id counts as larger than every other.
-Rows with equal ids are one another's equals: neither is smaller, so neither loses to the other. Hashes have 64 bits: among n distinct
-windows about n^2 / 2^65 pairs collide by chance (0.0005 in 1.4e8).
+Rows with equal ids are one another's equals: neither is smaller, so neither loses to the other. Repeated rows each get their row. An empty
+table gives no row, very long texts are read whole, and columns other than doc_id and text are not read.
+Hashes are polynomials modulo 2^61 - 1 of 64-bit word hashes: among n distinct windows about n^2 / 2^62 pairs collide by chance (0.004 in
+1.4e8; some 200,000 in 1e12, so beyond that the width of the hash has to grow).
 """
 
 from __future__ import annotations
@@ -66,7 +68,8 @@ def intervals_of(covered: np.ndarray) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) -> DataFrame:
     """One row per document: word counts, digest of the kept words, removed intervals of words, and (with_text) the kept words."""
     n_chunks, bits = ex.sizes(docs)
-    dealt = docs.select("doc_id", "text", ex.chunk_of(n_chunks).alias("chunk"))
+    rows, restore = ex.without_hot(docs)
+    dealt = rows.select("doc_id", "text", "hot", F.pmod(ex.spread(), F.lit(n_chunks)).cast("int").alias("chunk"))
 
     def ask(key, table: pa.Table) -> pa.Table:
         return ex.requests(key[0].as_py(), *_chunk_keys(table, width), bits)
@@ -77,7 +80,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
     def remove(key, table: pa.Table, replies: pa.Table) -> pa.Table:
         keys, least = _chunk_keys(table, width)
         outside = ex.gathered(replies, keys, bits).astype(bool)
-        rows = []
+        rows, hot = [], table["hot"].to_pylist()
         for part, data, starts, ends, first, at, h in _windows(table, width):
             ids = _ids(part)
             where = np.searchsorted(keys, h)
@@ -92,15 +95,15 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
                 kept = np.flatnonzero(~own) + lo
                 text = b" ".join([bytes(data[s:e]) for s, e in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)])
                 spans = ",".join(f"{a}:{b}" for a, b in intervals_of(own)) if own.any() else ""
-                rows.append((doc, hi - lo, int(own.sum()), hashlib.sha256(text).hexdigest(), spans) + ((text.decode(),) if with_text else ()))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.string()] * with_text
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "intervals"] + ["kept"] * with_text
+                rows.append((doc, hi - lo, int(own.sum()), hashlib.sha256(text).hexdigest(), spans, hot[len(rows)]) + ((text.decode(),) if with_text else ()))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string()] * with_text
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "intervals", "hot"] + ["kept"] * with_text
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     requests = dealt.groupBy("chunk").applyInArrow(ex.typed(ask, "table"), ex.REQUEST)
     replies = ex.answer(requests, bits, beaten)
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ex.typed(remove, "table", "replies"), SCHEMA + (", kept string" if with_text else ""))
+    return restore(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ex.typed(remove, "table", "replies"), SCHEMA + ", hot bigint" + (", kept string" if with_text else "")))
 
 
 #: The same rows (without intervals) in DuckDB.
