@@ -13,7 +13,7 @@ that class added; this repeats with other classes. In a bucket, pairs are compar
 forest of its links leaves. Components come from alternating large-star and small-star steps, with a checkpoint each.
 
 Results: a null text has no words. A null doc_id takes part in no component: its component_id is null, and its fingerprint is given. Rows that
-repeat stay rows. An empty table gives an empty result.
+repeat stay rows. An empty table gives an empty result. Very long texts are read whole; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -164,16 +164,17 @@ def candidate_links(distinct: DataFrame, radius: int = 3, most: int = 2048, leve
     return found
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of each component of the links (columns a, b), by large-star and small-star steps until nothing changes.
 
-    A step keeps an edge per node and neighbour at most; hot nodes only take part in minima (pre-aggregated) and equi-joins that AQE splits."""
+    Each pair of steps only lowers the numbers that edges lead to, so it ends; in practice the rounds grow with the logarithm of the longest
+    path. A step keeps an edge per node and neighbour at most; hot nodes only take part in minima (pre-aggregated) and equi-joins that AQE splits."""
     # The signed order of the longs is an order like any other.
     edges = checkpoint(links.where("a <> b").distinct())
     if not edges.head(1):
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -187,25 +188,26 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+#: Fingerprints of more than this share of the documents are few by count, so their labels are broadcast.
+FEW = 100_000
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its component)."""
     prints = checkpoint(fingerprints(docs, width))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     tied = components(candidate_links(least, radius))
     # Per component the smallest id, then back to its fingerprints, then to the documents; only linked fingerprints take this way.
     members = tied.union(tied.select("root", "root")).distinct()
     named = members.join(least.withColumnRenamed("fp", "node"), "node")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("fp"), "component")
-    # Kept as a table, so that both sides of the join are plain shuffles and a fingerprint that many documents share can be split.
-    label = checkpoint(least.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
-    return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows that repeat an id, one. Rows without an id all stay."""
-    kept = near_duplicates(docs.select("doc_id", "text"), radius, width).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    label = checkpoint(least.join(named, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component")))
+    # A fingerprint that many documents share would bring them all to one task. Those of over n / FEW documents are fewer than FEW, whatever n is.
+    most = max(64, prints.count() // FEW)
+    heavy = F.broadcast(label.where(F.col("n") > most).select("fp", F.lit(True).alias("heavy"), F.col("component").alias("known")))
+    marked = prints.join(heavy, "fp", "left")
+    light = marked.where("heavy is null").select("fp", "doc_id").join(label.where(F.col("n") <= most), "fp").select("fp", "doc_id", "component")
+    found = marked.where("heavy").select("fp", "doc_id", F.col("known").alias("component")).unionByName(light)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
