@@ -71,10 +71,10 @@ def test_pii(docs, rows):
     found = pii.find_pii(docs).collect()
     same([(r.doc_id, r.base_sha256) for r in found], [(i, sha(_spans(t, kinds))) for i, t in rows])
     held = pii.labelled_spans(300, 5)
-    got = pii.tagged_spans(pii.default_tagger(), [t for t, _ in held], 0.9)
+    got = pii.tagged_spans(pii.default_tagger(), [t for t, _ in held], 0.7)
     gold = sum(len(s) for _, s in held)
     hit = sum(len(set(g) & {(a, k, b) for k, a, b in s}) for g, (_, s) in zip(got, held, strict=True))
-    assert hit >= 0.8 * gold and hit >= 0.95 * sum(map(len, got))
+    assert hit >= 0.9 * gold and hit >= 0.95 * sum(map(len, got))
 
 
 def test_pii_windows_meet():
@@ -95,7 +95,7 @@ def test_decontamination(spark, docs, rows):
 
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "one two three"), (903, "one two")], "item_id long, text string"))
     items = [(r.item_id, WORD.findall(low(r.text or ""))) for r in bench.collect()]
-    leaky = docs.unionByName(docs.limit(0)).select("doc_id", "text").unionByName(spark.createDataFrame([(5000, "before it " + " ".join(items[0][1]) + " after it"), (5001, "before it " + " ".join(items[1][1][1:]) + " after it")], "doc_id long, text string"))
+    leaky = docs.unionByName(docs.limit(0)).select("doc_id", "text").unionByName(spark.createDataFrame([(5000, "before it " + " ".join(items[0][1]) + " after it"), (5001, "before it " + " ".join(items[1][1][1:]) + " after it"), (5002, " ".join(max((w for _, w in items), key=len)[1:])), (5002, "clean"), (None, " ".join(items[3][1])), (None, "clean")], "doc_id long, text string"))
 
     def shingles(w, n):
         return collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
@@ -103,24 +103,24 @@ def test_decontamination(spark, docs, rows):
     wanted = []
     for i, text in [(r.doc_id, r.text or "") for r in leaky.collect()]:
         w, own = WORD.findall(low(text)), []
-        grams = {n: set(shingles(w, n)) for n in (2, 3, 5)}
+        grams = {n: set(shingles(w, n)) for n in (2, 3, 5)}  # a document shorter than an item is one window
         for item, iw in items:
             n = min(5, len(iw))
             if not iw or not grams[n] & set(shingles(iw, n)):
                 continue
-            for at in range(len(w) - len(iw) + 1):
+            for at in range(max(len(w) - len(iw), 0) + 1):
                 a, b = shingles(w[at : at + len(iw)], n), shingles(iw, n)
                 if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
                     own.append(item)
                     break
         wanted.append((i, ",".join(map(str, sorted(own)))))
-    whole = dc.find_leaks(leaky, bench)
-    same([(r.doc_id, r["items"]) for r in whole.collect()], wanted)
+    whole = dc.find_leaks(leaky, bench).collect()
+    same([(r.doc_id, r["items"]) for r in whole], wanted)
     assert dict(wanted)[5000] and any(x for _, x in wanted)
-    parts = dc.find_leaks(leaky, bench, block_chars=2000)
-    same([(r.doc_id, set(r["items"].split(",")).__repr__()) for r in parts.where("doc_id >= 5000").collect()], [(i, set(x.split(",")).__repr__()) for i, x in wanted if (i or 0) >= 5000])
+    same(dc.find_leaks(leaky, bench, block_chars=2000).collect(), whole)
     kept = dc.clean(leaky.withColumn("lang", F.lit("en")), bench)
     same([(r.doc_id,) for r in kept.collect()], [(i,) for i, x in wanted if not x])
+    same([(r.doc_id,) for r in dc.clean(leaky.withColumn("lang", F.lit("en")), bench, block_chars=8000).collect()], [(i,) for i, x in wanted if not x])
 
 
 def test_quality_rules(docs, rows):
@@ -140,7 +140,7 @@ def test_quality_rules(docs, rows):
             n = len(v)
             bad = 10 * sum(bool(re.search(r"[!?]{2}$", y)) for y in v) > 3 * n or 10 * sum(bool(re.search(r"[#*$%&<>]{2}$", y)) for y in v) > 3 * n
             bad |= 10 * sum(y in "|>" for y in v) > 2 * n or 10 * sum(a == b for a, b in zip(v, v[1:])) > 3 * n
-            bad |= n < 12 and v[-1][-1] not in ".!?:;\"')]" or any(p in x.lower() for p in q.BOILERPLATE)
+            bad |= n < 12 and v[-1][-1] not in q.CLOSING or any(p in low(x) for p in q.BOILERPLATE)
             lost += n * bad
         base = len(w) < 20 or 100 * repeat > 30 * len(w)
         wanted.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeat, base, not base and 2 * lost <= len(w)))
@@ -190,14 +190,42 @@ def test_lm(docs, rows):
     wanted = [(i, fold(i) == 2, len(tokens[k]), sum(count[x] > 0 for x in tokens[k]), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in tokens[k]), 6)) for k, (i, _) in enumerate(rows)]
     found = lm.score(docs).collect()
     same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found], wanted)
-    assert all(r.score < 0 and math.isfinite(r.score) for r in found)
+    # The model's score, from counts of the tokens themselves.
+    grams = [collections.Counter() for _ in range(3)]
+    context = [collections.Counter() for _ in range(2)]
+
+    def events(k):
+        t = ["<", "<", *tokens[k]]
+        return [((t[i - 2], t[i - 1], t[i]), (t[i - 1], t[i]), (t[i],), (t[i - 2], t[i - 1]), (t[i - 1],)) for i in range(2, len(t))]
+
+    for k, (i, _) in enumerate(rows):
+        if fold(i) != 2:
+            for x in events(k):
+                for c, g in zip([*grams, *context], x, strict=True):
+                    c[g] += 1
+
+    def numbers(k, less):
+        e = events(k)
+        return [np.array([c[g] - less for g in col]) for c, col in zip([*grams, *context], zip(*e, strict=True), strict=True)]
+
+    cell = []
+    for k, (i, _) in enumerate(rows):
+        if fold(i) == 3:
+            n3, n2, n1, c2, c1 = numbers(k, 1)
+            cell.append(lm.cells(lm.buckets(c2, c1), *lm.estimates(n3, n2, n1, c2, c1, n - 1), 1 / (v + 1)))
+    weights = lm.fit_weights(*np.unique(np.concatenate(cell), return_counts=True))
+    assert np.allclose(weights.sum(1), 1)
+    wanted = []
+    for k, (i, _) in enumerate(rows):
+        n3, n2, n1, c2, c1 = numbers(k, 0)
+        w, total = weights[lm.buckets(c2, c1)], 0.0
+        for j in range(len(n1)):
+            p = w[j, 0] * (n3[j] / c2[j] if c2[j] else 0) + w[j, 1] * (n2[j] / c1[j] if c1[j] else 0) + w[j, 2] * n1[j] / n + w[j, 3] / (v + 1)
+            total += math.log10(p)
+        wanted.append((i, round(total, 4)))
+    same([(r.doc_id, round(r.score, 4)) for r in found], wanted)
     test = [r for r in found if r.held_out]
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
-    # EM finds the mixture that made the data.
-    rng = np.random.default_rng(0)
-    cells = lm._cells(np.zeros(4, int), np.array([0.5, 0, 0.5, 0]), np.array([0.01, 0.01, 0, 0]), 0.001)
-    w = lm.fit_weights(cells, rng.integers(50, 60, 4))
-    assert w[0].sum() == pytest.approx(1) and (w > 0).all()
 
 
 def test_packing(docs, rows):
@@ -261,9 +289,6 @@ def test_simhash(docs, rows):
     least = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in group}
     wanted = [(i, f"{prints[k]:016x}", least[group[k]] if i is not None else None) for k, (i, _) in enumerate(rows)]
     same(simhash.near_duplicates(docs).collect(), wanted)
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    same([(r.doc_id,) for r in kept.where("doc_id is not null").collect()], {(c,) for i, _, c in wanted if i is not None})
 
 
 def test_simhash_hot_buckets(spark):
@@ -314,12 +339,13 @@ def test_classifier(spark, docs):
 def test_empty_tables(spark):
     import public_tokenizers
 
-    from tidelog.llm import decontamination, lm, packing, pii, quality_rules, secrets, simhash, substring_dedup, token_count
+    from tidelog.llm import classifier, decontamination, lm, near_copies, packing, pii, quality_rules, secrets, simhash, substring_dedup, token_count
 
-    none = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    none = spark.createDataFrame([], "doc_id long, text string, n_chars long, quality int")
     bench = spark.createDataFrame([], "item_id long, text string")
     for f in (
-        pii.find_pii, lambda d: decontamination.find_leaks(d, bench), quality_rules.line_rules, substring_dedup.remove_repeats, secrets.find_secrets, lm.score, simhash.near_duplicates, pii.masked, simhash.one_of_each,
+        pii.find_pii, lambda d: decontamination.find_leaks(d, bench), quality_rules.line_rules, substring_dedup.remove_repeats, secrets.find_secrets, lm.score, simhash.near_duplicates, pii.masked, near_copies.one_of_each,
+        lambda d: classifier.score(d, classifier.fit(d, none)), lambda d: classifier.keep(d, classifier.fit(d, none)), lambda d: decontamination.clean(d, bench),
         lambda d: packing.pack(d, public_tokenizers.path("word_bpe_49k.json")), lambda d: token_count.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")),
     ):
         assert f(none).count() == 0
@@ -343,3 +369,26 @@ def test_pipeline(spark):
         docs = out
     packed = cp.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(after)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_pipeline_on_awkward_rows(spark, tmp_path, n):
+    """Null, empty, long and repeated rows with further columns, once, twice and not at all."""
+    import corpus_pipeline as cp
+
+    rows = [(i, t, "en", "s", None if t is None else len(t), "x", 1.5) for i, t in ROWS] * n
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string, key double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(50).write.parquet(f"{tmp_path}/{name}.parquet")
+    frame = docs
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path)).cache()
+        assert out.columns == docs.columns
+        if name == "near_dedup":
+            ids = [r.doc_id for r in out.where("doc_id is not null").select("doc_id").collect()]
+            assert len(ids) == len(set(ids))
+        frame = out
+    left = collections.Counter(r.doc_id for r in frame.select("doc_id").collect())
+    packed = cp.run(spark, str(tmp_path)).where("start = 0").collect()
+    assert collections.Counter(r.doc_id for r in packed) == left
