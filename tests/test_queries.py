@@ -15,7 +15,7 @@ QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "events"):
+    for t in ("customer", "orders", "lineitem", "events", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

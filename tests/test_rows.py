@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from tidelog.functions import compressed, rows
+from tidelog.functions import compressed, rows, values
 from tidelog.functions.rows import ColumnSpec as C
 from tidelog.functions.rows import TableSpec
 from tidelog.operators import images
@@ -67,7 +67,7 @@ def test_variable_null_and_errors(spark):
 
 def test_float_literals():
     cases = {0.0: "0", 1.0: "1", 100000.0: "100000", 1000000.0: "1e+06", 123456789.0: "1.23456789e+08", 0.0001: "0.0001", 0.00001: "1e-05", -2.5: "-2.5", 1e100: "1e+100", 0.5: "0.5"}
-    assert {x: rows._shortest(x) for x in cases} == cases
+    assert {x: values.shortest(x) for x in cases} == cases
 
 
 def test_compressed(spark):

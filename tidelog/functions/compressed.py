@@ -1,21 +1,23 @@
-"""Row- and page-compressed images as columns: each column's bytes are brought into the uncompressed form and printed as usual.
+"""Row- and page-compressed images: each column's bytes are brought into the uncompressed form and printed as usual.
 
 Layout: a header byte pair, a descriptor of four bits per physical column (low half first), short values in line (descriptor d in 2..9: d - 1
 bytes), then long values (descriptor 10) behind a table of big-endian end offsets. Descriptor 0 is NULL, 1 zero or empty, 11 a set bit,
 12 and 13 refer to the page's dictionary, which a log row does not hold: such rows give an error, never values.
-Column positions follow from running sums over descriptors, so the work is plain expressions; Unicode compression is the one Arrow step."""
+A row is cut into columns by its descriptors; the columns of a batch are then printed together."""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import rows as R
+from . import values
 
 DAY_LIKE = (R.DATE, R.TIME, R.DATETIME2, R.DATETIMEOFFSET)
-INT_LIKE = {R.TINYINT: 1, R.SMALLINT: 2, R.INT: 4, R.BIGINT: 8, R.SMALLMONEY: 4, R.MONEY: 8, R.SMALLDATETIME: 4, R.DATETIME: 8}
+INT_LIKE = {R.SMALLINT: 2, R.INT: 4, R.BIGINT: 8, R.SMALLMONEY: 4, R.MONEY: 8, R.SMALLDATETIME: 4, R.DATETIME: 8}
+ZERO, BIT_SET, LONG = 1, 11, 10
 
 
 def expand_unicode(data: bytes) -> bytes:
@@ -42,97 +44,115 @@ def expand_unicode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _text(data) -> str | None:
-    try:
-        return None if data is None else expand_unicode(bytes(data)).decode("utf-16-le", "replace").rstrip(" \0")
-    except ValueError:
+def split(image: bytes | None, n: int) -> tuple[str | None, list[int], list[bytes | None]]:
+    """(error, descriptors, bytes of each of n physical columns)."""
+    start = 2 + (n + 1) // 2
+    if image is None or len(image) < start:
+        return "truncated", [], []
+    if image[0] & 0x30 not in (0x20, 0x30):
+        return "not_compressed", [], []
+    kinds = [image[2 + i // 2] >> 4 * (i % 2) & 15 for i in range(n)]
+    if 12 in kinds or 13 in kinds:
+        return "page_dictionary", [], []
+    at, out = start, []
+    for k in kinds:
+        size = k - 1 if 2 <= k <= 9 else 0
+        out.append(image[at : at + size] if size else b"" if k in (ZERO, BIT_SET) else None)
+        at += size
+    if at > len(image):
+        return "parse_failed", [], []
+    long = [i for i, k in enumerate(kinds) if k == LONG]
+    data, last = at + 3 + 2 * len(long), 0
+    for j, i in enumerate(long):
+        end = int.from_bytes(image[at + 2 + 2 * j : at + 4 + 2 * j], "big") & 0x7FFF
+        if data > len(image) or end < last or data + end > len(image):
+            return "tail_parse_failed", [], []
+        out[i], last = image[data + last : data + end], end
+    return None, kinds, out
+
+
+def vardecimal(v: bytes, scale: int) -> str:
+    """Sign bit and excess-64 exponent, then digits in groups of ten bits for three of them; cut or padded to the scale."""
+    zero = "0" + ("." + "0" * scale if scale else "")
+    if not v:
+        return zero
+    bits = "".join(f"{b:08b}" for b in v[1:])
+    digits = "".join(f"{int(bits[k : k + 10].ljust(10, '0'), 2):03d}" for k in range(0, len(bits), 10)).lstrip("0")
+    if not digits:
+        return zero
+    exponent = (v[0] & 127) - 63
+    digits = "0" * (1 - exponent) + digits if exponent <= 0 else digits.ljust(exponent, "0")
+    cut = max(1, exponent)
+    text = digits[:cut] + ("." + digits[cut : cut + scale].ljust(scale, "0") if scale else "")
+    return text if v[0] >= 128 or text == zero else "-" + text
+
+
+def _whole(v: bytes, n: int) -> bytes | None:
+    """n little-endian bytes of a big-endian number of up to n bytes with its sign bit inverted."""
+    if not v:
+        return b"\0" * n
+    if len(v) > n:
         return None
+    value = int.from_bytes(bytes((v[0] ^ 128,)) + v[1:], "big", signed=True)
+    return value.to_bytes(n, "little", signed=True)
+
+
+def column_literals(c: R.ColumnSpec, kinds: list[int], pieces: list[bytes | None]) -> pa.Array:
+    """Literals of one column from its descriptors and bytes, row by row."""
+    each = lambda f: [None if v is None else f(v) for v in pieces]
+    if c.type == R.BIT:
+        return pa.array([None if v is None else "1" if k == BIT_SET else "0" for k, v in zip(kinds, pieces, strict=True)], pa.string())
+    if c.type == R.SQL_VARIANT:
+        return pa.nulls(len(pieces), pa.string())
+    if c.type in (R.DECIMAL, R.NUMERIC):
+        return pa.array(each(lambda v: vardecimal(v, c.scale)), pa.string())
+    if c.type == R.TINYINT:
+        raw = each(lambda v: v[:1] or b"\0")
+    elif c.type == R.MONEY:  # in one piece here, with the high half first in the plain form
+        raw = each(lambda v: (w := _whole(v, 8)) and w[4:] + w[:4])
+    elif c.type in INT_LIKE:
+        raw = each(lambda v: _whole(v, INT_LIKE[c.type]))
+    elif c.type in (R.REAL, R.FLOAT):
+        raw = each(lambda v: v.rjust(R.fixed_size(c), b"\0") if len(v) <= R.fixed_size(c) else None)
+    elif c.type in DAY_LIKE:
+        raw = each(lambda v: v.ljust(R.fixed_size(c), b"\0"))
+    elif c.type == R.BINARY:
+        raw = each(lambda v: v.ljust(c.length, b"\0"))
+    elif c.type in (R.NCHAR, R.NVARCHAR, R.NTEXT):
+
+        def text(v):
+            try:
+                return expand_unicode(v).decode("utf-16-le", "replace").rstrip(" \0").encode("utf-16-le") if c.type == R.NCHAR or v[:1] != b"\0" else None
+            except ValueError:
+                return None
+
+        raw = each(text)
+    elif c.type in (R.VARCHAR, R.TEXT):
+        raw = each(lambda v: None if v[:1] == b"\0" else v)
+    else:
+        raw = pieces
+    return values.of_bytes(c, raw)
+
+
+def decode_images(spec: R.TableSpec, column: pa.Array) -> tuple[list, pa.Array]:
+    """(error or None of each row, array<string> of literals); the layout is that of the physical columns, the result that of the columns."""
+    physical = spec.physical or spec.columns
+    rows = [split(image, len(physical)) for image in column.to_pylist()]
+    err, out = [r[0] for r in rows], []
+    where = {c.id: i for i, c in enumerate(physical) if not c.dropped}
+    for c in spec.columns:
+        i = where.get(c.id)
+        if i is None:
+            out.append(pa.nulls(len(rows), pa.string()))
+        else:
+            out.append(column_literals(c, [r[1][i] if r[0] is None else 0 for r in rows], [r[2][i] if r[0] is None else None for r in rows]))
+    return err, values.interleaved(out, np.array([e is not None for e in err], bool))
 
 
-@F.pandas_udf(StringType())
-def unicode_text(data: pd.Series) -> pd.Series:
-    return data.map(_text)
-
-
-def _fixed_bytes(v: str, n: int) -> str:
-    """n little-endian bytes of a big-endian number of up to n bytes with its sign bit inverted; null if it is longer."""
-    little = "concat(" + ", ".join(f"substring(f_, {2 * k + 1}, 2)" for k in reversed(range(n))) + ")"
-    full = f"lpad(concat(lpad(hex(t_ ^ 128), 2, '0'), substring(w_, 3, {2 * n})), {2 * n}, if(t_ >= 128, '00', 'FF'))"
-    body = R._let(f"hex({v})", "w_", R._let("cast(conv(substring(w_, 1, 2), 16, 10) as int)", "t_", R._let(full, "f_", f"unhex({little})")))
-    return f"case when length({v}) = 0 then X'{'00' * n}' when length({v}) <= {n} then {body} end"
-
-
-def _vardecimal(v: str, scale: int) -> str:
-    """Sign bit and excess-64 exponent, then digits in groups of ten bits for three of them; cut or padded to the scale."""
-    zero = "'0" + ("." + "0" * scale if scale else "") + "'"
-    bits = f"array_join(transform(sequence(2, length({v})), k -> lpad(conv(hex(substring({v}, k, 1)), 16, 2), 8, '0')), '')"
-    groups = f"array_join(transform(sequence(1, greatest(1, (8 * (length({v}) - 1) + 9) div 10)), k -> lpad(conv(rpad(substring(b_, 10 * k - 9, 10), 10, '0'), 2, 10), 3, '0')), '')"
-    digits = f"if(length({v}) < 2, '', {R._let(bits, 'b_', f'ltrim({chr(39)}0{chr(39)}, {groups})')})"
-    text = f"concat(substring(q_, 1, greatest(1, e_)), {f"'.', rpad(substring(q_, greatest(1, e_) + 1, {scale}), {scale}, '0')" if scale else "''"})"
-    padded = "if(e_ <= 0, concat(repeat('0', 1 - e_), g_), rpad(g_, greatest(length(g_), e_), '0'))"
-    signed = R._let(text, "r_", f"concat(if(o_ >= 128 or r_ = {zero}, '', '-'), r_)")
-    body = R._let(digits, "g_", f"if(g_ = '', {zero}, {R._let(padded, 'q_', signed)})")
-    head = R._let(f"cast(conv(hex(substring({v}, 1, 1)), 16, 10) as int)", "o_", R._let("(o_ & 127) - 63", "e_", body))
-    return f"case when length({v}) = 0 then {zero} when {v} is not null then {head} end"
+def decode(df: DataFrame, spec: R.TableSpec, image: str, out: str) -> DataFrame:
+    """df with struct<err, vals>; vals is null after an error."""
 
+    def run(images):
+        return R.decoded(*decode_images(spec, images))
 
-def decode(df: DataFrame, spec: R.TableSpec, image: str, out: str) -> DataFrame:
-    """df with struct<err, vals>; the physical columns are those of the spec, in its order."""
-    b, n = image, len(spec.columns)
-    start = 3 + (n + 1) // 2  # 1-based position of the first value
-    d = df.withColumn("_d", F.expr(f"array({', '.join(f"cast(conv(substring(hex(substring({b}, {3 + i // 2}, 1)), {2 - i % 2}, 1), 16, 10) as int)" for i in range(n))})"))
-    size = lambda i: f"if(_d[{i}] between 2 and 9, _d[{i}] - 1, 0)"
-    d = d.withColumn("_len", F.expr(f"array({', '.join(size(i) for i in range(n))})"))
-    before = lambda i: " + ".join(f"_len[{j}]" for j in range(i)) or "0"
-    d = d.withColumn("_at", F.expr(f"array({', '.join(f'{start} + {before(i)}' for i in range(n + 1))})"))
-    d = d.withColumn("_tails", F.expr(f"size(filter(_d, x -> x = 10))"))
-    be = f"cast(conv(hex(substring({b}, _at[{n}] + 2 * k, 2)), 16, 10) as int) & 32767"
-    d = d.withColumn("_ends", F.expr(f"concat(array(0), if(_tails = 0, cast(array() as array<int>), transform(sequence(1, _tails), k -> {be})))"))
-    d = d.withColumn("_data", F.expr(f"_at[{n}] + 3 + 2 * _tails"))  # 1-based position of the first long value
-    rank = lambda i: f"size(filter(slice(_d, 1, {i + 1}), x -> x = 10))"
-    pieces = []
-    for i in range(n):
-        long = f"substring({b}, _data + _ends[{rank(i)} - 1], _ends[{rank(i)}] - _ends[{rank(i)} - 1])"
-        pieces.append(f"case when _d[{i}] in (0, 12, 13, 14, 15) then null when _d[{i}] in (1, 11) then X'' when _d[{i}] = 10 then {long} else substring({b}, _at[{i}], _len[{i}]) end")
-    d = d.withColumn("_v", F.expr(f"array({', '.join(pieces)})"))
-    err = f"""case when {b} is null or length({b}) < {start - 1} then 'truncated'
-      when cast(conv(hex(substring({b}, 1, 1)), 16, 10) as int) & 48 not in (32, 48) then 'not_compressed'
-      when exists(_d, x -> x in (12, 13)) then 'page_dictionary'
-      when _at[{n}] - 1 > length({b}) then 'parse_failed'
-      when _tails > 0 and (_data - 1 > length({b}) or _data - 1 + element_at(_ends, -1) > length({b}) or exists(sequence(1, _tails), k -> _ends[k] < _ends[k - 1])) then 'tail_parse_failed' end"""
-    d = d.withColumn("_err", F.expr(err))
-    vals = []
-    for i, c in enumerate(spec.columns):
-        v = f"_v[{i}]"
-        if c.type == R.BIT:
-            e = F.expr(f"if(_d[{i}] = 0, null, if(_d[{i}] = 11, '1', '0'))")
-        elif c.type == R.TINYINT:
-            e = F.expr(f"if({v} is null, null, if(length({v}) = 0, '0', conv(hex(substring({v}, 1, 1)), 16, 10)))")
-        elif c.type in INT_LIKE:
-            raw = _fixed_bytes(v, INT_LIKE[c.type])
-            e = F.expr(R._let(raw, "i_", R._money(R._signed("i_", "1", 8)) if c.type == R.MONEY else R.literal(c, "i_", "1", str(INT_LIKE[c.type]))))
-        elif c.type in (R.REAL, R.FLOAT):
-            w = R.fixed_size(c)
-            raw = f"if(length({v}) > {w}, null, unhex(lpad(hex({v}), {2 * w}, '0')))"
-            e = F.expr(R.literal(c, raw, "1", str(w)))
-        elif c.type in (R.DECIMAL, R.NUMERIC):
-            e = F.expr(_vardecimal(v, c.scale))
-        elif c.type in DAY_LIKE:
-            w = R.fixed_size(c)
-            e = F.expr(R.literal(c, f"if({v} is null, null, unhex(rpad(hex({v}), {2 * w}, '0')))", "1", str(w)))
-        elif c.type == R.UNIQUEIDENTIFIER:
-            e = F.when(F.expr(f"length({v}) = 16"), F.expr(R.literal(c, v, "1", "16")))
-        elif c.type == R.BINARY:
-            e = F.expr(f"concat('0x', rpad(hex({v}), {2 * c.length}, '0'))")
-        elif c.type in (R.NCHAR, R.NVARCHAR, R.NTEXT):
-            text = unicode_text(F.expr(v)) if c.type == R.NCHAR else F.when(F.expr(f"length({v}) = 0 or substring({v}, 1, 1) <> X'00'"), unicode_text(F.expr(v)))
-            e = F.concat(F.lit("N'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
-        elif c.type in (R.VARCHAR, R.TEXT):
-            e = F.when(F.expr(f"length({v}) = 0 or substring({v}, 1, 1) <> X'00'"), F.expr(R.literal(c, v, "1", f"length({v})")))
-        elif c.type == R.SQL_VARIANT:
-            e = F.lit(None).cast("string")
-        else:
-            e = F.expr(R.literal(c, v, "1", f"length({v})"))
-        vals.append(e)
-    d = d.withColumn(out, F.struct(F.col("_err").alias("err"), F.when(F.col("_err").isNull(), F.array(*vals)).alias("vals")))
-    return R.with_floats(d, spec, out).drop("_d", "_len", "_at", "_tails", "_ends", "_data", "_v", "_err")
+    return df.withColumn(out, R.arrow_function(run, R.DECODED)(F.col(image)))

@@ -1,100 +1,47 @@
-"""Row images as columns: the uncompressed row format written and read by generated SQL expressions, so that decoding stays in the JVM.
+"""Row images as columns: the uncompressed row format, read by Arrow batches and written by SQL expressions.
 
 A TableSpec gives the layout; `encode_sql` builds an image from plain columns, `decode` adds
 struct<err string, vals array<string>>: for each column its T-SQL literal, or null. Layout: 4 header bytes (the last two: end of the fixed part),
 fixed columns, column count, null bitmap, count of variable columns and their end offsets (bit 15: stored off the row), their data.
+Reading bytes as numbers has no compiled expression in Spark SQL (hex text and conv, within interpreted lambdas, took 12 times as long), so
+decoding is one Arrow function over the binary column.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from decimal import Decimal
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# Type ids of the source system.
-BIT, TINYINT, SMALLINT, INT, BIGINT, REAL, FLOAT, SMALLMONEY, MONEY, DECIMAL, NUMERIC = 104, 48, 52, 56, 127, 59, 62, 122, 60, 106, 108
-SMALLDATETIME, DATETIME, DATE, TIME, DATETIME2, DATETIMEOFFSET, UNIQUEIDENTIFIER = 58, 61, 40, 41, 42, 43, 36
-CHAR, NCHAR, BINARY, VARCHAR, TEXT, NVARCHAR, NTEXT, VARBINARY, IMAGE, XML, SQL_VARIANT, ROWVERSION = 175, 239, 173, 167, 35, 231, 99, 165, 34, 241, 98, 189
-TYPE_NAMES = {
-    BIT: "bit", TINYINT: "tinyint", SMALLINT: "smallint", INT: "int", BIGINT: "bigint", REAL: "real", FLOAT: "float", SMALLMONEY: "smallmoney", MONEY: "money",
-    DECIMAL: "decimal", NUMERIC: "numeric", SMALLDATETIME: "smalldatetime", DATETIME: "datetime", DATE: "date", TIME: "time", DATETIME2: "datetime2",
-    DATETIMEOFFSET: "datetimeoffset", UNIQUEIDENTIFIER: "uniqueidentifier", CHAR: "char", NCHAR: "nchar", BINARY: "binary", VARCHAR: "varchar", TEXT: "text",
-    NVARCHAR: "nvarchar", NTEXT: "ntext", VARBINARY: "varbinary", IMAGE: "image", XML: "xml", SQL_VARIANT: "sql_variant",
-}
-VARIABLE = {VARCHAR, TEXT, NVARCHAR, NTEXT, VARBINARY, IMAGE, XML, SQL_VARIANT}
-INTEGERS = {TINYINT: 1, SMALLINT: 2, INT: 4, BIGINT: 8}
-RANGES = {TINYINT: (0, 255), SMALLINT: (-(2**15), 2**15 - 1), INT: (-(2**31), 2**31 - 1)}
+from . import values
+from .types import *  # noqa: F403
+from .types import CHAR, DATETIME2, DECIMAL, INTEGERS, MONEY, NTEXT, NUMERIC, NVARCHAR, BIT, TableSpec, fixed_size
 
+DECODED = "struct<err:string,vals:array<string>>"
 
-@dataclass(frozen=True)
-class ColumnSpec:
-    id: int
-    name: str
-    type: int
-    length: int = 0
-    precision: int = 0
-    scale: int = 0
-    nullable: bool = True
 
-    @property
-    def variable(self) -> bool:
-        return self.type in VARIABLE or self.length < 0
+def arrow_function(fn: Callable, kind: str) -> Callable[..., Column]:
+    """fn(pa.Array, ...) -> pa.Array as a scalar Arrow function."""
+    fn.__annotations__ = dict.fromkeys(fn.__code__.co_varnames[: fn.__code__.co_argcount], pa.Array) | {"return": pa.Array}
+    return F.arrow_udf(fn, kind)
 
 
-def fixed_size(c: ColumnSpec) -> int:
-    """Bytes of a fixed column in the row."""
-    if c.type in INTEGERS:
-        return INTEGERS[c.type]
-    if c.type in (TIME, DATETIME2, DATETIMEOFFSET):
-        return (3 if c.scale <= 2 else 4 if c.scale <= 4 else 5) + {TIME: 0, DATETIME2: 3, DATETIMEOFFSET: 5}[c.type]
-    if c.type in (DECIMAL, NUMERIC):
-        return 5 if c.precision <= 9 else 9 if c.precision <= 19 else 13 if c.precision <= 28 else 17
-    return {BIT: 1, REAL: 4, FLOAT: 8, SMALLMONEY: 4, MONEY: 8, SMALLDATETIME: 4, DATETIME: 8, DATE: 3, UNIQUEIDENTIFIER: 16}.get(c.type, c.length)
+def decoded(err: list, vals: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(err, pa.string()), vals], ["err", "vals"])
 
 
-@dataclass(frozen=True)
-class TableSpec:
-    schema: str
-    name: str
-    columns: tuple[ColumnSpec, ...]
-    key: tuple[int, ...] = ()
-    compression: str = "NONE"
-    object_id: int = 0
-    base_index: str = ""
-    places: dict = field(default_factory=dict, compare=False, hash=False)
-
-    def __post_init__(self):
-        """places: column id -> ("var", index), ("bit", byte, bit) or ("fix", offset, size)."""
-        at, var, byte, bit = 0, 0, -1, 8
-        for c in self.columns:
-            if c.variable:
-                self.places[c.id] = ("var", var)
-                var += 1
-            elif c.type == BIT:
-                if bit >= 8:
-                    byte, bit, at = at, 0, at + 1
-                self.places[c.id] = ("bit", byte, bit)
-                bit += 1
-            else:
-                bit = 8
-                self.places[c.id] = ("fix", at, fixed_size(c))
-                at += fixed_size(c)
+def decode(df: DataFrame, spec: TableSpec, image: str, out: str) -> DataFrame:
+    """df with struct<err string, vals array<string>> of the column `image`; vals is null after an error."""
 
-    @property
-    def full_name(self) -> str:
-        return f"[{self.schema}].[{self.name}]"
+    def run(images):
+        return decoded(*values.decode_images(spec, images))
 
-    @property
-    def fixed_end(self) -> int:
-        ends = [p[1] + (p[2] if p[0] == "fix" else 1) for p in self.places.values() if p[0] != "var"]
-        return 4 + max(ends, default=0)
+    return df.withColumn(out, arrow_function(run, DECODED)(F.col(image)))
 
 
-# ---- numbers in bytes, as SQL text: b is a binary expression, at a 1-based position -------------------------------------------------
+# ---- writing, as SQL text: b is a binary expression, at a 1-based position ----------------------------------------------------------
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -110,179 +57,12 @@ def _le(b: str, at: str, n: int, kind: str = "bigint") -> str:
     return _let(f"hex(substring({b}, {at}, {n}))", "h_", f"cast(conv(concat({parts}), 16, 10) as {kind})")
 
 
-def _signed(b: str, at: str, n: int) -> str:
-    if n < 8:
-        return _let(_le(b, at, n), "u_", f"if(u_ >= {1 << (8 * n - 1)}, u_ - {1 << (8 * n)}, u_)")
-    return _let(_le(b, at, n, "decimal(20,0)"), "u_", f"cast(if(u_ >= {1 << 63}BD, u_ - {1 << 64}BD, u_) as bigint)")
-
-
 def _bytes(value: str, n: int) -> str:
     """n little-endian bytes of an integer expression (two's complement)."""
     parts = ", ".join(f"substring(x_, {2 * k + 1}, 2)" for k in reversed(range(n)))
     return _let(f"lpad(right(hex(cast({value} as bigint)), {2 * n}), {2 * n}, '0')", "x_", f"unhex(concat({parts}))")
 
 
-def _shortest(x) -> str | None:
-    if x is None or x != x:
-        return None
-    if x in (float("inf"), float("-inf")):
-        return "+Inf" if x > 0 else "-Inf"
-    number = Decimal(repr(float(x)))
-    sign = "-" if number.is_signed() else ""
-    digits = "".join(map(str, number.as_tuple().digits)).rstrip("0") or "0"
-    exponent = number.adjusted() if number else 0
-    if exponent < -4 or exponent >= 6:
-        return f"{sign}{digits[0]}{'.' + digits[1:] if digits[1:] else ''}e{'-' if exponent < 0 else '+'}{abs(exponent):02d}"
-    if exponent < 0:
-        return f"{sign}0.{'0' * (-exponent - 1)}{digits}"
-    whole, rest = digits[: exponent + 1].ljust(exponent + 1, "0"), digits[exponent + 1 :]
-    return f"{sign}{whole}{'.' + rest if rest else ''}"
-
-
-@F.pandas_udf(StringType())
-def float_literal(values: pd.Series) -> pd.Series:
-    """Shortest digits that give the number; with an exponent of two digits or more below 1e-4 and from 1e6 on."""
-    return values.map(_shortest)
-
-
-def _double(b: str, at: str) -> str:
-    """IEEE 754 double from its bytes, exactly: sign, exponent and mantissa put together by powers of two."""
-    power = "if(e_ = 0, m_ * pow(2D, -1074), (1 + m_ * pow(2D, -52)) * pow(2D, e_ - 1023))"
-    body = _let("shiftright(hi_, 20) & 2047", "e_", _let(f"(hi_ & 1048575) * 4294967296 + {_le(b, at, 4)}", "m_", f"if(hi_ >= 2147483648, -1D, 1D) * {power}"))
-    return _let(_le(b, f"({at} + 4)", 4), "hi_", body)
-
-
-def _single(b: str, at: str) -> str:
-    power = "if(e_ = 0, m_ * pow(2D, -149), (1 + m_ * pow(2D, -23)) * pow(2D, e_ - 127))"
-    return _let(_le(b, at, 4), "v_", _let("shiftright(v_, 23) & 255", "e_", _let("v_ & 8388607", "m_", f"if(v_ >= 2147483648, -1D, 1D) * {power}")))
-
-
-def _days(days: str, origin: str) -> str:
-    return f"date_format(date_add(date'{origin}', cast({days} as int)), 'yyyy-MM-dd')"
-
-
-def _clock(ticks: str, scale: int) -> str:
-    """HH:MM:SS.fffffff from units of 10^-scale seconds."""
-    parts = "concat(lpad(s_ div 3600, 2, '0'), ':', lpad((s_ div 60) % 60, 2, '0'), ':', lpad(s_ % 60, 2, '0'), '.', lpad(t_ % 10000000, 7, '0'))"
-    return _let(f"{ticks} * {10 ** (7 - scale)}", "t_", _let("t_ div 10000000", "s_", parts))
-
-
-def _quoted(text: str, prefix: str = "") -> str:
-    return f"""concat("{prefix}'", replace({text}, "'", "''"), "'")"""
-
-
-def _decimal(b: str, at: str, size: int, scale: int) -> str:
-    """Exact decimal text: a sign byte (1: positive), then the magnitude."""
-    if size == 5:
-        magnitude = f"cast({_le(b, f'({at} + 1)', 4)} as decimal(38,0))"
-    else:
-        words = [f"cast({_le(b, f'({at} + {1 + 4 * k})', 4)} as decimal(38,0)) * {1 << (32 * k)}BD" for k in range((size - 1) // 4)]
-        magnitude = "cast((" + " + ".join(words) + ") as decimal(38,0))"
-    text = f"concat(substring(d_, 1, length(d_) - {scale}), '.', right(d_, {scale}))" if scale else "d_"
-    sign = f"if(substring({b}, {at}, 1) = X'01' or m_ = '0', '', '-')"
-    return _let(f"cast({magnitude} as string)", "m_", _let(f"lpad(m_, greatest(length(m_), {scale + 1}), '0')", "d_", f"concat({sign}, {text})"))
-
-
-def _money(units: str) -> str:
-    text = "concat(if(n_ < 0, '-', ''), substring(a_, 1, length(a_) - 4), '.', right(a_, 4))"
-    return _let(f"cast({units} as decimal(20,0))", "n_", _let("lpad(cast(abs(n_) as string), greatest(length(cast(abs(n_) as string)), 5), '0')", "a_", text))
-
-
-def literal(c: ColumnSpec, b: str, at: str, size: str) -> str:
-    """The T-SQL literal of `size` bytes of b from `at` on. Floats come as their bits' value in Spark's text (see float_literal)."""
-    piece, t = f"substring({b}, {at}, {size})", c.type
-    if t in INTEGERS:
-        return f"cast({_le(b, at, 1) if t == TINYINT else _signed(b, at, INTEGERS[t])} as string)"
-    if t == FLOAT:
-        return f"cast({_double(b, at)} as string)"
-    if t == REAL:
-        return f"cast({_single(b, at)} as string)"
-    if t == SMALLMONEY:
-        return _money(_signed(b, at, 4))
-    if t == MONEY:  # the high half comes first
-        return _money(f"(cast({_signed(b, at, 4)} as decimal(20,0)) * 4294967296BD + {_le(b, f'({at} + 4)', 4)})")
-    if t in (DECIMAL, NUMERIC):
-        return _decimal(b, at, fixed_size(c), c.scale)
-    if t == SMALLDATETIME:
-        clock = _let(_le(b, f"({at} + 2)", 2), "c_", "concat(lpad(c_ div 60, 2, '0'), ':', lpad(c_ % 60, 2, '0'))")
-        return f"""concat("'", {_days(_le(b, at, 2), '1900-01-01')}, ' ', {clock}, ":00.000'")"""
-    if t == DATETIME:
-        clock = _let(f"({_le(b, at, 4)} * 10) div 3", "c_", "concat(lpad(c_ div 3600000, 2, '0'), ':', lpad((c_ div 60000) % 60, 2, '0'), ':', lpad((c_ div 1000) % 60, 2, '0'), '.', lpad(c_ % 1000, 3, '0'))")
-        return f"""concat("'", {_days(_signed(b, f'({at} + 4)', 4), '1900-01-01')}, ' ', {clock}, "'")"""
-    if t == DATE:
-        return f"""concat("'", {_days(_le(b, at, 3), '0001-01-01')}, "'")"""
-    if t in (TIME, DATETIME2, DATETIMEOFFSET):
-        n = fixed_size(ColumnSpec(0, "", TIME, scale=c.scale))
-        clock = _clock(_le(b, at, n), c.scale)
-        if t == TIME:
-            return f"""concat("'", {clock}, "'")"""
-        day = _days(_le(b, f"({at} + {n})", 3), "0001-01-01")
-        if t == DATETIME2:
-            return f"""concat("'", {day}, ' ', {clock}, "'")"""
-        zone = _let(_signed(b, f"({at} + {n + 3})", 2), "z_", "concat(if(z_ < 0, '-', '+'), lpad(abs(z_) div 60, 2, '0'), ':', lpad(abs(z_) % 60, 2, '0'))")
-        return f"""concat("'", {day}, ' ', {clock}, ' ', {zone}, "'")"""
-    if t == UNIQUEIDENTIFIER:
-        h = lambda order: "concat(" + ", ".join(f"hex(substring({b}, {at} + {k}, 1))" for k in order) + ")"
-        return f"""concat("'", {h((3, 2, 1, 0))}, '-', {h((5, 4))}, '-', {h((7, 6))}, '-', {h((8, 9))}, '-', {h(range(10, 16))}, "'")"""
-    if t == CHAR:
-        return _quoted(f"rtrim(' ', coalesce(try_validate_utf8(cast({piece} as string)), decode({piece}, 'ISO-8859-1')))")
-    if t in (VARCHAR, TEXT, XML):
-        return _quoted(f"coalesce(try_validate_utf8(cast({piece} as string)), decode({piece}, 'ISO-8859-1'))")
-    if t in (NCHAR, NVARCHAR, NTEXT):
-        text = f"decode(substring({b}, {at}, {size} - {size} % 2), 'UTF-16LE')"
-        return _quoted(f"rtrim(' ', {text})" if t == NCHAR else text, "N")
-    return f"concat('0x', hex({piece}))"
-
-
-def decode(df: DataFrame, spec: TableSpec, image: str, out: str) -> DataFrame:
-    """df with struct<err string, vals array<string>> of the column `image`; vals is null after an error.
-
-    The header is read in steps of their own, so that Catalyst works each offset out once per row."""
-    b, n_all, gaps = image, len(spec.columns), any(c.id != i + 1 for i, c in enumerate(spec.columns))
-    step = lambda d, name, sql: d.withColumn(name, F.expr(sql))
-    d = step(df, "_end", _le(b, "3", 2))
-    d = step(d, "_n", _le(b, "(_end + 1)", 2))
-    d = step(d, "_after", "_end + 3 + (_n + 7) div 8")  # position of the count of variable columns
-    d = step(d, "_vars", f"if(_after + 1 <= length({b}), {_le(b, '_after', 2)}, 0)")
-    n_var = sum(c.variable for c in spec.columns)
-    raw = ", ".join(f"if({v} < _vars and _after + {3 + 2 * v} <= length({b}), {_le(b, f'(_after + {2 + 2 * v})', 2)}, 0)" for v in range(n_var))
-    d = step(d, "_raw", f"array({raw})" if n_var else "cast(array() as array<bigint>)")
-    vals, off_row = [], []
-    for i, c in enumerate(spec.columns):
-        present = f"{i} < _n and ({_le(b, f'(_end + {3 + i // 8})', 1)} & {1 << (i % 8)}) = 0"
-        place = spec.places[c.id]
-        if place[0] == "var":
-            v = place[1]
-            stop, start = f"(_raw[{v}] & 32767)", f"(_raw[{v - 1}] & 32767)" if v else "(_after + 1 + 2 * _vars)"
-            off_row.append(f"({present} and {v} < _vars and _raw[{v}] >= 32768)")
-            vals.append(f"if({present} and {v} < _vars and {start} <= {stop} and {stop} <= length({b}), {literal(c, b, f'cast({start} + 1 as int)', f'cast({stop} - {start} as int)')}, null)")
-        elif place[0] == "bit":
-            at = 5 + place[1]
-            vals.append(f"if({present} and {at} <= length({b}), cast(shiftright({_le(b, str(at), 1)}, {place[2]}) & 1 as string), null)")
-        else:
-            at, size = 5 + place[1], place[2]
-            vals.append(f"if({present} and {at + size - 1} <= length({b}) and {at + size - 1} <= _end, {literal(c, b, str(at), str(size))}, null)")
-    err = f"""case when {b} is null or length({b}) < 4 then 'truncated'
-      when _end < 4 or _end > length({b}) then 'compressed_row'
-      when _end + 2 > length({b}) then 'truncated'
-      when _n > {n_all} {f'or _n = {n_all}' if gaps else ''} then 'schema_mismatch'
-      when _end + 2 + (_n + 7) div 8 > length({b}) then 'truncated'
-      {f"when {' or '.join(off_row)} then 'off_row_lob'" if off_row else ''} end"""
-    d = step(d, "_err", err)
-    d = step(d, out, f"named_struct('err', _err, 'vals', if(_err is null, array({', '.join(vals)}), null))")
-    return with_floats(d, spec, out).drop("_end", "_n", "_after", "_vars", "_raw", "_err")
-
-
-def with_floats(df: DataFrame, spec: TableSpec, out: str) -> DataFrame:
-    """Float columns' texts in the literal form; the only step that leaves the JVM, and only for tables that have one."""
-    floats = {i for i, c in enumerate(spec.columns) if c.type in (FLOAT, REAL)}
-    if not floats:
-        return df
-    items = [float_literal(F.col(f"{out}.vals")[i].cast("double")) if i in floats else F.col(f"{out}.vals")[i] for i in range(len(spec.columns))]
-    vals = F.when(F.col(f"{out}.err").isNull(), F.array(*items))
-    return df.withColumn(out, F.struct(F.col(f"{out}.err").alias("err"), vals.alias("vals")))
-
-
 def encode_sql(spec: TableSpec, values: dict[str, str], nulls: dict[str, str] | None = None, stored: int | None = None) -> str:
     """The image of a row, from SQL expressions by column name: integers and floats as such, texts as strings, datetime2 as timestamps.
 

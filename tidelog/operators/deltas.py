@@ -1,6 +1,6 @@
 """Updates known only by a fragment: the fixed columns that lie wholly inside it, the place of the fragment, and statements from them.
 
-All of it is expressions over the columns of the record; null in before or after means that the fragment does not tell that value."""
+Null in before or after means that the fragment does not tell that value."""
 
 from __future__ import annotations
 
@@ -8,27 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rows as R
+from ..functions import values
 from .statements import _lit
 
 
 def fragment_values(df: DataFrame, spec: R.TableSpec, before: str, after: str, offset: str, out: str = "delta") -> DataFrame:
     """Adds struct<before array<string>, after array<string>> from the fragment's old and new bytes, which start at `offset` of the row."""
 
-    def values(b: str) -> str:
-        items = []
-        for c in spec.columns:
-            place = spec.places[c.id]
-            if place[0] == "var":
-                items.append("cast(null as string)")
-                continue
-            at, size = f"({4 + place[1]} - {offset})", place[2] if place[0] == "fix" else 1
-            read = R.literal(c, b, f"({at} + 1)", str(size)) if place[0] == "fix" else f"cast(shiftright({R._le(b, f'({at} + 1)', 1)}, {place[2]}) & 1 as string)"
-            items.append(f"if({at} >= 0 and {at} + {size} <= length({b}), {read}, null)")
-        return f"named_struct('err', cast(null as string), 'vals', array({', '.join(items)}))"
-
-    d = df.withColumn("_old", F.expr(values(before))).withColumn("_new", F.expr(values(after)))
-    d = R.with_floats(R.with_floats(d, spec, "_old"), spec, "_new")
-    return d.withColumn(out, F.struct(F.col("_old.vals").alias("before"), F.col("_new.vals").alias("after"))).drop("_old", "_new")
+    def run(fragment, at):
+        return values.fragment_values(spec, fragment, at.fill_null(1 << 20).to_numpy(zero_copy_only=False))
+
+    read = R.arrow_function(run, "array<string>")
+    at = F.col(offset).cast("long")
+    return df.withColumn(out, F.struct(read(F.col(before), at).alias("before"), read(F.col(after), at).alias("after")))
 
 
 def fragment_offset(record: str, new: str, old: str) -> Column:

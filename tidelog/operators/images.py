@@ -5,10 +5,14 @@ slots it has, and a slot's rows are streamed in batches."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KEY = ("db_name", "alloc_unit_id", "page_id", "slot_id")
 ADDED = "before_image binary, after_image binary, fold_path string"
@@ -41,34 +45,62 @@ def _up4(n: int) -> int:
     return -(-n // 4) * 4
 
 
-def fragments(c0: bytes, c1: bytes, c3: bytes, record: bytes) -> list[tuple[int, bytes, bytes]] | None:
-    """(old offset, old bytes, new bytes) of a record that changes several places; None if its parts don't fit.
+def _places(c0: bytes, c1: bytes, c3: bytes, record: bytes) -> tuple[list[tuple[int, int, int]], bytes] | None:
+    """((offset before, offset after, old length) of each changed place, payload) of a record that changes several; None if its parts don't fit.
 
     c0 has pairs (offset before, offset after), c1 the old lengths; the payload follows c3 in the record, moved on by the remainder of its
-    place by 4 (not to the next multiple), and holds old and new bytes in turn, each padded to 4. A new length follows from how the
-    offsets shift at the next place; the last one takes the rest."""
+    place by 4 (not to the next multiple)."""
     n = len(c0) // 4
     at = record.find(c3) if c0 and len(c0) % 4 == 0 and len(c1) >= 2 * n else -1
     if at < 0:
         return None
     at += len(c3)
-    data = record[at + at % 4 :] if at + at % 4 <= len(record) else None
-    if data is None:
+    at += at % 4
+    return ([(_u16(c0, 2 * k), _u16(c0, 2 * k + 1), _u16(c1, k)) for k in range(n)], record[at:]) if at <= len(record) else None
+
+
+def fragments(c0: bytes, c1: bytes, c3: bytes, record: bytes, after: bytes | None = None) -> list[tuple[int, bytes, bytes]] | None:
+    """(old offset, old bytes, new bytes) of a record that changes several places; None if its parts don't fit.
+
+    The payload holds old and new bytes in turn, each padded to 4. A new length follows from how the offsets shift at the next place. The last
+    one takes the rest, or, where the image after the change is given, as much of the rest as stands there in it."""
+    found = _places(c0, c1, c3, record)
+    if found is None:
         return None
-    moved, out, at = [_u16(c0, 2 * k + 1) - _u16(c0, 2 * k) for k in range(n)], [], 0
-    for k in range(n):
-        size = _u16(c1, k)
+    places, data = found
+    out, at = [], 0
+    for k, (old_at, new_at, size) in enumerate(places):
         old, at = data[at : at + size], at + _up4(size)
         if len(old) < size or at > len(data):
             return None
-        size = size + moved[k + 1] - moved[k] if k + 1 < n else len(data) - at
+        if k + 1 < len(places):
+            size += places[k + 1][1] - places[k + 1][0] - (new_at - old_at)
+        elif after is None:
+            size = len(data) - at
+        else:
+            size = len(os.path.commonprefix([data[at:], after[new_at:]])) if new_at <= len(after) else -1
         if size < 0 or at + size > len(data):
             return None
-        out.append((_u16(c0, 2 * k), old, data[at : at + size]))
+        out.append((old_at, old, data[at : at + size]))
         at = min(at + _up4(size), len(data))
     return out
 
 
+def reversed_columns(after: bytes, c0: bytes, c1: bytes, c3: bytes, record: bytes) -> bytes | None:
+    """The image before a change of several places, from the one after it; None if the new bytes are not where they should be.
+
+    Places are put back from the first on, so what stands before a place is old already and its old offset holds."""
+    parts = fragments(c0, c1, c3, record, after)
+    if parts is None:
+        return None
+    image = after
+    for (old_at, old, new), (_, new_at, _) in zip(parts, _places(c0, c1, c3, record)[0], strict=True):
+        if after[new_at : new_at + len(new)] != new or old_at + len(new) > len(image):
+            return None
+        image = image[:old_at] + old + image[old_at + len(new) :]
+    return image
+
+
 def apply_fragments(image: bytes, parts: list[tuple[int, bytes, bytes]]) -> bytes | None:
     """The image with all parts spliced in; None if any old bytes are not where they should be."""
     shift = 0
@@ -80,49 +112,77 @@ def apply_fragments(image: bytes, parts: list[tuple[int, bytes, bytes]]) -> byte
     return image
 
 
-def step(state: bytes | None, operation: str, c0: bytes | None, c1: bytes | None, offset: int | None, c3: bytes | None = None, record: bytes | None = None):
-    """(new state, before, after, path) of one record. A change of several places is tried forward from the image, then backward."""
+def step(state: bytes | None, operation: str, c0: bytes | None, c1: bytes | None, offset: int | None, c3: bytes | None = None, record: bytes | None = None, page: bytes | None = None):
+    """(new state, before, after, path) of one record.
+
+    A change of several places is tried forward from the image at hand, then backward from it (it may be newer than the record), then
+    backward from the row's current image on its page, if there is one."""
     c0, c1 = c0 or b"", c1 or b""
     if operation == "LOP_INSERT_ROWS":
         return (c0 or state), None, c0 or None, "insert"
     if operation == "LOP_DELETE_ROWS":
         return None, c0 or None, None, "delete"
-    if state is None:
-        return None, None, None, "no_image"
     if operation == "LOP_MODIFY_ROW":
+        if state is None:
+            return None, None, None, "no_image"
         if offset is None or offset < 0:
             return state, None, None, "no_offset"
         after = splice(state, c0, c1, offset)
         return (after, state, after, "splice") if after is not None else (state, None, None, "not_verified")
-    parts = fragments(c0, c1, c3 or b"", record or b"")
-    after = apply_fragments(state, parts) if parts else None
-    if after is not None:
-        return after, state, after, "splice_columns"
-    before, why = reverse_patch(state, c0, c1)
-    return (state, before, state, "reverse") if before is not None else (state, None, None, why)
+    c3, record = c3 or b"", record or b""
+    if state is not None:
+        parts = fragments(c0, c1, c3, record)
+        after = apply_fragments(state, parts) if parts else None
+        if after is not None:
+            return after, state, after, "splice_columns"
+    for image, path in ((state, "reverse_columns"), (page, "reverse_page")):
+        before = reversed_columns(image, c0, c1, c3, record) if image else None
+        if before is not None:
+            return image, before, image, path
+    return state, None, None, "no_image" if state is None and not page else "columns_not_decoded"
+
+
+def _changes(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether a row's slot is another one than the row's before it; the first row is not compared."""
+    out = np.zeros(batch.num_rows, bool)
+    for k in KEY:
+        c = batch.column(batch.schema.get_field_index(k))
+        differ = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, max(len(c) - 1, 0))), True)
+        out[1:] |= differ.to_numpy(zero_copy_only=False)
+    return out
 
 
 def fold(records: DataFrame) -> DataFrame:
-    """Records with page and slot, with before and after images. Needs KEY, lsn, operation, contents0, contents1, offset_in_row; contents3 and log_record serve changes of several places.
+    """Records with page and slot, with before and after images. Needs KEY, lsn, operation, contents0, contents1, offset_in_row; contents3 and log_record serve
+    changes of several places, page_image (the row's current image, see `with_page_images`) those of rows without a known image.
 
-    One shuffle by slot and a sort within partitions; the walk keeps the image of the slot at hand, across batches."""
+    One shuffle by slot and a sort within partitions; the walk keeps the image of the slot at hand, across batches. A record without a page
+    or slot has no image but its own."""
     names = records.columns
-    extra_names = [n for n in ("contents3", "log_record") if n in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields) + ", " + ADDED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, state = None, None
         for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in (*KEY, "operation", "contents0", "contents1", "offset_in_row")}
-            keys = list(zip(*(batch.column(at[k]).to_pylist() for k in KEY), strict=True))
-            found = []
-            more = [batch.column(batch.schema.get_field_index(n)).to_pylist() if n in extra_names else [None] * batch.num_rows for n in ("contents3", "log_record")]
-            for key, op, c0, c1, off, c3, rec in zip(keys, *(batch.column(at[n]).to_pylist() for n in ("operation", "contents0", "contents1", "offset_in_row")), *more, strict=True):
-                if key != slot:
-                    slot, state = key, None
-                state, before, after, path = step(state, op, c0, c1, off, c3, rec)
-                found.append((before, after, path))
-            extra = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.binary(), pa.string()), strict=True)] if found else [pa.array([], t) for t in (pa.binary(), pa.binary(), pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "before_image", "after_image", "fold_path"])
+            n = batch.num_rows
+            if not n:
+                continue
+            column = lambda name, b=batch, n=n: b.column(b.schema.get_field_index(name)).to_pylist() if name in names else [None] * n
+            new = _changes(batch)
+            key_at = lambda i, b=batch: tuple(b.column(b.schema.get_field_index(k))[i].as_py() for k in KEY)
+            new[0] = key_at(0) != slot
+            loose = pc.or_(pc.is_null(batch.column(batch.schema.get_field_index("page_id"))), pc.is_null(batch.column(batch.schema.get_field_index("slot_id")))).to_numpy(zero_copy_only=False)
+            before, after, paths = [None] * n, [None] * n, [None] * n
+            rows = zip(column("operation"), column("contents0"), column("contents1"), column("offset_in_row"), column("contents3"), column("log_record"), column("page_image"), strict=True)
+            for i, (fresh, row) in enumerate(zip((new | loose).tolist(), rows, strict=True)):
+                state, before[i], after[i], paths[i] = step(None if fresh else state, *row)
+            slot = key_at(n - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(paths, pa.string())], [*names, "before_image", "after_image", "fold_path"])
 
     return records.repartition(*KEY).sortWithinPartitions(*KEY, "lsn").mapInArrow(run, schema)
+
+
+def with_page_images(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds page_image, the current image of each record's row: pages has db_name, page_id, slot_id and image (of `log_sources.page_images`)."""
+    current = pages.groupBy("db_name", "page_id", "slot_id").agg(F.max("image").alias("page_image"))
+    return records.join(current, ["db_name", "page_id", "slot_id"], "left")

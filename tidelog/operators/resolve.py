@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def resolve_storage(records: DataFrame, tables: DataFrame, partitions: DataFrame) -> DataFrame:
@@ -21,8 +21,9 @@ def resolve_storage(records: DataFrame, tables: DataFrame, partitions: DataFrame
     if the last is the table's base index. tables: object_id, schema_name, table_name, base_index; partitions: object_id, alloc_unit_id, partition_id."""
     units = partitions.where("alloc_unit_id <> 0").groupBy("alloc_unit_id").agg(F.min("object_id").alias("_unit"))
     parts = partitions.where("partition_id <> 0").groupBy("partition_id").agg(F.min("object_id").alias("_part"))
-    names = tables.select(F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("_name"), F.col("object_id").alias("_named"), F.lower("base_index").alias("_base"))
-    known = tables.select(F.col("object_id").alias("_known"))
+    # Names that differ in case alone mean the table of the smallest id, so that no record is doubled.
+    names = tables.groupBy(F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("_name")).agg(F.min("object_id").alias("_named"), F.min_by(F.lower("base_index"), "object_id").alias("_base"))
+    known = tables.select(F.col("object_id").alias("_known")).distinct()
     piece = F.split("alloc_unit_name", r"\.", 3)
     r = records.withColumn("_pieces", piece).withColumn("_name", F.lower(F.concat_ws(".", F.col("_pieces")[0], F.get("_pieces", F.lit(1)))))
     r = r.join(small(units), "alloc_unit_id", "left").join(small(parts), "partition_id", "left").join(small(names), "_name", "left")

@@ -1,18 +1,19 @@
 """Assembly of committed transactions from log records, in batch form.
 
 A transaction id can come again after its COMMIT or ABORT, so records are numbered by epoch: how many of these the id has had before.
-All windows and groups share the key (db_name, transaction_id), so one shuffle deals the records for every step.
+Data records are dealt by (db_name, transaction_id, stretch of the log); only begins, ends and clean-ups meet by transaction.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.predicates import is_data_op, is_internal_transaction
+from ..functions.predicates import is_base_row, is_data_op, is_executable, is_internal_transaction
 
 KEY = ("db_name", "transaction_id")
 
@@ -23,24 +24,39 @@ def first_seen(records: DataFrame, rank: str = "source_rank") -> DataFrame:
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def with_epochs(records: DataFrame) -> DataFrame:
+def with_epochs(records: DataFrame, lsn_prefix: int = 14) -> DataFrame:
     """Adds epoch, kind (COMMIT, ABORT or null), begin_at, end_at, excluded_from (lsn) and undone (a later epoch of the id is excluded).
 
-    Needs columns lsn, operation, transaction_name, seen_at (timestamp of a begin or an end) and cleanup (boolean)."""
-    order = Window.partitionBy(*KEY).orderBy("lsn")
+    Needs columns lsn, operation, transaction_name, seen_at (timestamp of a begin or an end) and cleanup (boolean).
+
+    A transaction may hold a third of the log, so its data records never meet: they are numbered within stretches of the log (records that
+    share `lsn_prefix` characters of the lsn), from the count of ends before each stretch. What an epoch is like follows from its begin, end and
+    clean-up records alone and is joined by (id, epoch)."""
     ended = F.col("operation").isin(S.COMMIT, S.ABORT)
-    numbered = records.withColumn("epoch", F.coalesce(F.sum(ended.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    one = Window.partitionBy(*KEY, "epoch")
+    stretch = F.substring("lsn", 1, lsn_prefix)
     excludes = ((F.col("operation") == S.BEGIN) & is_internal_transaction(F.col("transaction_name"))) | F.col("cleanup")
-    marked = (
-        numbered.withColumn("kind", F.max(F.when(ended, F.col("operation"))).over(one))
-        .withColumn("begin_at", F.max_by(F.when(F.col("operation") == S.BEGIN, F.col("seen_at")), F.when(F.col("operation") == S.BEGIN, F.col("lsn"))).over(one))
-        .withColumn("end_at", F.max(F.when(ended, F.col("seen_at"))).over(one))
-        .withColumn("excluded_from", F.min(F.when(excludes, F.col("lsn"))).over(one))
-    )
+    part = records.withColumn("_stretch", stretch)
+    counts = part.groupBy(*KEY, "_stretch").agg(F.sum(ended.cast("long")).alias("_ends"))
+    before = F.sum("_ends").over(Window.partitionBy(*KEY).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("_stretch").alias("_at"), "_before")
+    same = lambda *more: reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY] + list(more))
+    numbered = part.join(counts, same(F.col("_stretch") == F.col("_at"))).drop(*[f"_{k}" for k in KEY], "_at")
+    inside = F.sum(ended.cast("long")).over(Window.partitionBy(*KEY, "_stretch").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = numbered.withColumn("epoch", F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_before", "_stretch")
+    begun = F.col("operation") == S.BEGIN
+    epochs = numbered.where(ended | begun | F.col("cleanup")).groupBy(*KEY, "epoch").agg(
+        F.max(F.when(ended, F.col("operation"))).alias("kind"),
+        F.max_by(F.when(begun, F.col("seen_at")), F.when(begun, F.col("lsn"))).alias("begin_at"),
+        F.max(F.when(ended, F.col("seen_at"))).alias("end_at"),
+        F.min(F.when(excludes, F.col("lsn"))).alias("excluded_from"),
+    )
     # What an exclusion takes back: everything of the same id that was written before it.
-    last_excluded = F.max(F.when(excludes, F.col("epoch"))).over(Window.partitionBy(*KEY))
-    return marked.withColumn("undone", F.coalesce(last_excluded > F.col("epoch"), F.lit(False)))
+    last = epochs.where("excluded_from is not null").groupBy(*KEY).agg(F.max("epoch").alias("_last"))
+    epochs = epochs.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("epoch").alias("_epoch"), "kind", "begin_at", "end_at", "excluded_from")
+    last = last.select(*[F.col(k).alias(f"_{k}") for k in KEY], "_last")
+    marked = numbered.join(epochs, same(F.col("epoch") == F.col("_epoch")), "left").drop(*[f"_{k}" for k in KEY], "_epoch")
+    marked = marked.join(last, same(), "left").drop(*[f"_{k}" for k in KEY])
+    return marked.withColumn("undone", F.coalesce(F.col("_last") > F.col("epoch"), F.lit(False))).drop("_last")
 
 
 def committed(records: DataFrame, since: datetime | None = None) -> DataFrame:
@@ -72,3 +88,14 @@ def scan_counters(records: DataFrame) -> DataFrame:
         n(F.col("operation") == S.BEGIN).alias("begins"), n(F.col("operation") == S.COMMIT).alias("commits"), n(F.col("operation") == S.ABORT).alias("aborts"),
         n(data).alias("data"), n(F.coalesce(good, F.lit(False))).alias("committed"), n(data & F.col("kind").isNull() & F.col("excluded_from").isNull()).alias("pending"), F.max("lsn").alias("last_lsn"),
     )
+
+
+def detail_counters(resolved: DataFrame, events: DataFrame) -> DataFrame:
+    """One row for each database of what a scan made of its data records: eligible by context, of a known table, events, of those by operation and
+    without executable SQL. resolved: data records with context and object_id; events: of `generate.scan`."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    base = is_base_row(F.col("context"))
+    seen = resolved.groupBy("db_name").agg(F.count(F.lit(1)).alias("data"), n(base).alias("eligible"), n(base & F.col("object_id").isNotNull()).alias("resolved"))
+    op = lambda o: n(F.col("operation") == o).alias(o.lower() + "s")
+    made = events.groupBy("db_name").agg(F.count(F.lit(1)).alias("generated"), op("INSERT"), op("UPDATE"), op("DELETE"), n(~is_executable(F.col("sql_stmt"))).alias("errors"))
+    return seen.join(made, "db_name", "left").fillna(0)

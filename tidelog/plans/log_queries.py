@@ -6,6 +6,8 @@ shuffle. Where a page of groups needs its events, the page (its size is a parame
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_executable
+from ..operators.resolve import small
 
 SORTABLE = ("event_time", "lsn", "operation", "db_name", "table_name")
 PAGE_COLUMNS = ("id", "lsn", "txn_id", "operation", "db_name", "schema_name", "table_name", "sql_stmt", "rollback_sql", "event_time", "commit_time", "status")
@@ -118,8 +121,8 @@ def transaction_groups(events: DataFrame, where: LogFilter = LogFilter(), page:
 
 
 def transaction_events(events: DataFrame, groups: DataFrame, where: LogFilter = LogFilter()) -> DataFrame:
-    """The events of a page of groups. The page has at most 200 rows, so it is broadcast."""
-    return where.apply(events).join(F.broadcast(groups.select("db_name", "txn_id")), ["db_name", "txn_id"], "left_semi")
+    """The events of a page of groups. A page has at most 200 rows; it is broadcast after a count."""
+    return where.apply(events).join(small(groups.select("db_name", "txn_id")), ["db_name", "txn_id"], "left_semi")
 
 
 def transaction_details(events: DataFrame, groups: DataFrame, where: LogFilter = LogFilter()) -> DataFrame:
@@ -179,29 +182,44 @@ def rollback_lines(events: DataFrame, where: LogFilter = LogFilter()) -> DataFra
 
 
 def rollback_script(events: DataFrame, title: str, where: LogFilter = LogFilter()) -> DataFrame:
-    """One row: the rollbacks that can run, newest first, inside a transaction to be closed by hand.
+    """The script as rows (part, lsn, id, line): a head, the rollbacks that can run, newest first, and a tail, inside a transaction to be closed by hand.
 
-    A script is a single text by nature; `where` selects the transactions it covers. For large selections see rollback_lines."""
+    Its order is part, then lsn and id from the last on; a selection of any size is sorted by range, never gathered."""
+    head = f"-- Rollback of {title}\n-- Review before running.\n\nBEGIN TRANSACTION;\n"
+    tail = "\n-- COMMIT TRANSACTION;\n-- ROLLBACK TRANSACTION;"
+    ends = events.sparkSession.createDataFrame([(0, None, None, head), (2, None, None, tail)], "part int, lsn string, id long, line string")
     chosen = where.apply(events).where("rollback_sql is not null and rollback_sql <> ''")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("lsn", "id", "rollback_sql")), asc=False), lambda x: x["rollback_sql"])
-    head = F.lit(f"-- Rollback of {title}\n-- Review before running.\n\nBEGIN TRANSACTION;\n\n")
-    tail = F.lit("\n\n-- COMMIT TRANSACTION;\n-- ROLLBACK TRANSACTION;")
-    return chosen.agg(F.concat(head, F.array_join(parts, "\n\n"), tail).alias("script"))
+    return ends.unionByName(chosen.select(F.lit(1).alias("part"), "lsn", F.col("id").cast("long").alias("id"), F.col("rollback_sql").alias("line")))
+
+
+def write_script(script: DataFrame, path: str) -> None:
+    """The rows of rollback_script as text files whose names are in the script's order."""
+    script.orderBy("part", F.desc("lsn"), F.desc("id")).select("line").write.text(path)
+
+
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""", re.S)
+_WRITES = re.compile(r"\b(insert\s+(into|overwrite)|delete\s+from|merge\s+into|update\s+\S+(\s+\S+){0,2}?\s+set)\b", re.I)
 
 
 def read_only(text: str) -> str:
-    """The text of an ad-hoc query; anything but a single SELECT or WITH (or VALUES, TABLE) statement is refused."""
-    words = text.strip().rstrip(";").lstrip("(").split(None, 1)
-    if not words or words[0].lower() not in ("select", "with", "values", "table", "from") or ";" in text.strip().rstrip(";"):
+    """The text of an ad-hoc query; anything but a single SELECT, WITH, VALUES or TABLE statement is refused, also a write behind a WITH.
+
+    What stands in quotes or comments doesn't count."""
+    text = text.strip().rstrip(";")
+    plain = _QUOTED.sub(" ? ", text)
+    words = plain.lstrip("( \n\t").split(None, 1)
+    if not words or words[0].lower() not in ("select", "with", "values", "table") or ";" in plain or _WRITES.search(plain):
         raise ValueError("only a single query is accepted")
-    return text.strip().rstrip(";")
+    return text
 
 
 def ad_hoc(events: DataFrame, text: str) -> DataFrame:
-    """Spark SQL over the view log_events."""
-    spark = events.sparkSession
-    events.createOrReplaceTempView("log_events")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(read_only(text))
-    if "Command" in plan.getClass().getName() or "Insert" in plan.getClass().getName():
-        raise ValueError("only a single query is accepted")
-    return spark.sql(read_only(text))
+    """Spark SQL over log_events. The name is one of the query's own, so views of the session stay as they are."""
+    query, view = read_only(text), f"log_events_{uuid.uuid4().hex}"
+    events.createOrReplaceTempView(view)
+    own = f"WITH log_events AS (SELECT * FROM {view})"
+    named = re.match(r"\s*with\s+(?!recursive\b)", query, re.I)
+    try:
+        return events.sparkSession.sql(f"{own}, {query[named.end() :]}" if named else f"{own} {query}")
+    finally:
+        events.sparkSession.catalog.dropTempView(view)

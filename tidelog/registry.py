@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import more_queries
+from . import more_queries, scan_queries
 from .functions import lsn as L
 from .operators import store, transactions
 from .plans import fixtures
@@ -222,9 +222,9 @@ def rollback_lines(e):
     return Q.rollback_lines(e)
 
 
-@events_query(f"""SELECT '-- Rollback of db1' || chr(10) || '-- Review before running.' || chr(10) || chr(10) || 'BEGIN TRANSACTION;' || chr(10) || chr(10)
- || string_agg(rollback_sql, chr(10) || chr(10) ORDER BY lsn DESC) || chr(10) || chr(10) || '-- COMMIT TRANSACTION;' || chr(10) || '-- ROLLBACK TRANSACTION;' AS script
-FROM {EV} WHERE db_name = 'db1' AND rollback_sql <> ''""")
+@events_query(f"""SELECT 0 AS part, NULL AS lsn, CAST(NULL AS BIGINT) AS id, '-- Rollback of db1' || chr(10) || '-- Review before running.' || chr(10) || chr(10) || 'BEGIN TRANSACTION;' || chr(10) AS line
+UNION ALL SELECT 1, lsn, CAST(id AS BIGINT), rollback_sql FROM {EV} WHERE db_name = 'db1' AND rollback_sql <> ''
+UNION ALL SELECT 2, NULL, NULL, chr(10) || '-- COMMIT TRANSACTION;' || chr(10) || '-- ROLLBACK TRANSACTION;'""")
 def rollback_script(e):
     return Q.rollback_script(e, "db1", Q.LogFilter(db="db1"))
 
@@ -286,8 +286,8 @@ def scan_counters(r):
 
 
 def queries() -> dict:
-    return _queries | more_queries.queries()
+    return _queries | more_queries.queries() | scan_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles | more_queries.oracle_sql()
+    return _oracles | more_queries.oracle_sql() | scan_queries.oracle_sql()

@@ -81,13 +81,27 @@ def gap_backups(backups: DataFrame, lsn, now: datetime, most: int = 64, days: in
     return backups.where((F.col("last_lsn") >= F.lit(lsn)) & (F.col("finished") >= F.lit(now - timedelta(days=days)))).orderBy("first_lsn").limit(most)
 
 
-def covering_backups(points: DataFrame, backups: DataFrame, lsn: str, width: int = 10_000) -> DataFrame:
-    """Points joined with the backups whose range holds them: an equi-join on blocks of `width` numbers, then the exact test.
-
-    Choose a width near the usual length of a range; a range is dealt to each block it touches."""
-    block = lambda c: F.floor(F.col(c) / width).cast("long")
-    dealt = backups.withColumn("_block", F.explode(F.sequence(block("first_lsn"), block("last_lsn"))))
-    return points.withColumn("_block", block(lsn)).join(dealt, "_block").where(F.col(lsn).between(F.col("first_lsn"), F.col("last_lsn"))).drop("_block")
+def covering_backups(points: DataFrame, backups: DataFrame, lsn: str, most: int | None = None, bins: int = 4096) -> DataFrame:
+    """Points joined with the backups whose range [first_lsn, last_lsn] holds them; with `most`, with the first so many by backup_id.
+
+    Numbers of a log leap by 2^48 from file to file, so they are dealt into bins of about equally many backups (by quantiles of first_lsn), a
+    range into each bin that it touches: an equi-join on bins, then the exact test."""
+    shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    edges = backups.agg(F.array_sort(F.array_distinct(F.percentile_approx("first_lsn", shares, F.lit(100 * bins)))).alias("e")).first()["e"] or []
+    # Two looks at 64 edges each instead of one at all of them.
+    coarse = F.array(*[F.lit(e) for e in edges[::64]]).cast("array<decimal(25,0)>")
+    fine = F.array(*[F.array(*[F.lit(e) for e in edges[k : k + 64]]) for k in range(0, len(edges), 64)]).cast("array<array<decimal(25,0)>>")
+
+    def bin_of(c: str):
+        below = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col(c).cast("decimal(25,0)")))
+        block = below(coarse)
+        return F.when(block > 0, 64 * block + below(F.element_at(fine, block))).otherwise(0)
+
+    dealt = backups.withColumn("_bin", F.explode(F.sequence(bin_of("first_lsn"), bin_of("last_lsn"))))
+    found = points.withColumn("_bin", bin_of(lsn)).join(dealt, "_bin").where(F.col(lsn).between(F.col("first_lsn"), F.col("last_lsn"))).drop("_bin")
+    if most is None:
+        return found
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy(*points.columns).orderBy("backup_id"))).where(F.col("_n") <= most).drop("_n")
 
 
 def user_databases(databases: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Following a log: micro-batches of records joined with the open transactions left by the batch before, run through the batch assembler.
 
-State between batches is a table of carried-over records (of transactions without an end yet), written under the batch's id, so that a
+State between batches is a table of carried-over records (of transactions without an end yet), written under the batch's number, so that a
 batch that is run again reads the same state and writes the same rows: the upsert by (db_name, lsn) makes its output exactly-once."""
 
 from __future__ import annotations
@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators import transactions
+from ..sources.log_sources import both
 
 
 def split(records: DataFrame, now: datetime | None = None, timeout_hours: float = 2) -> tuple[DataFrame, DataFrame]:
@@ -42,23 +44,54 @@ def follow(
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark: SparkSession = df.sparkSession
-        before = _carried(spark, f"{state_dir}/{batch_id - 1}", df)
-        records = before.unionByName(df)
+        records = _carried(spark, state_dir, batch_id - 1, df).unionByName(df)
         done, left = split(records, now() if now else None)
         if retract:
             retract(retractions(records), batch_id)
         sink(done, batch_id)
-        left.write.mode("overwrite").parquet(f"{state_dir}/{batch_id}")
+        _carry(left, state_dir, batch_id)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
-def _carried(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The state left by a batch; empty before the first."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+#: State folders in turn: a batch overwrites the one of the third batch before it, so the one that it read itself stays until it is done.
+FOLDERS = 3
+
+
+def _carry(left: DataFrame, state_dir: str, batch_id: int) -> None:
+    """Writes the state of a batch with its number on every row, and a row without a record, so that an empty state has a number too."""
+    mark = left.sparkSession.createDataFrame([(True,)], "_mark boolean")
+    rows = left.withColumn("_mark", F.lit(False)).unionByName(mark, allowMissingColumns=True)
+    rows.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{state_dir}/{batch_id % FOLDERS}")
+
+
+def _carried(spark: SparkSession, state_dir: str, batch_id: int, like: DataFrame) -> DataFrame:
+    """The state that a batch left; empty before the first batch, an error if it is missing later."""
+    if batch_id < 0:
         return like.limit(0)
-    return spark.read.schema(like.schema).parquet(path)
+    try:
+        found = spark.read.parquet(f"{state_dir}/{batch_id % FOLDERS}")
+        whole = found.where((F.col("_batch") == batch_id) & F.col("_mark")).count() == 1
+    except AnalysisException:
+        whole = False
+    if not whole:
+        raise RuntimeError(f"the open transactions that batch {batch_id} left are not in {state_dir}")
+    return found.where(~F.col("_mark")).select(*like.columns)
+
+
+def new_records(log: DataFrame, stored: DataFrame | None, checkpoint: str) -> tuple[DataFrame, bool]:
+    """(records after the checkpoint, whether some may be missing).
+
+    Where the log no longer reaches back to the checkpoint, records of backups (stored) fill in, and what both hold counts once. Without a
+    checkpoint all of the log is read; it may be missing some only if there is a gap and no backup reaches it."""
+    first = log.agg(F.min("lsn").alias("lsn")).first()["lsn"]
+    after = log.where(F.col("lsn") > checkpoint) if checkpoint else log
+    if not checkpoint or not gap(checkpoint, first or ""):
+        return after, False
+    between = stored.where((F.col("lsn") > checkpoint) & (F.col("lsn") < F.lit(first))) if stored is not None else None
+    if between is None or not between.head(1):
+        return log, True
+    return transactions.first_seen(both(stored.where(F.col("lsn") > checkpoint), log)).drop("source_rank"), False
 
 
 def gap(checkpoint: str, first_available: str) -> bool:
