@@ -8,6 +8,7 @@ from tidelog.functions import compressed, rows, values
 from tidelog.functions.rows import ColumnSpec as C
 from tidelog.functions.rows import TableSpec
 from tidelog.operators import images
+from tidelog.scan_queries import _short, pack
 
 
 def decoded(spark, spec, image, how=rows.decode):
@@ -71,20 +72,51 @@ def test_float_literals():
 
 
 def test_compressed(spark):
-    spec = table((rows.INT,), (rows.INT,), (rows.VARCHAR, 20), (rows.MONEY,), (rows.BIT,), (rows.DECIMAL, 0, 18, 4), (rows.BIGINT,))
-    # descriptors: 1 byte, NULL, 5 bytes, zero, true, 4 bytes, 1 byte
-    data = bytes([0x30, 0x00, 0x02, 0x16, 0x5B, 0x02]) + b"\xfb" + b"ORD-1" + bytes.fromhex("C3F6E8E5") + b"\x7f"
-    assert decoded(spark, spec, data, compressed.decode) == (None, ["123", None, "'ORD-1'", "0.0000", "1", "9876.5432", "-1"])
-    two = table((rows.VARCHAR, 50), (rows.NVARCHAR, 50), (rows.VARCHAR, 50))
-    tail = b"\x01\x02" + struct.pack(">HH", 10, 14) + b"\x00"
-    data = bytes([0x30, 0x00, 0xAA, 0x02]) + b"z" + tail + b"abcdefghij" + bytes.fromhex("4102F142")
-    assert decoded(spark, two, data, compressed.decode) == (None, ["'abcdefghij'", "N'AıB'", "'z'"])
-    assert decoded(spark, table((rows.VARCHAR, 20)), bytes.fromhex("30000C"), compressed.decode)[0] == "page_dictionary"
-    assert decoded(spark, table((rows.VARCHAR, 20)), bytes.fromhex("30000500"), compressed.decode)[0] == "parse_failed"
+    spec = table((rows.INT,), (rows.SMALLINT,), (rows.VARCHAR, 20), (rows.MONEY,), (rows.BIT,), (rows.TINYINT,), (rows.BIGINT,), (rows.VARBINARY, 30), (rows.NVARCHAR, 30))
+    wide = "Zoë Ω".encode("utf-16-le")
+    for number in (0, 1, -1, 127, 128, -128, -129, 40_000, -(2**31), 2**31 - 1):
+        parts = [_short(number), _short(number % 200), b"", _short(-25_0000), number % 2 == 0, bytes([number % 256]), _short(number * 2**31), b"0123456789" * 2, None]
+        money = "-25.0000"
+        want = [str(number), str(number % 200), "''", money, "1" if number % 2 == 0 else "0", str(number % 256), str(number * 2**31), "0x" + (b"0123456789" * 2).hex().upper(), None]
+        assert decoded(spark, spec, pack(parts), compressed.decode) == (None, want)
+    assert decoded(spark, table((rows.NVARCHAR, 30)), pack([b"plain"]), compressed.decode) == (None, ["N'plain'"])
+    assert decoded(spark, table((rows.NVARCHAR, 30)), pack([squeezed(wide)]), compressed.decode) == (None, ["N'Zoë Ω'"])
+    two = table((rows.VARCHAR, 90), (rows.INT,), (rows.VARCHAR, 90))
+    assert decoded(spark, two, pack([b"first long text", _short(5), b"the second long one's"]), compressed.decode) == (None, ["'first long text'", "5", "'the second long one''s'"])
+    assert decoded(spark, two, pack([b"first long text", _short(5), b"the second long"])[:-3], compressed.decode)[0] == "tail_parse_failed"
+    assert decoded(spark, two, pack([b"abc", _short(5), b"d"])[:-2], compressed.decode)[0] == "parse_failed"
+    assert decoded(spark, two, b"\x30\x00\xcc\x0c", compressed.decode)[0] == "page_dictionary" and decoded(spark, two, b"\x10\x00\x11\x01", compressed.decode)[0] == "not_compressed"
+
+
+def test_vardecimal():
+    for text, scale in (("0.00", 2), ("7", 0), ("123.45", 2), ("-0.0500", 4), ("100000.000", 3), ("-98765432109876543210.5", 1)):
+        assert compressed.vardecimal(packed_decimal(text), scale) == text
+    assert compressed.vardecimal(packed_decimal("1.239"), 2) == "1.23"
+
+
+def packed_decimal(text):
+    """Sign and exponent, then three digits in ten bits, from the first digit that is not zero."""
+    digits = text.lstrip("-").replace(".", "").lstrip("0")
+    if not digits:
+        return b""
+    whole = text.lstrip("-").split(".")[0].lstrip("0")
+    exponent = len(whole) if whole else -(len(text.split(".")[1]) - len(text.split(".")[1].lstrip("0")))
+    digits += "0" * (-len(digits) % 3)
+    bits = "".join(f"{int(digits[i : i + 3]):010b}" for i in range(0, len(digits), 3))
+    bits += "0" * (-len(bits) % 8)
+    return bytes([(0 if text[0] == "-" else 128) | (63 + exponent)]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def squeezed(wide):
+    """UTF-16LE in the compressed form: one byte below 128, the plain two below 256, else the mark 0E and both bytes, high one first."""
+    return b"".join((bytes((lo,)) if 16 < lo < 128 else bytes((lo, 0))) if not hi else bytes((0x0E, hi, lo)) for lo, hi in zip(wide[::2], wide[1::2], strict=True))
 
 
 def test_unicode_compression():
-    assert compressed.expand_unicode(bytes.fromhex("4102F142")).decode("utf-16-le") == "AıB"
+    for text in ("", "abc", "naïve Ж 日本", "x" * 50):
+        assert compressed.expand_unicode(squeezed(text.encode("utf-16-le"))).decode("utf-16-le") == text
+    # A lead byte of 1 to 13 and a byte over 127 make one character.
+    assert compressed.expand_unicode(bytes([0x05, 0x90])) == bytes([0x90 ^ 0xC0, 0x04])
     with pytest.raises(ValueError):
         compressed.expand_unicode(b"\x0e\x01")
 
@@ -104,6 +136,13 @@ def test_fragments():
     assert images.apply_fragments(b"abc one__ xx!", parts) == b"abc three__ y!"
     assert images.apply_fragments(b"abc two__ xx!", parts) is None
     assert images.step(b"abc one__ xx!", "LOP_MODIFY_COLUMNS", c0, c1, -1, c3, record)[3] == "splice_columns"
+    # The same change taken back, also where the row has grown since; not where the new bytes are gone.
+    assert images.reversed_columns(b"abc three__ y!", c0, c1, c3, record) == b"abc one__ xx!"
+    assert images.reversed_columns(b"abc three__ y! and more", c0, c1, c3, record) == b"abc one__ xx! and more"
+    assert images.reversed_columns(b"abc four__ y!", c0, c1, c3, record) is None
+    assert images.step(b"abc three__ y!", "LOP_MODIFY_COLUMNS", c0, c1, -1, c3, record)[1:] == (b"abc one__ xx!", b"abc three__ y!", "reverse_columns")
+    assert images.step(None, "LOP_MODIFY_COLUMNS", c0, c1, -1, c3, record, b"abc three__ y!")[1:] == (b"abc one__ xx!", b"abc three__ y!", "reverse_page")
+    assert images.step(b"zz", "LOP_MODIFY_COLUMNS", c0, c1, -1, c3, record) == (b"zz", None, None, "columns_not_decoded")
     assert images.fragments(c0, c1, b"NONE", record) is None and images.fragments(b"", b"", c3, record) is None
 
 

@@ -35,11 +35,6 @@ def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-def quoted(text: Column) -> Column:
-    """Single quotes doubled."""
-    return F.replace(text, F.lit("'"), F.lit("''"))
-
-
 def operation_of(op: Column) -> Column:
     return F.when(op == "LOP_INSERT_ROWS", "INSERT").when(op == "LOP_DELETE_ROWS", "DELETE").when(op.isin("LOP_MODIFY_ROW", "LOP_MODIFY_COLUMNS"), "UPDATE")
 

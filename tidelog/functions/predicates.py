@@ -42,16 +42,6 @@ def is_url_device(path: Column) -> Column:
     return F.lower(F.trim(path)).rlike("^(s3|https?)://")
 
 
-def looks_compressed(image: Column) -> Column:
-    """The end offset of the fixed part is out of range, as it is in compressed rows."""
-    end = F.conv(F.hex(F.concat(F.substring(image, 4, 1), F.substring(image, 3, 1))), 16, 10).cast("int")
-    return (F.length(image) >= 4) & ((end < 4) | (end > F.length(image)))
-
-
-def has_compressed_header(image: Column) -> Column:
-    return F.conv(F.hex(F.substring(image, 1, 1)), 16, 10).cast("int").bitwiseAND(0x30).isin(0x20, 0x30)
-
-
 def is_other_index(alloc_unit_name: Column, base_index: Column) -> Column:
     """A three-part name whose index is known and not the table's own."""
     parts = F.split(alloc_unit_name, r"\.", 3)

@@ -38,7 +38,7 @@ def xor_image(image: str, delta: str) -> Column:
     byte = lambda b: f"cast(conv(hex(substring({b}, k, 1)), 16, 10) as int)"
     n = f"least(length({image}), length({delta}))"
     mixed = f"unhex(array_join(transform(sequence(1, {n}), k -> lpad(hex({byte(image)} ^ {byte(delta)}), 2, '0')), ''))"
-    return F.expr(f"if(coalesce({n}, 0) = 0, {image}, concat({mixed}, substring({image}, {n} + 1, length({image}))))")
+    return F.expr(f"if({delta} is null or coalesce({n}, 0) = 0, {image}, concat({mixed}, substring({image}, {n} + 1, length({image}))))")
 
 
 def delta_update(spec: R.TableSpec, delta: Column, offset: Column) -> tuple[Column, Column]:

@@ -101,7 +101,7 @@ def decode_row_compressed(spark, sf_dir):
 def decode_page_compressed(spark, sf_dir):
     """Images under PAGE compression: good, with a reference to the page's dictionary, cut; of unknown compression; compressed under NONE; plain under PAGE."""
     how = F.element_at(F.array(*map(F.lit, ("good", "dictionary", "cut", "unknown", "stale", "plain"))), (1 + F.col("c_custkey") % 6).cast("int"))
-    plain = F.expr(R.encode_sql(CUSTOMER, {"c_custkey": "c_custkey", "c_name": "'x'", "c_nationkey": "1", "c_acctbal": "1.5", "c_mktsegment": "'y'", "c_odd": "1"}))
+    plain = F.expr(R.encode_sql(CUSTOMER, {"c_custkey": "c_custkey", "c_name": "'x'", "c_nationkey": "1", "c_acctbal": "1.5", "c_mktsegment": "'y'", "c_odd": "1"}, stored=5))
     df = _customers(spark, sf_dir).withColumn("how", how).withColumn("plain", plain)
     image = F.expr("case how when 'dictionary' then concat(substring(image, 1, 2), X'CC', substring(image, 4, 1000)) when 'cut' then substring(image, 1, 7) when 'plain' then concat(X'10', substring(plain, 2, 1000)) else image end")
     compression = F.when(F.col("how") == "unknown", "UNKNOWN").when(F.col("how") == "stale", "NONE").otherwise("PAGE")
