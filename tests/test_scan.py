@@ -27,6 +27,40 @@ def test_scan_options(spark):
     assert columns[0] == "id" and columns[-1] == "skip_reason" and "decompressed_debug_json" in columns
 
 
+def test_command_line(spark, tmp_path):
+    from tidelog.__main__ import main
+
+    for name, frame in catalog_frames(spark, SF).items():
+        frame.write.parquet(str(tmp_path / "frames" / name))
+    main(["schema", str(tmp_path / "frames"), str(tmp_path / "from_frames")])
+    assert len(catalog.load_json(spark, str(tmp_path / "from_frames")).specs) == catalog_frames(spark, SF)["tables"].where("not is_ms_shipped").count()
+    catalog.save_json(_catalog(spark), str(tmp_path / "catalog"))
+    # Partitions are not part of the file, so orders are resolved by name here.
+    records = _records(spark, SF).withColumn("alloc_unit_name", F.when(F.col("alloc_unit_id") == 7001, "dbo.orders").otherwise(F.col("alloc_unit_name")))
+    stamped = records.withColumn("begin_time", F.date_format("seen_at", "yyyy/MM/dd HH:mm:ss:SSS")).drop("seen_at", "cleanup")
+    stamped.write.parquet(str(tmp_path / "records"))
+    main(["scan", str(tmp_path / "records"), str(tmp_path / "catalog"), str(tmp_path / "events"), "--table", "[dbo].[ORDERS]"])
+    found = spark.read.parquet(str(tmp_path / "events"))
+    want = generate.scan(_records(spark, SF), _catalog(spark)).where("table_name = 'orders'")
+    assert sorted(found.select("lsn", "sql_stmt", "rollback_sql").collect()) == sorted(want.select("lsn", "sql_stmt", "rollback_sql").collect())
+
+
+def test_following_a_log_gives_the_events_of_a_scan(spark, tmp_path):
+    records, known = _records(spark, SF).where("transaction_id in ('o1', 'o2', 'o7', 'o11', 'o22', 'c1', 'c9', 'b9')").orderBy("lsn").collect(), _catalog(spark)
+    schema = _records(spark, SF).schema
+    cuts = [0, len(records) // 3, 2 * len(records) // 3, len(records)]
+    for k in range(3):
+        spark.createDataFrame(records[cuts[k] : cuts[k + 1]], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = []
+    q = poller.follow_events(source, lambda: known, str(tmp_path / "state"), lambda df, i: got.extend((r.lsn, r.sql_stmt, r.rollback_sql, r.status) for r in df.collect()), str(tmp_path / "ck"), {"availableNow": True})
+    q.awaitTermination(600)
+    want = generate.scan(spark.createDataFrame(records, schema), known)
+    assert sorted(got, key=str) == sorted(((r.lsn, r.sql_stmt, r.rollback_sql, r.status) for r in want.collect()), key=str) and len(got) > 6
+    each = generate.scan_each(spark.createDataFrame(records, schema), {"db0": known, "db9": known})
+    assert each.count() == want.count()
+
+
 def test_statements_of_rows_that_cannot_be_read(spark):
     found = _catalog(spark)
     good = _records(spark, SF).where("transaction_id = 'o2' and operation = 'LOP_INSERT_ROWS' and context = 'LCX_CLUSTERED'")

@@ -6,6 +6,7 @@ goes by table within each Arrow batch; statements are expressions over arrays, t
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -241,6 +242,20 @@ def resolved(records: DataFrame, catalog: Catalog) -> DataFrame:
     return resolve.resolve_compression(found, catalog.partitions.select("alloc_unit_id", "partition_id", "code"), catalog.default)
 
 
+def scan_each(records: DataFrame, catalogs: dict[str, Catalog], **options) -> DataFrame:
+    """Events of several databases, each read by its own catalog; see `scan`."""
+    parts = [scan(records.where(F.col("db_name") == db), catalog, **options) for db, catalog in catalogs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def event_columns(made: DataFrame) -> DataFrame:
+    """Rows of `statements` over records with begin_at and end_at, as events."""
+    return made.select(
+        F.xxhash64("db_name", "lsn").alias("id"), "lsn", F.col("transaction_id").cast("string").alias("txn_id"), F.col("logical_operation").alias("operation"), "db_name", "schema_name", "table_name", F.lit(None).cast("string").alias("primary_key"),
+        "sql_stmt", "rollback_sql", F.coalesce("begin_at", "end_at").alias("event_time"), F.col("end_at").alias("commit_time"), *S.OPTIONAL_TEXTS, "skip_reason",
+    )
+
+
 def scan(records: DataFrame, catalog: Catalog, pages: DataFrame | None = None, since: datetime | None = None, committed: bool = True) -> DataFrame:
     """Events (columns of schemas.LOG_EVENTS, and skip_reason) of the records of all tables of the catalog, of any number of databases that share it.
 
@@ -256,8 +271,4 @@ def scan(records: DataFrame, catalog: Catalog, pages: DataFrame | None = None, s
         wanted &= F.coalesce(F.col("kind") == S.COMMIT, F.lit(False))
     if since is not None:
         wanted &= F.coalesce("begin_at", "end_at") >= F.lit(since)
-    made = statements(folded.where(wanted), catalog)
-    return made.select(
-        F.xxhash64("db_name", "lsn").alias("id"), "lsn", F.col("transaction_id").cast("string").alias("txn_id"), F.col("logical_operation").alias("operation"), "db_name", "schema_name", "table_name", F.lit(None).cast("string").alias("primary_key"),
-        "sql_stmt", "rollback_sql", F.coalesce("begin_at", "end_at").alias("event_time"), F.col("end_at").alias("commit_time"), *S.OPTIONAL_TEXTS, "skip_reason",
-    )
+    return event_columns(statements(folded.where(wanted), catalog))

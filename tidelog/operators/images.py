@@ -182,6 +182,21 @@ def fold(records: DataFrame) -> DataFrame:
     return records.repartition(*KEY).sortWithinPartitions(*KEY, "lsn").mapInArrow(run, schema)
 
 
+#: Paths after which a slot's image is the record's after image (none after a deletion).
+SETTLED = ("insert", "delete", "splice", "splice_columns", "reverse_columns", "reverse_page")
+
+
+def last_images(folded: DataFrame) -> DataFrame:
+    """KEY and image: what each slot holds after folded records."""
+    last = folded.where(F.col("fold_path").isin(*SETTLED) & F.col("page_id").isNotNull() & F.col("slot_id").isNotNull()).groupBy(*KEY).agg(F.max_by(F.struct("after_image"), "lsn").alias("_last"))
+    return last.select(*KEY, F.col("_last.after_image").alias("image")).where("image is not null")
+
+
+def as_records(held: DataFrame) -> DataFrame:
+    """Images held from before, as insertions that come before every lsn; fold them with the records that follow."""
+    return held.select(*KEY, F.lit("").alias("lsn"), F.lit("LOP_INSERT_ROWS").alias("operation"), F.col("image").alias("contents0"))
+
+
 def with_page_images(records: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds page_image, the current image of each record's row: pages has db_name, page_id, slot_id and image (of `log_sources.page_images`)."""
     current = pages.groupBy("db_name", "page_id", "slot_id").agg(F.max("image").alias("page_image"))

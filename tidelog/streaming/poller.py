@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..operators import transactions
+from ..functions.predicates import is_base_row, is_data_op
+from ..operators import generate, images, transactions
+from ..sources.catalog import Catalog
 from ..sources.log_sources import both
 
 
@@ -54,6 +56,38 @@ def follow(
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
+def follow_events(source: DataFrame, catalog: Callable[[], Catalog], state_dir: str, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, retract: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Like `follow`, from records to events (see generate.scan): sink gets the events of the transactions that a batch ends.
+
+    catalog() is asked for each batch, so a changed schema is seen at the next one. A row's image lives on from batch to batch: each record is
+    folded once, in the batch that brings it, and an open transaction is carried over with the images of its records."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark, known, turn = df.sparkSession, catalog(), batch_id % FOLDERS
+        kept = _carried(spark, f"{state_dir}/images", batch_id - 1, None)
+        opened = _carried(spark, f"{state_dir}/open", batch_id - 1, None)
+        every = df.withColumn("_new", F.lit(True))
+        if opened is not None:
+            every = every.unionByName(opened.select(*df.columns, F.lit(False).alias("_new")))
+        marked = transactions.with_epochs(every).where("_new").where(F.col("excluded_from").isNull() | (F.col("lsn") < F.col("excluded_from")))
+        data = generate.resolved(marked.where(is_data_op(F.col("operation")) & is_base_row(F.col("context"))).select(*df.columns), known).where("object_id is not null")
+        seeds = data if kept is None else data.unionByName(images.as_records(kept), allowMissingColumns=True)
+        # Written, as the events, the images and the carried rows all come from it; a batch that runs again writes the same.
+        images.fold(seeds).write.mode("overwrite").parquet(f"{state_dir}/folded/{turn}")
+        seen = spark.read.parquet(f"{state_dir}/folded/{turn}")
+        folded = seen.where("lsn <> ''")
+        records = folded.unionByName(df.where(~is_data_op(F.col("operation"))), allowMissingColumns=True)
+        records = records.unionByName(opened, allowMissingColumns=True) if opened is not None else records
+        done, left = split(records)
+        if retract:
+            retract(retractions(every), batch_id)
+        sink(generate.event_columns(generate.statements(done, known)), batch_id)
+        _carry(left, f"{state_dir}/open", batch_id)
+        _carry(images.last_images(seen), f"{state_dir}/images", batch_id)
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
 #: State folders in turn: a batch overwrites the one of the third batch before it, so the one that it read itself stays until it is done.
 FOLDERS = 3
 
@@ -65,10 +99,10 @@ def _carry(left: DataFrame, state_dir: str, batch_id: int) -> None:
     rows.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{state_dir}/{batch_id % FOLDERS}")
 
 
-def _carried(spark: SparkSession, state_dir: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """The state that a batch left; empty before the first batch, an error if it is missing later."""
+def _carried(spark: SparkSession, state_dir: str, batch_id: int, like: DataFrame | None) -> DataFrame | None:
+    """The state that a batch left, with like's columns if it is given; before the first batch empty (or None), an error if it is missing later."""
     if batch_id < 0:
-        return like.limit(0)
+        return None if like is None else like.limit(0)
     try:
         found = spark.read.parquet(f"{state_dir}/{batch_id % FOLDERS}")
         whole = found.where((F.col("_batch") == batch_id) & F.col("_mark")).count() == 1
@@ -76,7 +110,8 @@ def _carried(spark: SparkSession, state_dir: str, batch_id: int, like: DataFrame
         whole = False
     if not whole:
         raise RuntimeError(f"the open transactions that batch {batch_id} left are not in {state_dir}")
-    return found.where(~F.col("_mark")).select(*like.columns)
+    rows = found.where(~F.col("_mark")).drop("_mark", "_batch")
+    return rows if like is None else rows.select(*like.columns)
 
 
 def new_records(log: DataFrame, stored: DataFrame | None, checkpoint: str) -> tuple[DataFrame, bool]:
