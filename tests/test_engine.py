@@ -146,7 +146,7 @@ def test_store(spark, tmp_path):
     spark.range(3).createOrReplaceTempView("log_events")
     assert log_queries.ad_hoc(e, "SELECT count(*) AS n FROM log_events").first()["n"] == e.count()
     assert log_queries.ad_hoc(e, "WITH x AS (SELECT * FROM log_events) SELECT count(*) AS n FROM x").first()["n"] == e.count()
-    assert spark.table("log_events").count() == 3 and [t.name for t in spark.catalog.listTables() if t.isTemporary] == ["log_events"]
+    assert spark.table("log_events").count() == 3 and [t.name for t in spark.catalog.listTables() if t.name.startswith("log_events")] == ["log_events"]
     spark.catalog.dropTempView("log_events")
     log_queries.write_script(log_queries.rollback_script(e, "all"), str(tmp_path / "script"))
     assert spark.read.text(str(tmp_path / "script")).where("value = 'BEGIN TRANSACTION;'").count() == 1

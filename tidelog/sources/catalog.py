@@ -130,8 +130,8 @@ def save_json(catalog: Catalog, path: str) -> None:
 
 def to_json(catalog: Catalog) -> str:
     tables = []
-    for s in catalog.specs.values():
-        t = asdict(s)
+    for i, s in catalog.specs.items():
+        t = asdict(s) | {"object_id": i}
         t.pop("places")
         tables.append(t)
     return json.dumps({"tables": tables})
