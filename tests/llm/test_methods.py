@@ -182,9 +182,10 @@ def test_rows_of_one_id_and_text_are_worked_on_once(spark):
 
     text = " ".join(f"w{i % 50}" for i in range(400))
     rows = [(None, text)] * 700 + [(3, text)] * 600 + [(1, text)] + [(i + 10, f"other words number {i}") for i in range(30)] + [(2, "other words number 5")]
+    rows += [(None, None)] * 2000
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     work, _ = exchange.without_hot(docs, 100_000)
-    assert work.count() == 34 and work.agg({"copies": "sum"}).first()[0] == len(rows)
+    assert work.count() == 35 and work.agg({"copies": "sum"}).first()[0] == len(rows)
     plain = exchange.without_hot
     for operator in (lm.score, substring_dedup.remove_repeats):
         results = []

@@ -104,10 +104,11 @@ def without_hot(docs: DataFrame, most_bytes: int = 1 << 20) -> tuple[DataFrame,
     """(rows, restore): doc_id, text, copies and hot of docs, in which equal rows that would fill a chunk (more than most_bytes of one id and
     text) stand once, with their number and a key; restore gives such rows' results back to each of them.
 
-    No more than (bytes of all texts) / most_bytes rows are hot, and their results are joined back by broadcast only after a count."""
+    No more than (bytes of all texts and 64 a row) / most_bytes rows are hot, and their results are joined back by broadcast only after a count."""
     plain = docs.select("doc_id", "text")
-    keys = plain.groupBy(spread().alias("hot")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("b"))
-    hot = checkpoint(keys.where((F.col("n") > 1) & (F.col("n") * F.col("b") > most_bytes)).select("hot"))
+    # Rows without a text take up room, too.
+    keys = plain.groupBy(spread().alias("hot")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("b"))
+    hot = checkpoint(keys.where((F.col("n") > 1) & (F.col("n") * (F.col("b") + 64) > most_bytes)).select("hot"))
     n_hot = hot.count()
     if not n_hot:
         return plain.withColumn("copies", F.lit(1).cast("long")).withColumn("hot", F.lit(None).cast("long")), lambda found: found.drop("hot")
