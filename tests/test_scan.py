@@ -148,6 +148,14 @@ def test_update_events(spark, tmp_path):
         store.write_update_events(rows, str(tmp_path / "u"))
     found = spark.read.parquet(str(tmp_path / "u")).orderBy("current_lsn").collect()
     assert [r.equivalent_redo_sql for r in found] == [f"update top(1) [dbo].[T] set [v]={k + 1} where [id]=1;" for k in range(3)] and found[0].rowlog0_hex == "78" and "before" in found[0].changed_columns_json
+    assert found[0].before_json == '{"id":"1","v":"0"}' and found[0].after_json == '{"id":"1","v":"1"}'
+
+
+def test_pages_leave_out_what_is_no_json(spark):
+    from tidelog.plans import log_queries
+
+    e = spark.createDataFrame([(1, "INSERT", '{"a":1}'), (2, "INSERT", "{a")], "id long, operation string, decompressed_debug_json string").withColumn("event_time", F.lit(None).cast("timestamp"))
+    assert [(r.id, r.decompressed_debug_json) for r in log_queries.by_id(e).collect()] == [(1, '{"a":1}'), (2, None)]
 
 
 def test_catalog(spark):

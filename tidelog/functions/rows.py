@@ -41,6 +41,11 @@ def decode(df: DataFrame, spec: TableSpec, image: str, out: str) -> DataFrame:
     return df.withColumn(out, arrow_function(run, DECODED)(F.col(image)))
 
 
+def by_name(spec: TableSpec, vals: Column) -> Column:
+    """map<string, string> of column names and literals; null for no values."""
+    return F.map_from_arrays(F.array(*[F.lit(c.name) for c in spec.columns]), vals)
+
+
 # ---- writing, as SQL text: b is a binary expression, at a 1-based position ----------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ _FROM_FOLD = {"no_image": "mr1_not_found", "no_offset": "patch_not_found", "not_
 
 
 def analyze(folded: DataFrame, spec: rows.TableSpec) -> DataFrame:
-    """Updates with before_image, after_image and fold_path (of images.fold) -> status, confidence, strategy, changed, redo, undo as further columns.
+    """Updates with before_image, after_image and fold_path (of images.fold) -> status, confidence, strategy, changed, before_json, after_json, redo, undo as further columns.
 
     Confidence: high with a key, medium by the full row, low for anything that is not ok."""
     d = rows.decode(rows.decode(folded, spec, "before_image", "_b"), spec, "after_image", "_a")
@@ -26,6 +26,8 @@ def analyze(folded: DataFrame, spec: rows.TableSpec) -> DataFrame:
     status = F.coalesce(status, F.when(mismatch, "schema_mismatch").when(F.col("_b.err").isNotNull(), "mr0_decode_failed").when(F.col("_a.err").isNotNull(), "mr1_decode_failed"))
     d = d.withColumn("changed", F.when(status.isNull(), statements.diff(spec, b, a)))
     d = d.withColumn("status", F.coalesce(status, F.when(F.size("changed") == 0, "no_changed_columns"), F.lit("ok")))
+    for name, vals in (("before_json", b), ("after_json", a)):
+        d = d.withColumn(name, F.to_json(rows.by_name(spec, vals), {"ignoreNullFields": "false"}))
     redo, undo = statements.redo_undo(spec, b, a)
     good = F.col("status") == "ok"
     strategy = "primary_key" if spec.key else "full_row"

@@ -71,8 +71,16 @@ def ordered(events: DataFrame, by: str = "event_time", direction: str = "desc")
     return events.orderBy(c.asc_nulls_last() if up else c.desc_nulls_last(), F.col("id").asc() if up else F.col("id").desc())
 
 
+def _page(events: DataFrame) -> DataFrame:
+    """The columns of a page; a debug text that is no JSON is left out."""
+    page = events.select(*_page_columns(events))
+    if "decompressed_debug_json" in page.columns:
+        page = page.withColumn("decompressed_debug_json", F.when(F.try_parse_json("decompressed_debug_json").isNotNull(), F.col("decompressed_debug_json")))
+    return page
+
+
 def logs(events: DataFrame, where: LogFilter = LogFilter(), sort: str = "event_time", direction: str = "desc", page: int = 1, limit: int = 200) -> DataFrame:
-    found = ordered(where.apply(events).select(*_page_columns(events)), sort, direction)
+    found = ordered(_page(where.apply(events)), sort, direction)
     return found.offset((page - 1) * limit).limit(limit)
 
 
@@ -81,17 +89,17 @@ def total(events: DataFrame, where: LogFilter = LogFilter()) -> DataFrame:
 
 
 def search(events: DataFrame, where: LogFilter = LogFilter(), limit: int = 100, offset: int = 0) -> DataFrame:
-    return ordered(where.apply(events).select(*_page_columns(events))).offset(offset).limit(limit)
+    return ordered(_page(where.apply(events))).offset(offset).limit(limit)
 
 
 def by_id(events: DataFrame, where: LogFilter = LogFilter(), limit: int = 100, offset: int = 0) -> DataFrame:
-    return where.apply(events).select(*_page_columns(events)).orderBy("id").offset(offset).limit(limit)
+    return _page(where.apply(events)).orderBy("id").offset(offset).limit(limit)
 
 
 def diagnostics(events: DataFrame, where: LogFilter = LogFilter(), limit: int = 20) -> DataFrame:
     """Events whose decoding did not go well."""
     bad = where.apply(events).where("status is not null and status <> 'ok'")
-    return ordered(bad.select(*_page_columns(events))).limit(min(max(limit, 1), 200))
+    return ordered(_page(bad)).limit(min(max(limit, 1), 200))
 
 
 def _in_transactions(events: DataFrame, where: LogFilter) -> DataFrame:
