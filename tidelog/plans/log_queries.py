@@ -169,11 +169,11 @@ def stats_by_operation(events: DataFrame) -> DataFrame:
 
 def stats_tables(events: DataFrame) -> DataFrame:
     """Distinct schema.table; null if either part is."""
-    return events.select(F.concat("schema_name", F.lit("."), "table_name").alias("name")).where("name is not null").distinct()
+    return events.select(F.concat("schema_name", F.lit("."), "table_name").alias("name")).where("name is not null").distinct().orderBy("name")
 
 
 def stats_databases(events: DataFrame) -> DataFrame:
-    return events.where("db_name is not null and db_name <> ''").select("db_name").distinct()
+    return events.where("db_name is not null and db_name <> ''").select("db_name").distinct().orderBy("db_name")
 
 
 def export_ndjson(events: DataFrame) -> DataFrame:

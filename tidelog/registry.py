@@ -217,6 +217,15 @@ def export_ndjson(e):
     return Q.export_ndjson(e.select("id", "lsn", "operation", "db_name"))
 
 
+_EXPORTED = {"lsn": "lsn", "txn_id": "txn_id", "operation": "operation", "db": "db_name", "schema": "schema_name", "table": "table_name", "sql": "sql_stmt", "rollback_sql": "rollback_sql", "event_time": "CAST(event_time AS VARCHAR)", "commit_time": "CAST(commit_time AS VARCHAR)", "status": "status"}
+
+
+@events_query(" UNION ALL ".join(f"SELECT id, '{k}' AS key, {v} AS value FROM {EV} WHERE {v} IS NOT NULL" for k, v in _EXPORTED.items()))
+def export_keys(e):
+    """Every key of every exported line."""
+    return Q.export_ndjson(e).select("id", F.explode(F.from_json("line", "map<string,string>")).alias("key", "value"))
+
+
 @events_query(f"SELECT db_name, lsn, rollback_sql AS line FROM {EV} WHERE rollback_sql <> ''")
 def rollback_lines(e):
     return Q.rollback_lines(e)
