@@ -12,6 +12,7 @@ from .functions import lsn as L
 from .operators import store, transactions
 from .plans import fixtures
 from .plans import log_queries as Q
+from .sources import log_sources
 
 EV = f"({fixtures.sql(fixtures.EVENTS, True)}) AS log_events"
 REC = f"({fixtures.sql(fixtures.RECORDS, True)}) AS log_records"
@@ -212,6 +213,13 @@ def checkpoints(e):
     return store.checkpoints(e)
 
 
+@events_query(f"SELECT id, lsn FROM {EV} WHERE db_name = 'db0' AND lsn > '00000022:00000008:0003' OR db_name = 'db1' AND lsn > '00000022:00000010:0001' OR db_name = 'db2'")
+def log_after_checkpoints(e):
+    """What is new in each of three databases, of which one has no checkpoint and one was cleared and set again."""
+    saved = e.sparkSession.createDataFrame([("db0", "00000022:00000008:0003", 1), ("db1", "00000022:00000020:0001", 1), ("db1", "", 2), ("db1", "00000022:00000010:0001", 3), ("db2", "00000022:00000010:0001", 1), ("db2", "", 2)], "db_name string, lsn string, seq long")
+    return log_sources.after_checkpoints(e.select("id", "db_name", "lsn"), store.load_checkpoints(saved)).select("id", "lsn")
+
+
 @events_query(f"SELECT id, to_json(struct_pack(lsn := lsn, operation := operation, db := db_name)) AS line FROM {EV}")
 def export_ndjson(e):
     return Q.export_ndjson(e.select("id", "lsn", "operation", "db_name"))

@@ -189,7 +189,7 @@ def scan_events(spark, sf_dir):
     return e.select("lsn", "operation", "table_name", "sql_stmt", "rollback_sql", "status", "compression_type")
 
 
-@query(f"SELECT count(*) AS generated, count(*) FILTER (operation = 'INSERT') AS inserts, count(*) FILTER (operation = 'UPDATE') AS updates, count(*) FILTER (operation = 'DELETE') AS deletes, 0 AS errors, (SELECT 3 * count(*) + count(*) FILTER (o_orderkey % 2 = 0) FROM orders) AS data, (SELECT 2 * count(*) + count(*) FILTER (o_orderkey % 2 = 0) FROM orders) AS eligible FROM ({_SCAN}) WHERE table_name = 'orders'")
+@query(f"SELECT count(*) AS generated, count(*) FILTER (operation = 'INSERT') AS inserts, count(*) FILTER (operation = 'UPDATE') AS updates, count(*) FILTER (operation = 'DELETE') AS deletes, CAST(0 AS BIGINT) AS errors, (SELECT 3 * count(*) + count(*) FILTER (o_orderkey % 2 = 0) FROM orders) AS data, (SELECT 2 * count(*) + count(*) FILTER (o_orderkey % 2 = 0) FROM orders) AS eligible FROM ({_SCAN}) WHERE table_name = 'orders'")
 def scan_details(spark, sf_dir):
     """Counters of a scan of one table out of two."""
     records, both = _records(spark, sf_dir).where("transaction_id like 'o%'"), _catalog(spark)

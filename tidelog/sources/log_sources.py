@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.predicates import is_base_row, is_data_op
+from ..operators.resolve import small
 
 
 def normalized(raw: DataFrame, db: str | None = None) -> DataFrame:
@@ -48,6 +49,12 @@ def live(records: DataFrame, after: str = "") -> DataFrame:
     return found.where(F.col("lsn") > after) if after else found
 
 
+def after_checkpoints(records: DataFrame, saved: DataFrame) -> DataFrame:
+    """Records of many databases, each past its own checkpoint (db_name, lsn); all of those without one."""
+    own = small(saved.select("db_name", F.col("lsn").alias("_saved")))
+    return records.join(own, "db_name", "left").where(F.col("lsn") > F.coalesce("_saved", F.lit(""))).select(*records.columns)
+
+
 def dump(records: DataFrame, operations: Iterable[str], start: str = "", end: str = "") -> DataFrame:
     """What a log backup is asked for: operations, after `start`, up to `end`."""
     found = records.where(F.col("operation").isin(*operations))
