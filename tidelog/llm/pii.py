@@ -87,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _AT = r"(?:@|[\[({<]\s?at\s?[\])}>]|\bat\b)"
 _DOT = r"(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>]|\bdot\b)"
-ANCHOR = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]|\bat\b(?=.{1,80}\bdot\b)", re.I)
+ANCHOR = re.compile(r"[0-9@]+|[\[({<]\s?at\s?[\])}>]|\bat\b(?=.{1,80}\bdot\b)", re.I)
 _LOCAL_LIKE = r"[\w.%+-]+"
 _EMAIL_LIKE = re.compile(rf"{_LOCAL_LIKE}(?:\s?{_DOT}\s?{_LOCAL_LIKE})*\s?{_AT}\s?[\w-]+(?:\s?{_DOT}\s?[\w-]+)*\s?{_DOT}\s?[A-Za-z]{{2,}}", re.I)
 _PARTS = re.compile(rf"\s?{_DOT}\s?", re.I)
