@@ -44,7 +44,10 @@ def with_epochs(records: DataFrame, lsn_prefix: int = 14) -> DataFrame:
     inside = F.sum(ended.cast("long")).over(Window.partitionBy(*KEY, "_stretch").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1))
     numbered = numbered.withColumn("epoch", F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_before", "_stretch")
     begun = F.col("operation") == S.BEGIN
-    epochs = numbered.where(ended | begun | F.col("cleanup")).groupBy(*KEY, "epoch").agg(
+    # Begins, ends and clean-ups alone, so that the data records are not numbered a second time for it.
+    control = records.where(ended | begun | F.col("cleanup")).select(*KEY, "lsn", "operation", "transaction_name", "seen_at", "cleanup")
+    so_far = Window.partitionBy(*KEY).orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    epochs = control.withColumn("epoch", F.coalesce(F.sum(ended.cast("long")).over(so_far), F.lit(0))).groupBy(*KEY, "epoch").agg(
         F.max(F.when(ended, F.col("operation"))).alias("kind"),
         F.max_by(F.when(begun, F.col("seen_at")), F.when(begun, F.col("lsn"))).alias("begin_at"),
         F.max(F.when(ended, F.col("seen_at"))).alias("end_at"),

@@ -313,7 +313,7 @@ def catalog_dropped(spark, sf_dir):
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS object_id, n_nationkey * 10 + p AS partition_id, n_nationkey * 10 + p + 5000 AS alloc_unit_id, CASE p WHEN 1 THEN 0 ELSE n_nationkey % 3 END AS code FROM nation, range(1, 3) t(p)""")
 def catalog_partitions(spark, sf_dir):
     p = cat.partition_rows(catalog_frames(spark, sf_dir))
-    return p.select(F.col("object_id").cast("long").alias("object_id"), "partition_id", "alloc_unit_id", F.col("code").cast("long").alias("code"))
+    return p.select(F.col("object_id").cast("long").alias("object_id"), "partition_id", "alloc_unit_id", F.col("code").cast("int").alias("code"))
 
 
 @query(_SPEC_SQL)
