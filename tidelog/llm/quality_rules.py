@@ -15,7 +15,6 @@ their names don't matter. No shuffle; everything is vectorised over the Arrow bu
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -30,7 +29,7 @@ BOILERPLATE = (
     "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "cliquez ici", "inscrivez-vous", "abonnez-vous",
     "todos los derechos reservados", "condiciones de uso", "política de privacidad", "aviso legal", "haga clic", "regístrese", "suscríbase",
 )
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode(), re.I)
+_PHRASES = [p.encode() for p in BOILERPLATE]
 #: Marks that close a sentence or a quotation.
 CLOSING = ".!?:;\"')]»”’…。！？"
 
@@ -47,14 +46,15 @@ SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_
 
 def closes(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether the character before each end is one of CLOSING."""
-    out = CLOSERS[buf[ends - 1]]
+    last = buf[ends - 1]
+    out, wide = CLOSERS[last], np.flatnonzero(last >= 128)
     for c in CLOSING:
         raw = c.encode()
         if len(raw) > 1:
-            hit = ends >= len(raw)
+            hit = ends[wide] >= len(raw)
             for k, byte in enumerate(raw):
-                hit &= buf[np.maximum(ends - len(raw) + k, 0)] == byte
-            out |= hit
+                hit &= buf[np.maximum(ends[wide] - len(raw) + k, 0)] == byte
+            out[wide[hit]] = True
     return out
 
 
@@ -101,9 +101,9 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
     one, two = at[one], at[two]
     n_repeat = tx.per_document(_covered(len(starts), np.concatenate([one, two]), 8).astype(np.int64), first)
     # Equal hashes are confirmed on the bytes; a document with a collision is counted on its words.
-    same = np.ones(len(one), bool)
+    same, blocks = np.ones(len(one), bool), tx.blocks_at(buf)
     for k in range(8):
-        same &= tx.same_ranges(buf, (starts[one + k], ends[one + k]), (starts[two + k], ends[two + k]))
+        same &= tx.same_ranges(buf, (starts[one + k], ends[one + k]), (starts[two + k], ends[two + k]), blocks)
     for d in np.unique(doc[np.concatenate([one[~same], two[~same]])]):
         n_repeat[d] = _repeat_words([bytes(data[a:b]) for a, b in zip(starts[first[d] : first[d + 1]].tolist(), ends[first[d] : first[d + 1]].tolist(), strict=True)], 8)
 
@@ -119,7 +119,7 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
     one, two = _equal_pairs(line_keys)
     n_docs = len(offsets) - 1
     n_dup = np.bincount(of[full][two], minlength=n_docs)
-    same = tx.same_ranges(buf, (begin[full[one]], stop[full[one]]), (begin[full[two]], stop[full[two]]))
+    same = tx.same_ranges(buf, (begin[full[one]], stop[full[one]]), (begin[full[two]], stop[full[two]]), blocks)
     for d in np.unique(of[full][np.concatenate([one[~same], two[~same]])]):
         n_dup[d] = _duplicate_lines(data, [(int(begin[i]), int(stop[i])) for i in full[of[full] == d]])
 
@@ -130,14 +130,19 @@ def judge(ids, data, offsets, max_lost: float = 0.5, with_text: bool = False, op
     failed |= 10 * share((size == 1) & ((last == 124) | (last == 62))) > 2 * n_in
     stutter = np.zeros(len(starts), bool)
     again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1]))
-    stutter[again + 1] = tx.same_ranges(buf, (starts[again], ends[again]), (starts[again + 1], ends[again + 1]))
+    stutter[again + 1] = tx.same_ranges(buf, (starts[again], ends[again]), (starts[again + 1], ends[again + 1]), blocks)
     failed |= 10 * share(stutter) > 3 * n_in
     closed = np.zeros(len(begin), bool)
-    closed[line] = closes(buf, ends)  # of equal indexes numpy keeps the last: the line's last word
+    final = np.flatnonzero(np.diff(line, append=-1))  # each line's last word
+    closed[line[final]] = closes(buf, ends[final])
     failed |= ~closed & (n_in < open_words)
-    for m in _BOILERPLATE.finditer(data):
-        k = np.searchsorted(begin, m.start(), "right") - 1
-        failed[k] |= m.end() <= stop[k]  # not across the end of a document
+    low = tx.LOWER[buf].tobytes()
+    for phrase in _PHRASES:  # a search for each is quicker than one pattern of all
+        at = low.find(phrase)
+        while at >= 0:
+            k = np.searchsorted(begin, at, "right") - 1
+            failed[k] |= at + len(phrase) <= stop[k]  # not across the end of a document
+            at = low.find(phrase, at + 1)
     lost = tx.per_document(np.where(failed[line], 1, 0), first) if len(line) else np.zeros(n_docs, np.int64)
 
     base_failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)

@@ -97,10 +97,10 @@ def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
-def same_ranges(buf: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether ranges (starts, ends) of the buffer hold the same bytes, pair by pair; exact."""
+def same_ranges(buf: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], blocks: np.ndarray | None = None) -> np.ndarray:
+    """Whether ranges (starts, ends) of the buffer hold the same bytes, pair by pair; exact. blocks: of blocks_at(buf), where they are at hand."""
     (a0, a1), (b0, b1) = a, b
-    size, blocks = a1 - a0, blocks_at(buf)
+    size, blocks = a1 - a0, blocks_at(buf) if blocks is None else blocks
     same = size == b1 - b0
     live, k = np.flatnonzero(same & (size > 0)), 0
     while len(live) and k < 64:
