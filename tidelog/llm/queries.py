@@ -76,11 +76,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_lm_scores, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_lm_scores, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier, op11_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality_rules, substring_dedup
+    from . import phrases, quality_rules, substring_dedup
 
-    return {"op3_quality_rules": quality_rules.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op11_phrases": phrases.ORACLE}

@@ -56,11 +56,11 @@ def slices(ids: pa.Array, texts: pa.Array, limit: int = 1 << 20) -> Iterator[tup
         at = to
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the index of each document's first word (one more entry at the end)."""
     n = len(buf)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(SEPARATOR[buf], out=inside[:n])
+    np.logical_not(separator[buf], out=inside[:n])
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begin = inside[:n].copy()
