@@ -82,11 +82,24 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_lm_scores, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier, op11_phrases)}
+    first = (op1_pii, op2_decontamination, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_lm_scores, op7_packing, op8_token_counts, op9_simhash, op10_quality_classifier)
+    return {f.__name__: f for f in (*first, op11_phrases, op12_divergence, op13_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import phrases, quality_rules, substring_dedup
+    from . import divergence, phrases, quality_rules, substring_dedup
 
-    return {"op3_quality_rules": quality_rules.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op11_phrases": phrases.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op11_phrases": phrases.ORACLE, "op12_divergence": divergence.ORACLE}
