@@ -3,12 +3,13 @@
 A text is split into pieces at PIECE marks, a piece into words at spaces and tabs; A-Z are lower-cased. Every 1..max_n-gram of every piece
 counts. A corpus has nearly as many distinct n-grams as words, and most of them occur once or twice, so an n-gram becomes a row (lang, n, phrase, f)
 only if it can be frequent: the hashes of all n-grams are counted first, through the packed exchange, over the whole corpus, and those
-under `least` are left out. Equal hashes only raise a count, so none that is frequent is lost; the rows are then aggregated by their words. Parts of
+under `least` are left out. They keep as many bits as tell most n-grams apart; equal ones only raise a count, so none that is frequent is lost. The
+rows are then aggregated by their words. Parts of
 a frequent phrase are at least as frequent as it, so the same table holds all prefix and suffix counts.
 
 The rest is DataFrame work: cuts joined to the counts of both parts, scores in whole decimals, the anti-join against one-word extensions (whatever
 lies between a phrase and a longer candidate is a candidate at least as frequent as the longer one, so one word is enough), and ranks. A language may
-hold most candidates: ranks are cut within 64 parts of it first, so the last window gets at most 64 * top rows of a language.
+hold most candidates: scores below those of its first `top` are cut by a histogram, ties among them within 64 parts, before the last window.
 
 Results: a null text is empty, a null lang is `und`; ids are not read, and rows that repeat count each time. No phrase of `least`, no row; an empty table
 gives none. Very long texts are read whole. Ties in score and count are ranked by the phrase's bytes. Columns other than text and lang are
@@ -36,6 +37,8 @@ BETWEEN[[9, 32]] = True
 #: A candidate is dropped if an extension has this share of its occurrences, in hundredths.
 ABSORBED = 80
 PARTS = 64
+#: The screen's hashes have so many bits more than the logarithm of the bytes of all texts: one in some 2^SPARE n-grams meets another.
+SPARE = 14
 
 
 def grams(table: pa.Table, max_n: int):
@@ -78,13 +81,13 @@ def _counted(g: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.
     return g[starts], np.add.reduceat(weights, starts)
 
 
-def chunk_keys(table: pa.Table, max_n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-gram hashes of a chunk, sorted, and how often each occurs in it."""
+def chunk_keys(table: pa.Table, max_n: int, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-gram hashes (their bits under the mask) of a chunk, sorted, and how often each occurs in it."""
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, _, _, _, first, copies, every in grams(table, max_n):
         doc = tx.owner(first)
         for at, g in every:
-            k, c = _counted(g, None if (copies == 1).all() else copies[doc[at]])
+            k, c = _counted(g & mask, None if (copies == 1).all() else copies[doc[at]])
             keys.append(k)
             counts.append(c)
     return _counted(np.concatenate(keys), np.concatenate(counts))
@@ -109,17 +112,19 @@ def frequent(docs: DataFrame, max_n: int, least: int) -> DataFrame:
     # Languages take the place of ids: equal rows of a language that would fill a chunk stand once, with their number.
     named = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n_chunks, bits = ex.sizes(named, chunk_mb=(2, 16))
+    drop = max(0, 64 - SPARE - int(named.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0).bit_length())
+    mask = ~np.uint64((1 << drop) - 1)
     rows, _ = ex.without_hot(named)
     dealt = rows.select("doc_id", "text", "copies", F.pmod(ex.spread(), F.lit(n_chunks)).cast("int").alias("chunk"))
 
     def ask(key, table: pa.Table) -> pa.Table:
-        return ex.requests(key[0].as_py(), *chunk_keys(table, max_n), bits)
+        return ex.requests(key[0].as_py(), *chunk_keys(table, max_n, mask), bits, drop=drop)
 
     def enough(starts, sizes, counts):
         return np.repeat((np.add.reduceat(counts, starts) >= least).astype(np.int64), sizes)
 
     def spell(key, table: pa.Table, replies: pa.Table) -> pa.Table:
-        keys, _ = chunk_keys(table, max_n)
+        keys, _ = chunk_keys(table, max_n, mask)
         wanted = keys[ex.gathered(replies, keys, bits).astype(bool)]
         found: dict = {}
         for langs, buf, starts, ends, first, copies, every in grams(table, max_n):
@@ -127,7 +132,7 @@ def frequent(docs: DataFrame, max_n: int, least: int) -> DataFrame:
             for lang, words in zip(langs.tolist(), (np.diff(first) * copies).tolist(), strict=True):
                 found[lang, 0, b""] = found.get((lang, 0, b""), 0) + words
             for n, (at, g) in enumerate(every, 1):
-                hit = np.flatnonzero(_among(g, wanted))
+                hit = np.flatnonzero(_among(g & mask, wanted))
                 _, one, which = np.unique(g[hit], return_index=True, return_inverse=True)
                 total = np.bincount(which, copies[doc[at[hit]]], len(one)).astype(np.int64)
                 for w, c in zip(at[hit][one].tolist(), total.tolist(), strict=True):
@@ -137,7 +142,7 @@ def frequent(docs: DataFrame, max_n: int, least: int) -> DataFrame:
         return pa.table([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array([p.decode() for p in phrase], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "n", "phrase", "f"])
 
     requests = dealt.groupBy("chunk").applyInArrow(ex.typed(ask, "table"), ex.REQUEST)
-    replies = ex.answer(requests, bits, enough)
+    replies = ex.answer(requests, bits, enough, drops=(drop,))
     spelled = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ex.typed(spell, "table", "replies"), "lang string, n int, phrase string, f bigint")
     return spelled.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("n") == 0) | (F.col("f") >= least))
 
@@ -158,9 +163,13 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, top: int = 20
     longer = longer.groupBy("lang", "phrase").agg(F.max("of").alias("of"))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     absorbed = phrases.join(longer, ["lang", "phrase"]).where(100 * wide("of") >= ABSORBED * wide("a")).select("lang", "phrase")
-    kept = scored.join(absorbed, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    kept = checkpoint(scored.join(absorbed, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
 
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    step = F.expr("score div 10000")
+    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("step"))) - F.col("n")
+    lowest = kept.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).withColumn("above", above).where(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("lowest"))
+    kept = kept.join(lowest, "lang").where(step >= F.col("lowest")).drop("lowest")
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
     best = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
