@@ -193,9 +193,10 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     all_ids = sketched.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     gone = checkpoint(all_ids.select("doc_id").join(kept, "doc_id", "left_anti"))
     left = named.join(small(gone), "doc_id", "left_anti")
+    every_column = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     again = checkpoint(all_ids.where("n > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
     if again.head(1):
-        every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        every = F.struct(*every_column)
         one = left.join(small(again), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("_row")).select("_row.*")
-        left = left.join(small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(one)
-    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        left = left.join(small(again), "doc_id", "left_anti").select(*every_column).unionByName(one)
+    return left.select(*every_column).unionByName(docs.where("doc_id is null"))

@@ -6,8 +6,8 @@ centrally, and runs of tags, whichever windows they come from, are the spans. So
 a run of tags reaches the end of what was decoded, the windows beyond are decoded too, until none does. Base spans stay; a span of the
 tagger is added when it touches none of them, is certain enough on average and passes `plausible` (for instance the Luhn sum of a card).
 
-Every span holds an anchor (`plausible` demands it): a digit, an @, or "at" in brackets or before a "dot". A window with no anchor in reach is
-therefore not run; that changes no result. Training is numpy back-propagation through time with Adam, from labelled spans (`labelled_spans` makes texts
+Every span holds an anchor (`plausible` demands it): a digit, an @, "at" in brackets, or a bare "at" with a name and a dot behind it. A window with no
+anchor in reach is therefore not run; that changes no result (tests run all windows, too). Training is numpy back-propagation through time with Adam, from labelled spans (`labelled_spans` makes texts
 with known spans by rule; any list of (text, [(kind, start, end)]) will do). It depends on the seed alone and is kept per process.
 
 Results: a null text is an empty one (`masked` leaves it null). Ids may be null or repeat, and rows that repeat are read one by one; an empty
@@ -87,9 +87,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _AT = r"(?:@|[\[({<]\s?at\s?[\])}>]|\bat\b)"
 _DOT = r"(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>]|\bdot\b)"
-ANCHOR = re.compile(r"[0-9@]+|[\[({<]\s?at\s?[\])}>]|\bat\b(?=.{1,80}\bdot\b)", re.I)
-_LOCAL_LIKE = r"[\w.%+-]+"
-_EMAIL_LIKE = re.compile(rf"{_LOCAL_LIKE}(?:\s?{_DOT}\s?{_LOCAL_LIKE})*\s?{_AT}\s?[\w-]+(?:\s?{_DOT}\s?[\w-]+)*\s?{_DOT}\s?[A-Za-z]{{2,}}", re.I)
+#: What `mailbox` and the digits of the other kinds cannot do without. A bare "at" has one space behind it, so no two look at the same name.
+ANCHOR = re.compile(rf"[0-9@]+|[\[({{<]\s?at\s?[\])}}>]|\bat(?=-|\s[\w-]++\s?{_DOT}\s?[\w-])", re.I)
+_ATS, _DOTS, _DOT_BEFORE = re.compile(_AT, re.I), re.compile(rf"\s?{_DOT}\s?", re.I), re.compile(rf"\s?{_DOT}\s?\Z", re.I)
+_LOCALS, _NAMES, _TOP = re.compile(r"[\w.%+-]+"), re.compile(r"[\w-]+"), re.compile(r"[A-Za-z]{2,}")
+#: No spelling of a dot is as long.
+_DOT_LENGTH = 12
+
+
+def mailboxes(s: str):
+    """(start, end) around each "at" of a text that has a mailbox: local parts joined by dots, the at, names joined by dots, of which the last is all letters; the
+    widest in both directions. Runs of characters are found once and chains of them remembered, so time is linear."""
+    ats = [m.span() for m in _ATS.finditer(s)]
+    if not ats:
+        return
+    local, name = [m.span() for m in _LOCALS.finditer(s)], [m.span() for m in _NAMES.finditer(s)]
+    local_at, name_at = [a for a, _ in local], [a for a, _ in name]
+    begins: dict[int, int] = {}
+    ends: dict[int, int | None] = {}
+
+    def run_of(runs, starts, at):
+        k = bisect.bisect_right(starts, at) - 1
+        return k if k >= 0 and runs[k][1] > at else -1
+
+    def begin(k):
+        """Where the chain of local parts that ends in run k begins."""
+        chain = []
+        while k not in begins:
+            chain.append(k)
+            a = local[k][0]
+            m = _DOT_BEFORE.search(s, max(0, a - _DOT_LENGTH), a)
+            if not m and s[a] == "." and a + 1 < local[k][1]:  # the run's own first dot joins it to what stands before a space
+                m = _DOT_BEFORE.search(s, max(0, a - _DOT_LENGTH), a + 1)
+            before = run_of(local, local_at, m.start() - 1) if m and m.start() else -1
+            if before < 0 or before >= k:
+                begins[k] = a
+            else:
+                k = before
+        for c in reversed(chain):
+            begins[c] = begins[k]
+        return begins[k]
+
+    def end(k):
+        """Where the chain of names that starts in run k ends: behind its last name of letters; None if there is none after a dot."""
+        chain = []
+        while k not in ends:
+            m = _DOTS.match(s, name[k][1])
+            after = run_of(name, name_at, m.end()) if m else -1
+            if after <= k or name[after][0] != m.end():
+                ends[k] = None
+            else:
+                chain.append((k, after))
+                k = after
+        for k, after in reversed(chain):
+            ends[k] = ends[after] if ends[after] is not None else (name[after][1] if _TOP.fullmatch(s, *name[after]) else None)
+        return ends[chain[0][0] if chain else k]
+
+    for a, b in ats:
+        left = run_of(local, local_at, a - 1)
+        if left < 0 and a > 1 and s[a - 1].isspace():
+            left = run_of(local, local_at, a - 2)
+        right = run_of(name, name_at, b)
+        if right < 0 and b < len(s) and s[b].isspace():
+            right = run_of(name, name_at, b + 1)
+        if left >= 0 and right >= 0 and (to := end(right)) is not None:
+            yield begin(left), to
+
+
 _PARTS = re.compile(rf"\s?{_DOT}\s?", re.I)
 _EDGE = " \t\r\n.,;:!?\"'"
 
@@ -98,7 +162,7 @@ def plausible(kind: int, s: str) -> bool:
     """What a span of the tagger must be to be added."""
     d = _digits(s)
     if kind == 0:
-        return bool(_EMAIL_LIKE.fullmatch(s))
+        return (0, len(s)) in mailboxes(s)
     if kind == 1:
         parts = _PARTS.split(s)
         return len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -361,14 +425,14 @@ def _runs(tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int, float
     return out
 
 
-def tagged_spans(tagger: Tagger, texts: list[str], least: float, batch: int = 256) -> list[list[tuple[int, int, int]]]:
+def tagged_spans(tagger: Tagger, texts: list[str], least: float, batch: int = 256, anchor: re.Pattern = ANCHOR) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) of the tagger in each text, certain by `least` on average, without spaces and marks at their ends."""
     known: list[dict] = [{} for _ in texts]
     spans: list[list] = [[] for _ in texts]
     wanted = {}
     for i, text in enumerate(texts):
         reach = set()
-        for m in ANCHOR.finditer(text):
+        for m in anchor.finditer(text):
             reach.update(range(_owner(max(0, m.start() - REACH), len(text)), _owner(min(len(text) - 1, m.end() + REACH), len(text)) + 1))
         if reach:
             wanted[i] = reach
@@ -408,8 +472,8 @@ def _named(kind: int, text: str) -> int | None:
 
 def _fitted(text: str, a: int, kind: int, b: int) -> tuple[int, int, int]:
     """A span cut to what it names: a mailbox begins at its local part, whatever words the tagger took along."""
-    m = _EMAIL_LIKE.search(text, a, b) if kind == 0 else None
-    return (m.start(), kind, m.end()) if m else (a, kind, b)
+    found = next(mailboxes(text[a:b]), None) if kind == 0 else None
+    return (a + found[0], kind, a + found[1]) if found else (a, kind, b)
 
 
 def _inside_word(text: str, a: int, b: int) -> bool:
