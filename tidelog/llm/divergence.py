@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import typed
+from .near_copies import small
 from .shared import checkpoint, small_batches, written
 
 SHARD = 8192
@@ -48,7 +49,7 @@ def terms_of(data: bytes, stretch: int = 1 << 20):
         at = end
 
 
-def _count(batches, most: int = 300_000):
+def _count(batches, most: int = 600_000):
     """Rows of COUNTS, added up until `most` entries are held; term null: the group occurs."""
     held: dict = {}
     size = 0
@@ -178,7 +179,8 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     kept = checkpoint(kept.select("lang", "term"))
     langs = counts.select("lang").distinct().join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept")), "lang", "left")
     langs = checkpoint(langs.select("lang", F.coalesce("kept", F.lit(0)).alias("kept")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("kept") / SHARD)).cast("int")))
-    terms = kept.join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int"))
+    # Never dealt by language alone: one may hold most terms.
+    terms = kept.join(small(langs), "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int")).repartition("lang", "shard")
     terms = checkpoint(terms.select("lang", "shard", "term", (F.row_number().over(Window.partitionBy("lang", "shard").orderBy("term")) - 1).alias("tid")))
 
     # `whole` marks the language's own vector, beside those of its sources.
@@ -191,7 +193,7 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     size = max(SEAT, -(-most // SEATS))
     seated = sources.select("lang", "source", F.lit(False).alias("whole"), F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1) / size).cast("int").alias("seat"))
     groups = seated.unionByName(langs.select("lang", F.lit("").alias("source"), F.lit(True).alias("whole"), F.lit(-1).alias("seat")))
-    frame = groups.join(langs, "lang").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    frame = groups.join(small(langs), "lang").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     frame = frame.join(terms.groupBy("lang", "shard").agg(F.count(F.lit(1)).cast("int").alias("n")), ["lang", "shard"], "left")
     frame = frame.join(totals, ["lang", "source", "whole"], "left").join(vectors, ["lang", "source", "whole", "shard"], "left")
     frame = frame.select("lang", "shard", "seat", "source", F.coalesce("total", F.lit(0)).alias("total"), "kept", F.coalesce("n", F.lit(0)).alias("n"), "vector")

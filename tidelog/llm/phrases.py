@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import text as tx
+from .near_copies import small
 from .shared import checkpoint, small_batches
 
 #: Marks that end a piece, and what lies between words.
@@ -169,12 +170,12 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, top: int = 20
     step = F.expr("score div 10000")
     above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("step"))) - F.col("n")
     lowest = kept.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).withColumn("above", above).where(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("lowest"))
-    kept = kept.join(lowest, "lang").where(step >= F.col("lowest")).drop("lowest")
+    kept = kept.join(small(lowest), "lang").where(step >= F.col("lowest")).drop("lowest")
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
     best = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     words = found.where("n = 0").select("lang", F.col("f").alias("n"))
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(small(words), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 #: The same rows in DuckDB.
