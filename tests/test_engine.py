@@ -26,13 +26,24 @@ def test_parameters():
             lsn.parse_since(bad, now)
     assert [lsn.includes_history(x) for x in ("now", " NOW ", "24h", "7d", "all")] == [False, False, True, True, True]
     assert [lsn.positive(x, 5) for x in ("3", "0", "x", None, -1)] == [3, 5, 5, 5, 5]
-    with pytest.raises(ValueError):
-        log_queries.read_only("drop table x")
-    for bad in ("select 1; drop table x", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "FROM v INSERT INTO t1 SELECT a INSERT INTO t2 SELECT b", "with x as (select 1) delete from t", "with x as (select 1) update t set a = 1", "with x as (select 1) merge into t using x on 1 = 1", ""):
+
+
+def test_only_queries_pass_the_guard(spark):
+    """Judged by the parsed tree: neither comments, raw strings nor quotes hide a write."""
+    for bad in (
+        "drop table x", "select 1; drop table x", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "FROM v INSERT INTO t1 SELECT a INSERT INTO t2 SELECT b", "with x as (select 1) delete from t", "with x as (select 1) update t set a = 1",
+        "with x as (select 1) merge into t using x on 1 = 1", "", ";", "WITH x AS (SELECT 'k' AS a) INSERT/**/INTO t SELECT a FROM x", r"WITH x AS (SELECT r'\' AS a) INSERT INTO t SELECT a FROM x WHERE a <> 'z'", "insert overwrite directory '/tmp/x' select 1",
+        "select reflect('java.lang.System', 'exit', '0')", "select a from t where b = (select JAVA_METHOD('java.lang.Runtime', 'x'))", "select `try_reflect`('a', 'b')", "select identifier('refl' || 'ect')('a', 'b')", "with x as (select reflect('a', 'b')) select * from x",
+        "select transform(a) using 'cat' from t", "execute immediate 'drop table x'", "begin select 1; end", "cache table t", "set x = 1", "explain select 1", "create table t as select 1", "select * from nothing_known(1)", "select * from (select 1", "add jar 'x'",
+    ):
         with pytest.raises(ValueError):
-            log_queries.read_only(bad)
-    for good in ("select 'insert into x; y' as a", "(select 1) union (select 2);", "with x as (select 1 as updates) select * from x -- delete from t", "select replace(a, ';', '') from t", "values (1)"):
-        assert log_queries.read_only(good)
+            log_queries.read_only(spark, bad)
+    for good in (
+        "select 'insert into x; y' as a", "(select 1) union (select 2);", "with x as (select 1 as updates) select * from x -- delete from t", "select replace(a, ';', '') from t", "values (1)", "select 'reflect(1)'", "table t", "select r'\\' as insert_into",
+        "select a, count(*) from t where b > (select max(b) from t) and exists (select 1) group by a having count(*) > 1 order by 1 limit 5 offset 2", "select *, row_number() over (partition by a order by b) from t lateral view explode(c) d as q", "select * from range(5)",
+        "with recursive r as (select 1 as n union all select n + 1 from r where n < 3) select * from r", "select * from t pivot (sum(a) for b in (1, 2))", "select a from t intersect select 1 except select 2", "from t |> where a > 1", "select * from t a join lateral (select a.b) x",
+    ):
+        assert log_queries.read_only(spark, good)
 
 
 def test_scalar_functions(spark):

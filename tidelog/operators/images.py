@@ -157,7 +157,7 @@ def fold(records: DataFrame) -> DataFrame:
     changes of several places, page_image (the row's current image, see `with_page_images`) those of rows without a known image.
 
     One shuffle by slot and a sort within partitions; the walk keeps the image of the slot at hand, across batches. A record without a page
-    or slot has no image but its own."""
+    or slot has no image but its own, so such records need not meet and are dealt by lsn."""
     names = records.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields) + ", " + ADDED
 
@@ -179,7 +179,8 @@ def fold(records: DataFrame) -> DataFrame:
             slot = key_at(n - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(paths, pa.string())], [*names, "before_image", "after_image", "fold_path"])
 
-    return records.repartition(*KEY).sortWithinPartitions(*KEY, "lsn").mapInArrow(run, schema)
+    loose = F.col("page_id").isNull() | F.col("slot_id").isNull()
+    return records.repartition(*KEY, F.when(loose, F.xxhash64("lsn"))).sortWithinPartitions(*KEY, "lsn").mapInArrow(run, schema)
 
 
 #: Paths after which a slot's image is the record's after image (none after a deletion).

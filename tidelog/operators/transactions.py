@@ -1,15 +1,14 @@
 """Assembly of committed transactions from log records, in batch form.
 
 A transaction id can come again after its COMMIT or ABORT, so records are numbered by epoch: how many of these the id has had before.
-Data records are dealt by (db_name, transaction_id, stretch of the log); only begins, ends and clean-ups meet by transaction.
+Records are dealt by (db_name, transaction_id, stretch of the log), once; only begins, ends and clean-ups meet by transaction.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -29,37 +28,38 @@ def with_epochs(records: DataFrame, lsn_prefix: int = 14) -> DataFrame:
 
     Needs columns lsn, operation, transaction_name, seen_at (timestamp of a begin or an end) and cleanup (boolean).
 
-    A transaction may hold a third of the log, so its data records never meet: they are numbered within stretches of the log (records that
-    share `lsn_prefix` characters of the lsn), from the count of ends before each stretch. What an epoch is like follows from its begin, end and
-    clean-up records alone and is joined by (id, epoch)."""
-    ended = F.col("operation").isin(S.COMMIT, S.ABORT)
-    stretch = F.substring("lsn", 1, lsn_prefix)
-    excludes = ((F.col("operation") == S.BEGIN) & is_internal_transaction(F.col("transaction_name"))) | F.col("cleanup")
-    part = records.withColumn("_stretch", stretch)
-    counts = part.groupBy(*KEY, "_stretch").agg(F.sum(ended.cast("long")).alias("_ends"))
-    before = F.sum("_ends").over(Window.partitionBy(*KEY).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("_stretch").alias("_at"), "_before")
-    same = lambda *more: reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY] + list(more))
-    numbered = part.join(counts, same(F.col("_stretch") == F.col("_at"))).drop(*[f"_{k}" for k in KEY], "_at")
-    inside = F.sum(ended.cast("long")).over(Window.partitionBy(*KEY, "_stretch").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = numbered.withColumn("epoch", F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_before", "_stretch")
-    begun = F.col("operation") == S.BEGIN
-    # Begins, ends and clean-ups alone, so that the data records are not numbered a second time for it.
-    control = records.where(ended | begun | F.col("cleanup")).select(*KEY, "lsn", "operation", "transaction_name", "seen_at", "cleanup")
-    so_far = Window.partitionBy(*KEY).orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    epochs = control.withColumn("epoch", F.coalesce(F.sum(ended.cast("long")).over(so_far), F.lit(0))).groupBy(*KEY, "epoch").agg(
+    A transaction may hold a third of the log, so records never meet by id: they are shuffled once, by id and stretch of the log (records that
+    share `lsn_prefix` characters of the lsn), and numbered within it. Begins, ends and clean-ups alone tell what an epoch is like; each stretch gets
+    the epochs of its ids that reach into it, so what goes by id is a narrow row for each stretch, or each begin and end."""
+    ended, begun = F.col("operation").isin(S.COMMIT, S.ABORT), F.col("operation") == S.BEGIN
+    excludes = (begun & is_internal_transaction(F.col("transaction_name"))) | F.col("cleanup")
+    # Structs are equal where both have a null, so ids may be null.
+    part = records.withColumn("_id", F.struct(*KEY)).withColumn("_stretch", F.substring("lsn", 1, lsn_prefix))
+    so_far = Window.partitionBy("_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    control = part.where(ended | begun | F.col("cleanup")).withColumn("epoch", F.coalesce(F.sum(ended.cast("long")).over(so_far), F.lit(0)))
+    epochs = control.groupBy("_id", "epoch").agg(
         F.max(F.when(ended, F.col("operation"))).alias("kind"),
         F.max_by(F.when(begun, F.col("seen_at")), F.when(begun, F.col("lsn"))).alias("begin_at"),
         F.max(F.when(ended, F.col("seen_at"))).alias("end_at"),
         F.min(F.when(excludes, F.col("lsn"))).alias("excluded_from"),
     )
     # What an exclusion takes back: everything of the same id that was written before it.
-    last = epochs.where("excluded_from is not null").groupBy(*KEY).agg(F.max("epoch").alias("_last"))
-    epochs = epochs.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("epoch").alias("_epoch"), "kind", "begin_at", "end_at", "excluded_from")
-    last = last.select(*[F.col(k).alias(f"_{k}") for k in KEY], "_last")
-    marked = numbered.join(epochs, same(F.col("epoch") == F.col("_epoch")), "left").drop(*[f"_{k}" for k in KEY], "_epoch")
-    marked = marked.join(last, same(), "left").drop(*[f"_{k}" for k in KEY])
-    return marked.withColumn("undone", F.coalesce(F.col("_last") > F.col("epoch"), F.lit(False))).drop("_last")
+    after = Window.partitionBy("_id").orderBy(F.desc("epoch")).rowsBetween(Window.unboundedPreceding, -1)
+    epochs = epochs.withColumn("undone", F.coalesce(F.max(F.col("excluded_from").isNotNull()).over(after), F.lit(False)))
+
+    counts = part.groupBy("_id", "_stretch").agg(F.sum(ended.cast("long")).alias("_ends"))
+    before = F.sum("_ends").over(Window.partitionBy("_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    # A row for each stretch and epoch that reaches into it: as many as stretches and ends together.
+    reached = counts.withColumn("epoch", F.explode(F.sequence("_before", F.col("_before") + F.col("_ends")))).join(epochs, ["_id", "epoch"], "left")
+    told = F.struct("epoch", "kind", "begin_at", "end_at", "excluded_from", F.coalesce("undone", F.lit(False)).alias("undone"))
+    stretches = reached.groupBy("_id", "_stretch").agg(F.min("_before").alias("_before"), F.sort_array(F.collect_list(told)).alias("_epochs"))
+
+    inside = F.sum(ended.cast("long")).over(Window.partitionBy("_id", "_stretch").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = part.withColumn("_inside", F.coalesce(inside, F.lit(0)).cast("int")).join(stretches.hint("shuffle_merge"), ["_id", "_stretch"])
+    own = numbered.withColumn("_own", F.element_at("_epochs", F.col("_inside") + 1))
+    every = [F.col("`" + c.replace("`", "``") + "`") for c in records.columns]
+    return own.select(*every, *[F.col(f"_own.{c}").alias(c) for c in ("epoch", "kind", "begin_at", "end_at", "excluded_from", "undone")])
 
 
 def committed(records: DataFrame, since: datetime | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_executable
@@ -205,25 +205,49 @@ def write_script(script: DataFrame, path: str) -> None:
     script.orderBy("part", F.desc("lsn"), F.desc("id")).select("line").write.text(path)
 
 
-_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""", re.S)
-_WRITES = re.compile(r"\b(insert\s+(into|overwrite)|delete\s+from|merge\s+into|update\s+\S+(\s+\S+){0,2}?\s+set)\b", re.I)
+#: What a query may be made of; anything else (commands, inserts, scripts, programs that rows are piped through) is refused.
+QUERY_NODES = frozenset((
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LimitAll", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "PipeOperator", "Pivot", "Project",
+    "RepartitionByExpression", "Repartition", "Sample", "Sort", "SubqueryAlias", "Tail", "Union", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases",
+    "UnresolvedTableValuedFunction", "UnresolvedWith", "Unpivot", "Window", "WithWindowDefinition",
+))
+#: Functions that call into the virtual machine, and names worked out at run time, which could be one of them.
+REFUSED_FUNCTIONS = frozenset(("reflect", "java_method", "try_reflect"))
+TABLE_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"))
 
 
-def read_only(text: str) -> str:
-    """The text of an ad-hoc query; anything but a single SELECT, WITH, VALUES or TABLE statement is refused, also a write behind a WITH.
+def _sequence(of) -> list:
+    return [of.apply(i) for i in range(of.size())]
 
-    What stands in quotes or comments doesn't count."""
+
+def read_only(spark: SparkSession, text: str) -> str:
+    """The text of an ad-hoc query, if it is one single query: judged by the tree that Spark's parser makes of it, which runs nothing. A write at any
+    depth, a second statement, and functions that call into the virtual machine are refused."""
     text = text.strip().rstrip(";")
-    plain = _QUOTED.sub(" ? ", text)
-    words = plain.lstrip("( \n\t").split(None, 1)
-    if not words or words[0].lower() not in ("select", "with", "values", "table") or ";" in plain or _WRITES.search(plain):
-        raise ValueError("only a single query is accepted")
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise ValueError("only a single query is accepted") from e
+    nodes, terms = [tree], []
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName().rstrip("$")
+        if name not in QUERY_NODES or (name == "UnresolvedTableValuedFunction" and ".".join(_sequence(node.name())).lower() not in TABLE_FUNCTIONS):
+            raise ValueError(f"only a single query is accepted, not {node.nodeName()}")
+        nodes += _sequence(node.children()) + _sequence(node.innerChildren())
+        terms += _sequence(node.expressions())
+    while terms:
+        term = terms.pop()
+        name = term.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in name or (name == "UnresolvedFunction" and _sequence(term.nameParts())[-1].lower() in REFUSED_FUNCTIONS):
+            raise ValueError("only functions of SQL itself are accepted")
+        terms += _sequence(term.children())
     return text
 
 
 def ad_hoc(events: DataFrame, text: str) -> DataFrame:
     """Spark SQL over log_events. The name is one of the query's own, so views of the session stay as they are."""
-    query, view = read_only(text), f"log_events_{uuid.uuid4().hex}"
+    query, view = read_only(events.sparkSession, text), f"log_events_{uuid.uuid4().hex}"
     events.createOrReplaceTempView(view)
     own = f"WITH log_events AS (SELECT * FROM {view})"
     named = re.match(r"\s*with\s+(?!recursive\b)", query, re.I)
