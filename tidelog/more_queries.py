@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import lsn
 from .functions import predicates as P
 from .functions import rows as R
 from .operators import analyzer, deltas, images, resolve, statements
@@ -288,10 +289,20 @@ def backup_window_union(spark, sf_dir):
     return src.backup_window(_backups(spark, sf_dir), datetime(1995, 6, 1)).select("path", "row")
 
 
-@query(f"WITH {_BACKUP_SQL} SELECT CAST(e.event_id AS BIGINT) AS event_id, b.backup_id FROM events e JOIN b ON CAST(e.event_id * 700 + 3 AS DECIMAL(25,0)) BETWEEN b.first_lsn AND b.last_lsn")
+# Log numbers as the log writes them, an event in every fifth file; backups reach from file to file, every 25th over ten files.
+_REAL_BACKUPS = """SELECT backup_id, CAST(f AS DECIMAL(25,0)) * CAST(281474976710656 AS DECIMAL(25,0)) + 65536 AS first_lsn, CAST(f + CASE WHEN backup_id % 25 = 0 THEN 10 ELSE 1 END AS DECIMAL(25,0)) * CAST(281474976710656 AS DECIMAL(25,0)) + 655361 AS last_lsn
+ FROM (SELECT backup_id, 34 + backup_id AS f FROM {b})"""
+
+
+@query(f"""WITH {_BACKUP_SQL}, r AS ({_REAL_BACKUPS.format(b="b")}), p AS (SELECT event_id, CAST(34 + event_id * 5 AS DECIMAL(25,0)) * CAST(281474976710656 AS DECIMAL(25,0)) + (event_id % 40) * 65536 + 1 AS lsn FROM events)
+SELECT CAST(event_id AS BIGINT) AS event_id, backup_id FROM p JOIN r ON lsn BETWEEN first_lsn AND last_lsn""")
 def lsn_range_join(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * 700 + 3).cast("decimal(25,0)").alias("lsn"))
-    return src.covering_backups(events, _backups(spark, sf_dir).select("backup_id", "first_lsn", "last_lsn"), "lsn").select(F.col("event_id").cast("long").alias("event_id"), "backup_id")
+    """Records and the backups that hold them, by the numbers of their texts."""
+    backups = spark.sql(_REAL_BACKUPS.format(b="{b}"), b=_backups(spark, sf_dir))
+    k = F.col("event_id").cast("long")
+    text = F.format_string("%08x:%08x:%04x", 34 + k * 5, k % 40, F.lit(1).cast("long"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(k.alias("event_id"), lsn.lsn_decimal(text).alias("lsn"))
+    return src.covering_backups(events, backups, "lsn").select("event_id", "backup_id")
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS k, o_orderkey % 10 < 2 AS cleanup, o_orderkey % 5 = 0 AS url FROM orders")

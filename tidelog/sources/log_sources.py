@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.predicates import is_base_row, is_data_op
+from ..operators.range_join import sweep_join
 from ..operators.resolve import small
 
 
@@ -88,31 +89,9 @@ def gap_backups(backups: DataFrame, lsn, now: datetime, most: int = 64, days: in
     return backups.where((F.col("last_lsn") >= F.lit(lsn)) & (F.col("finished") >= F.lit(now - timedelta(days=days)))).orderBy("first_lsn").limit(most)
 
 
-def covering_backups(points: DataFrame, backups: DataFrame, lsn: str, most: int | None = None, each: int = 32, most_bins: int = 4096) -> DataFrame:
-    """Points joined with the backups whose range [first_lsn, last_lsn] holds them; with `most`, with the first so many by backup_id.
-
-    Numbers of a log leap by 2^48 from file to file, so they are dealt into bins of about `each` backups (by quantiles of first_lsn), a
-    range into each bin that it touches: an equi-join on bins, then the exact test."""
-    bins = max(2, min(most_bins, backups.count() // each))
-    shares = f"array({', '.join(str(k / bins) for k in range(1, bins))})"
-    edges = backups.agg(F.expr(f"array_sort(array_distinct(percentile_approx(first_lsn, {shares}, {20 * bins})))").alias("e")).first()["e"] or []
-    # Two looks at 64 edges at most instead of one at all of them.
-    listed = lambda part: f"array({', '.join(f'cast({e} as decimal(25,0))' for e in part)})"
-    runs = [edges[k : k + 64] for k in range(0, len(edges), 64)]
-
-    def bin_of(c: str) -> Column:
-        if not edges:
-            return F.lit(0)
-        below = lambda part: f"size(filter({part}, e -> e <= {c}))"
-        block = below(listed(r[0] for r in runs))
-        fine = f"array({', '.join(map(listed, runs))})"
-        return F.expr(f"if({c} >= {edges[0]}, 64 * {block} + {below(f'element_at({fine}, {block})')}, 0)")
-
-    dealt = backups.withColumn("_bin", F.explode(F.sequence(bin_of("first_lsn"), bin_of("last_lsn"))))
-    found = points.withColumn("_bin", bin_of(lsn)).join(dealt, "_bin").where(F.col(lsn).between(F.col("first_lsn"), F.col("last_lsn"))).drop("_bin")
-    if most is None:
-        return found
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy(*points.columns).orderBy("backup_id"))).where(F.col("_n") <= most).drop("_n")
+def covering_backups(points: DataFrame, backups: DataFrame, lsn: str, most: int | None = None) -> DataFrame:
+    """Points joined with the backups whose range [first_lsn, last_lsn] holds them; with `most`, with the first so many by backup_id. See range_join."""
+    return sweep_join(points, backups, lsn, "first_lsn", "last_lsn", most, "backup_id")
 
 
 def user_databases(databases: DataFrame) -> DataFrame:
