@@ -2,9 +2,13 @@
 
 Base spans (leftmost, non-overlapping per kind): assign, access, hex. The method looks at every string of 16 characters or more of
 [A-Za-z0-9+/_.=-] that has a digit and a letter and begins at a sensitive word (`_WORD`) or within 48 characters after it, in its line; each
-word counts, also one inside the 48 characters of another, and a string is taken to its end whatever its length. Its novelty is what it adds to a compressed frame: bytes of zstd(surroundings + string) minus zstd(surroundings), both primed with a dictionary of code and
-identifiers (`PRIMER`) and with the text around it, over the string's length. Prose, identifiers and repeated strings compress; keys do not. A
-string that adds at least `novelty` bytes a character is reported as kind `novel`, unless it touches a base span.
+word counts, also one inside the 48 characters of another, and a string is taken to its end whatever its length.
+
+Its novelty is what it adds to a compressed frame, zstd(surroundings + string) minus zstd(surroundings), as a share of what strings of the same length drawn at
+random from its alphabet add there. So length, alphabet and surroundings cancel out: a key adds as much as chance does, whatever it is made
+of, an identifier less. Frames are primed with a dictionary: lines of code and configuration (`PRIMER`), and the words that the corpus itself makes its identifiers of
+(`identifier_words`: counted over all rows in Spark, the commonest first, up to DICTIONARY bytes). A string of at least `novelty` is reported as kind
+`novel`, unless it touches a base span.
 
 Results: a null text is an empty one. Ids may be null or repeat; rows are scanned one by one. An empty table gives no row, very long texts are
 scanned whole, and columns other than doc_id and text are not read. No shuffle.
@@ -16,9 +20,14 @@ import bisect
 import functools
 import hashlib
 import itertools
+import random
 import re
+import string
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import text as tx
 
@@ -47,17 +56,76 @@ PRIMER = (
 )
 
 
-@functools.lru_cache(1)
-def _compressor():
+#: Bytes of identifier words in the dictionary, and how many words are fetched for it at most (words have 3 to 24 letters).
+DICTIONARY, MOST_WORDS, LEAST = 60_000, 20_000, 3
+_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+NOVELTY = 0.88
+_CLASSES = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
+
+
+def pieces(text: str) -> set[str]:
+    """The words that the long strings of a text are made of."""
+    return {p for m in _STRING.finditer(text) for p in _PIECE.findall(m.group()) if 3 <= len(p) <= 24}
+
+
+def identifier_words(docs: DataFrame) -> tuple[str, ...]:
+    """The words of identifiers by documents times length, rarest first (what stands last in a dictionary is found at least cost), up to DICTIONARY bytes."""
+    from .shared import small_batches
+
+    small_batches(docs.sparkSession)
+
+    def count(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(pieces(text or ""))
+            if len(held) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+                held = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    out, size = [], 0
+    for row in counts.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(MOST_WORDS).collect():
+        size += len(row.word) + 1
+        if size > DICTIONARY:
+            break
+        out.append(row.word)
+    return tuple(reversed(out))
+
+
+@functools.lru_cache(2)
+def _compressor(words: tuple[str, ...]):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+    known = zstandard.ZstdCompressionDict(PRIMER + " ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(level=9)
+    return zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_checksum=False)
+
+
+def marginal(around: bytes, added: bytes, words: tuple[str, ...] = ()) -> int:
+    """Bytes that a string adds to its surroundings."""
+    c = _compressor(words)
+    return len(c.compress(around + added)) - len(c.compress(around))
+
+
+def alphabet(s: str) -> str:
+    """The characters that a string seems drawn from: hex digits, or the classes that it has characters of, and its own signs."""
+    if set(s) <= set("0123456789abcdef"):
+        return "0123456789abcdef"
+    return "".join(c for c in _CLASSES if not set(c).isdisjoint(s)) + "".join(sorted({c for c in s if not c.isalnum()}))
+
+
+@functools.lru_cache(4096)
+def _drawn(letters: str, n: int) -> tuple[bytes, ...]:
+    """Strings drawn at random; a long one is enough."""
+    return tuple("".join(random.Random(f"{letters}{n}{k}").choices(letters, k=n)).encode() for k in range(8 if n <= 256 else 1))
 
 
-def marginal(around: bytes, string: bytes) -> float:
-    """Bytes that a string adds to its surroundings, per byte of it."""
-    c = _compressor()
-    return (len(c.compress(around + string)) - len(c.compress(around))) / max(len(string), 1)
+def novelty_of(around: bytes, s: str, words: tuple[str, ...] = ()) -> float:
+    drawn = _drawn(alphabet(s), len(s)) if len(s) <= 4096 else _drawn.__wrapped__(alphabet(s), len(s))
+    by_chance = sum(marginal(around, x, words) for x in drawn) / len(drawn)
+    return marginal(around, s.encode(), words) / max(by_chance, 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,7 +137,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float, identifiers: tuple[str, ...] = ()) -> list[tuple[int, int, int]]:
     words = [m.span(1) for m in _WORD.finditer(text)]
     runs = [m.span() for m in _STRING.finditer(text)] if words else []
     ends = [b for _, b in runs]
@@ -92,7 +160,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float) ->
             if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
                 continue
             around = (text[max(0, a - 400) : a] + text[b : b + 400]).encode()
-            if marginal(around, s.encode()) >= novelty:
+            if novelty_of(around, s, identifiers) >= novelty:
                 out.append((a, 3, b))
     return sorted(out)
 
@@ -101,19 +169,20 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(text: str, novelty: float = 0.72) -> tuple[list, list]:
+def scan(text: str, novelty: float = NOVELTY, identifiers: tuple[str, ...] = ()) -> tuple[list, list]:
     """Base spans and added spans of one text."""
     base = base_spans(text)
-    return base, novel_spans(text, base, novelty)
+    return base, novel_spans(text, base, novelty, identifiers)
 
 
-def find_secrets(docs: DataFrame, novelty: float = 0.72) -> DataFrame:
-    """One row per document: counts of base spans, their digest, and all spans."""
+def find_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
+    """One row per document: counts of base spans, their digest, and all spans. The dictionary (DICTIONARY bytes) is a broadcast variable."""
+    identifiers = docs.sparkSession.sparkContext.broadcast(identifier_words(docs))
 
     def per_slice(ids, data, offsets):
         rows = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            base, added = scan(str(data[a:b], "utf-8"), novelty)
+            base, added = scan(str(data[a:b], "utf-8"), novelty, identifiers.value)
             n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
             rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(added)))
         return [tx.plain_ids(ids), *map(list, zip(*rows, strict=True))]
