@@ -20,6 +20,7 @@ from ..functions import rows as R
 from ..functions.lsn import operation_of
 from ..functions.predicates import is_base_row, is_data_op
 from ..functions.types import RANGES, ROWVERSION, TableSpec
+from ..sources import catalog_history
 from ..sources.catalog import Catalog
 from . import deltas, images, resolve, transactions
 
@@ -71,7 +72,7 @@ def _by_table(catalog: Catalog, object_id: pa.Array, partition_id: pa.Array, *mo
 
 def _light(catalog: Catalog) -> Catalog:
     """Without frames, so that it can travel with a function."""
-    return Catalog(catalog.specs, catalog.stored, None, None, None)
+    return Catalog(catalog.specs, catalog.stored, None, None, None, catalog.by)
 
 
 def image_values(catalog: Catalog):
@@ -238,8 +239,9 @@ def statements(folded: DataFrame, catalog: Catalog) -> DataFrame:
 
 def resolved(records: DataFrame, catalog: Catalog) -> DataFrame:
     """Data records with object_id and compression; object_id is null where no known table is meant."""
-    found = resolve.resolve_storage(records, catalog.tables, catalog.partitions.select("object_id", "alloc_unit_id", "partition_id"))
-    return resolve.resolve_compression(found, catalog.partitions.select("alloc_unit_id", "partition_id", "code"), catalog.default)
+    by = catalog.by
+    found = resolve.resolve_storage(records, catalog.tables, catalog.partitions.select("object_id", "alloc_unit_id", "partition_id", *by), by)
+    return resolve.resolve_compression(found, catalog.partitions.select("alloc_unit_id", "partition_id", "code", *by), catalog.default, by)
 
 
 def scan_each(records: DataFrame, catalogs: dict[str, Catalog], **options) -> DataFrame:
@@ -248,6 +250,13 @@ def scan_each(records: DataFrame, catalogs: dict[str, Catalog], **options) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
+def scan_history(records: DataFrame, history: list[catalog_history.Version], **options) -> DataFrame:
+    """Events of records of any databases, each record read by the catalog that held in its database at its lsn, in one plan; see `scan`. Records from
+    before a database's first version are of no known table."""
+    spark = records.sparkSession
+    return scan(catalog_history.with_version(records, history), catalog_history.merged(spark, history), **options)
+
+
 def event_columns(made: DataFrame) -> DataFrame:
     """Rows of `statements` over records with begin_at and end_at, as events."""
     return made.select(

@@ -14,19 +14,20 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def resolve_storage(records: DataFrame, tables: DataFrame, partitions: DataFrame) -> DataFrame:
+def resolve_storage(records: DataFrame, tables: DataFrame, partitions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds object_id and match (alloc_unit, partition, name or null).
 
     A hit on an alloc unit is final, then one on a partition, even if its object is no known table; then the name, of two parts, or of three
-    if the last is the table's base index. tables: object_id, schema_name, table_name, base_index; partitions: object_id, alloc_unit_id, partition_id."""
-    units = partitions.where("alloc_unit_id <> 0").groupBy("alloc_unit_id").agg(F.min("object_id").alias("_unit"))
-    parts = partitions.where("partition_id <> 0").groupBy("partition_id").agg(F.min("object_id").alias("_part"))
+    if the last is the table's base index. tables: object_id, schema_name, table_name, base_index; partitions: object_id, alloc_unit_id, partition_id.
+    by: further columns of all three that have to agree, such as a version of the catalog."""
+    units = partitions.where("alloc_unit_id <> 0").groupBy(*by, "alloc_unit_id").agg(F.min("object_id").alias("_unit"))
+    parts = partitions.where("partition_id <> 0").groupBy(*by, "partition_id").agg(F.min("object_id").alias("_part"))
     # Names that differ in case alone mean the table of the smallest id, so that no record is doubled.
-    names = tables.groupBy(F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("_name")).agg(F.min("object_id").alias("_named"), F.min_by(F.lower("base_index"), "object_id").alias("_base"))
+    names = tables.groupBy(*by, F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("_name")).agg(F.min("object_id").alias("_named"), F.min_by(F.lower("base_index"), "object_id").alias("_base"))
     known = tables.select(F.col("object_id").alias("_known")).distinct()
     piece = F.split("alloc_unit_name", r"\.", 3)
     r = records.withColumn("_pieces", piece).withColumn("_name", F.lower(F.concat_ws(".", F.col("_pieces")[0], F.get("_pieces", F.lit(1)))))
-    r = r.join(small(units), "alloc_unit_id", "left").join(small(parts), "partition_id", "left").join(small(names), "_name", "left")
+    r = r.join(small(units), [*by, "alloc_unit_id"], "left").join(small(parts), [*by, "partition_id"], "left").join(small(names), [*by, "_name"], "left")
     named = F.when((F.size("_pieces") == 2) | ((F.size("_pieces") == 3) & (F.lower(F.get("_pieces", F.lit(2))) == F.col("_base"))), F.col("_named"))
     match = F.when(F.col("_unit").isNotNull(), "alloc_unit").when(F.col("_part").isNotNull(), "partition").when(named.isNotNull(), "name")
     r = r.withColumn("match", match).withColumn("_object", F.when(F.col("match") == "alloc_unit", F.col("_unit")).when(F.col("match") == "partition", F.col("_part")).otherwise(named))
@@ -38,12 +39,12 @@ def compression_name(code: Column) -> Column:
     return F.when(code == 0, "NONE").when(code == 1, "ROW").when(code == 2, "PAGE").when(code.isin(3, 4), "COLUMNSTORE").otherwise("UNKNOWN")
 
 
-def resolve_compression(records: DataFrame, partitions: DataFrame, table_default: DataFrame) -> DataFrame:
+def resolve_compression(records: DataFrame, partitions: DataFrame, table_default: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds compression: of the alloc unit, else the partition, else the table (object_id, code), else UNKNOWN."""
-    units = partitions.where("alloc_unit_id <> 0").groupBy("alloc_unit_id").agg(F.max("code").alias("_u"))
-    parts = partitions.where("partition_id <> 0").groupBy("partition_id").agg(F.max("code").alias("_p"))
+    units = partitions.where("alloc_unit_id <> 0").groupBy(*by, "alloc_unit_id").agg(F.max("code").alias("_u"))
+    parts = partitions.where("partition_id <> 0").groupBy(*by, "partition_id").agg(F.max("code").alias("_p"))
     default = table_default.groupBy("object_id").agg(F.max("code").alias("_t"))
-    r = records.join(small(units), "alloc_unit_id", "left").join(small(parts), "partition_id", "left").join(small(default), "object_id", "left")
+    r = records.join(small(units), [*by, "alloc_unit_id"], "left").join(small(parts), [*by, "partition_id"], "left").join(small(default), "object_id", "left")
     return r.withColumn("compression", compression_name(F.coalesce("_u", "_p", "_t"))).drop("_u", "_p", "_t")
 
 

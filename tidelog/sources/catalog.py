@@ -25,13 +25,15 @@ BASE_INDEXES = (0, 1)  # a heap, a clustered index
 
 @dataclass
 class Catalog:
-    """Specs by object id; stored columns by partition id; tables, partitions and default compression as frames for resolution."""
+    """Specs by object id; stored columns by partition id; tables, partitions and default compression as frames for resolution. by: columns besides that
+    records have to agree in with tables and partitions (see catalog_history)."""
 
     specs: dict[int, TableSpec]
     stored: dict[int, tuple[ColumnSpec, ...]]
     tables: DataFrame
     partitions: DataFrame
     default: DataFrame
+    by: tuple[str, ...] = ()
 
     def spec(self, object_id: int, partition_id: int | None = None) -> TableSpec | None:
         """The table, with the stored columns of the partition where they are known."""
