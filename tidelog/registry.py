@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import more_queries, scan_queries
+from . import more_queries, scan_queries, source_queries
 from .functions import lsn as L
 from .operators import store, transactions
 from .plans import fixtures
@@ -303,8 +303,8 @@ def scan_counters(r):
 
 
 def queries() -> dict:
-    return _queries | more_queries.queries() | scan_queries.queries()
+    return _queries | more_queries.queries() | scan_queries.queries() | source_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles | more_queries.oracle_sql() | scan_queries.oracle_sql()
+    return _oracles | more_queries.oracle_sql() | scan_queries.oracle_sql() | source_queries.oracle_sql()
