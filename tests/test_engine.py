@@ -21,7 +21,8 @@ def test_parameters():
     now = datetime(2024, 1, 2, tzinfo=UTC)
     assert lsn.parse_since("", now) is None and lsn.parse_since("all", now) is None and lsn.parse_since(" NOW ", now) == now
     assert lsn.parse_since("1d", now) == datetime(2024, 1, 1, tzinfo=UTC) and lsn.parse_since("1h30m", now) == datetime(2024, 1, 1, 22, 30, tzinfo=UTC)
-    for bad in ("0d", "x", "-1h"):
+    assert lsn.parse_since("1m1h500ms", now) == datetime(2024, 1, 1, 22, 58, 59, 500000, tzinfo=UTC) and lsn.parse_since("-1.5h", now) == datetime(2024, 1, 2, 1, 30, tzinfo=UTC) and lsn.parse_since("0", now) == now and lsn.parse_since("+.5s", now).microsecond == 500000
+    for bad in ("0d", "x", "-1d", "1", "1h2", "h", "+", "1.5d", "1y", "--1h"):
         with pytest.raises(ValueError):
             lsn.parse_since(bad, now)
     assert [lsn.includes_history(x) for x in ("now", " NOW ", "24h", "7d", "all")] == [False, False, True, True, True]

@@ -57,19 +57,33 @@ def key_probe(log2: Column) -> Column:
     return F.when((F.substring(h, 1, 2) == "16") & (n > 5), h.substr(F.lit(3), 2 * (n - 5))).when((F.substring(h, 1, 2) == "36") & (n > 8), h.substr(F.lit(17), 2 * (n - 8))).otherwise("")
 
 
+#: Units of durations, in seconds.
+UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600}
+_PART = re.compile(r"(\d+\.?\d*|\.\d+)(ns|us|µs|μs|ms|s|m|h)")
+
+
+def duration(text: str) -> timedelta:
+    """A sum of numbers with units, in any order, with a sign or none: 1h30m, 500ms, 1m1h, -1.5h; 0 needs no unit."""
+    sign, rest = (-1 if text[:1] == "-" else 1), text.removeprefix("-") if text[:1] == "-" else text.removeprefix("+")
+    if rest == "0":
+        return timedelta()
+    if not rest or _PART.sub("", rest):
+        raise ValueError(f"not a duration: {text!r}")
+    return sign * timedelta(seconds=sum(float(n) * UNITS[u] for n, u in _PART.findall(rest)))
+
+
 def parse_since(text: str, now: datetime | None = None) -> datetime | None:
-    """'' and all: no bound; now; <n>d; or hours, minutes and seconds such as 1h30m. Anything else is an error."""
+    """'' and all: no bound; now; <n>d; or a duration. Anything else is an error."""
     now, text = now or datetime.now(UTC), text.strip().lower()
     if text in ("", "all"):
         return None
     if text == "now":
         return now
-    if (m := re.fullmatch(r"(\d+)d", text)) and int(m[1]) > 0:
-        return now - timedelta(days=int(m[1]))
-    if m := re.fullmatch(r"(?=.)(?:(\d+(?:\.\d+)?)h)?(?:(\d+(?:\.\d+)?)m)?(?:(\d+(?:\.\d+)?)s)?", text):
-        h, mi, s = (float(x or 0) for x in m.groups())
-        return now - timedelta(hours=h, minutes=mi, seconds=s)
-    raise ValueError(f"not a time window: {text!r}")
+    if text.endswith("d"):
+        if re.fullmatch(r"\+?\d+d", text) and int(text[:-1]) > 0:
+            return now - timedelta(days=int(text[:-1]))
+        raise ValueError(f"not a time window: {text!r}")
+    return now - duration(text)
 
 
 def includes_history(text: str) -> bool:

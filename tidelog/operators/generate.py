@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -265,13 +265,16 @@ def event_columns(made: DataFrame) -> DataFrame:
     )
 
 
-def scan(records: DataFrame, catalog: Catalog, pages: DataFrame | None = None, since: datetime | None = None, committed: bool = True) -> DataFrame:
+def scan(records: DataFrame, catalog: Catalog, pages: DataFrame | None = None, since: datetime | None = None, committed: bool = True, watch: tuple[Observation, Observation] | None = None) -> DataFrame:
     """Events (columns of schemas.LOG_EVENTS, and skip_reason) of the records of all tables of the catalog, of any number of databases that share it.
 
     Records have the columns of schemas.LOG_RECORDS, seen_at (time of a begin or an end) and cleanup. Row images follow every record that is
     not excluded; events are those of committed transactions (committed=False: of all that are not excluded) that began since then.
-    pages: current row images (db_name, page_id, slot_id, image) for changes of several places without a known image."""
+    pages: current row images (db_name, page_id, slot_id, image) for changes of several places without a known image.
+    watch: two observations that get the counters of the pass itself, of records and of events, once the events are written (see `counters`)."""
     marked = transactions.with_epochs(records)
+    if watch:
+        marked = marked.observe(watch[0], *transactions.counters())
     data = marked.where(is_data_op(F.col("operation")) & is_base_row(F.col("context")) & (F.col("excluded_from").isNull() | (F.col("lsn") < F.col("excluded_from"))))
     known = resolved(data, catalog).where(F.col("object_id").isNotNull())
     folded = images.fold(images.with_page_images(known, pages) if pages is not None else known)
@@ -280,4 +283,5 @@ def scan(records: DataFrame, catalog: Catalog, pages: DataFrame | None = None, s
         wanted &= F.coalesce(F.col("kind") == S.COMMIT, F.lit(False))
     if since is not None:
         wanted &= F.coalesce("begin_at", "end_at") >= F.lit(since)
-    return event_columns(statements(folded.where(wanted), catalog))
+    events = event_columns(statements(folded.where(wanted), catalog))
+    return events.observe(watch[1], *transactions.event_counters()) if watch else events

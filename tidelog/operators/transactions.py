@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -82,16 +82,28 @@ def cacheable(records: DataFrame) -> DataFrame:
     return with_epochs(records).where(is_data_op(F.col("operation")) & (F.col("excluded_from").isNull() | (F.col("lsn") < F.col("excluded_from"))))
 
 
-def scan_counters(records: DataFrame) -> DataFrame:
-    """One row of counts over a scan, and the last lsn (the next checkpoint)."""
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    e = with_epochs(records)
+def _n(c: Column) -> Column:
+    return F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+
+
+def counters() -> list[Column]:
+    """Counts over records with epochs, and the last lsn (the next checkpoint): for an aggregate, or to observe a scan on its way."""
     data = is_data_op(F.col("operation"))
     good = data & (F.col("kind") == S.COMMIT) & F.col("excluded_from").isNull() & ~F.col("undone")
-    return e.agg(
-        n(F.col("operation") == S.BEGIN).alias("begins"), n(F.col("operation") == S.COMMIT).alias("commits"), n(F.col("operation") == S.ABORT).alias("aborts"),
-        n(data).alias("data"), n(F.coalesce(good, F.lit(False))).alias("committed"), n(data & F.col("kind").isNull() & F.col("excluded_from").isNull()).alias("pending"), F.max("lsn").alias("last_lsn"),
-    )
+    return [
+        _n(F.col("operation") == S.BEGIN).alias("begins"), _n(F.col("operation") == S.COMMIT).alias("commits"), _n(F.col("operation") == S.ABORT).alias("aborts"),
+        _n(data).alias("data"), _n(F.coalesce(good, F.lit(False))).alias("committed"), _n(data & F.col("kind").isNull() & F.col("excluded_from").isNull()).alias("pending"), F.max("lsn").alias("last_lsn"),
+    ]
+
+
+def event_counters() -> list[Column]:
+    """Counts over events: all, by operation, and those without executable SQL."""
+    return [F.count(F.lit(1)).alias("generated"), *[_n(F.col("operation") == o).alias(o.lower() + "s") for o in ("INSERT", "UPDATE", "DELETE")], _n(~is_executable(F.col("sql_stmt"))).alias("errors")]
+
+
+def scan_counters(records: DataFrame) -> DataFrame:
+    """One row of counts over a scan, and the last lsn. A scan that runs anyway gives them by itself: see generate.scan's watch."""
+    return with_epochs(records).agg(*counters())
 
 
 def detail_counters(resolved: DataFrame, events: DataFrame) -> DataFrame:
@@ -100,6 +112,5 @@ def detail_counters(resolved: DataFrame, events: DataFrame) -> DataFrame:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     base = is_base_row(F.col("context"))
     seen = resolved.groupBy("db_name").agg(F.count(F.lit(1)).alias("data"), n(base).alias("eligible"), n(base & F.col("object_id").isNotNull()).alias("resolved"))
-    op = lambda o: n(F.col("operation") == o).alias(o.lower() + "s")
-    made = events.groupBy("db_name").agg(F.count(F.lit(1)).alias("generated"), op("INSERT"), op("UPDATE"), op("DELETE"), n(~is_executable(F.col("sql_stmt"))).alias("errors"))
+    made = events.groupBy("db_name").agg(*event_counters())
     return seen.join(made, "db_name", "left").fillna(0)
