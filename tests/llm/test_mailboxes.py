@@ -46,12 +46,14 @@ def test_windows_without_an_anchor_change_nothing(spark):
 
 
 def test_stages_take_any_column_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     import corpus_pipeline as cp
 
     names = ["meta.url", "a`b", "_id", "_row", "key", "node", "a b"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     docs = docs.unionByName(docs.limit(5))
-    docs = docs.toDF(*docs.columns).select("*", *[docs["source"].alias(n) for n in names])
+    docs = docs.select("*", *[F.col("source").alias(n) for n in names])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
