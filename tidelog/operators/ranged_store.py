@@ -154,12 +154,20 @@ class RangedStore:
         if hit:
             merged = self._split(merged, state, sorted(hit), out, count)
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            merged.repartition("r").sortWithinPartitions("r", "db_name", "lsn").write.partitionBy("r").parquet(folder)
+            self._arranged(merged.repartition("r").sortWithinPartitions("r", "db_name", "lsn")).write.partitionBy("r").parquet(folder)
+            self._written(folder)
             for name, n, data in self._filters(merged.sparkSession.read.schema(merged.schema).parquet(folder)):
                 out[name] = out[name] | {"folder": f"{folder}/r={name}", "n": n, "filter": data}
         self._commit(seq, out, state.checkpoints | (checkpoints or {}))
         return sorted(n for n, r in out.items() if r["n"] and state.ranges.get(n) != r)
 
+    def _arranged(self, rows: DataFrame) -> DataFrame:
+        """The rows of a batch, in ranges r and in order, as they are written."""
+        return rows
+
+    def _written(self, folder: str) -> None:
+        """Called with the folder of a batch before the batch is committed."""
+
     def _split(self, merged: DataFrame, state: State, hit: list[str], out: dict[str, dict], count: int) -> DataFrame:
         """Names in column r for the rows of the ranges hit, those too large cut anew; `out` gets the new ranges, empty so far."""
         large = [n for n in hit if state.ranges[n]["n"] + count > 2 * self.rows_each]
