@@ -144,3 +144,15 @@ def test_fragments():
     assert images.step(None, "LOP_MODIFY_COLUMNS", c0, c1, -1, c3, record, b"abc three__ y!")[1:] == (b"abc one__ xx!", b"abc three__ y!", "reverse_page")
     assert images.step(b"zz", "LOP_MODIFY_COLUMNS", c0, c1, -1, c3, record) == (b"zz", None, None, "columns_not_decoded")
     assert images.fragments(c0, c1, b"NONE", record) is None and images.fragments(b"", b"", c3, record) is None
+
+
+def test_columns_lost_in_decoding():
+    """Bytes that give no value are told by the name of their column; null, zero and dropped columns are not lost."""
+    import pyarrow as pa
+
+    spec = table((rows.INT,), (rows.SMALLINT,), (rows.NVARCHAR, 30), (rows.FLOAT,))
+    images = [pack([_short(7), _short(70000), b"\x0e\x01", b""]), pack([_short(7), _short(7), b"a", None]), None, b"\x30"]
+    err, vals, lost = compressed.decode_told(spec, pa.array(images, pa.binary()))
+    assert err == [None, None, "truncated", "truncated"] and lost == [["c2", "c3"], [], [], []]
+    assert vals.to_pylist()[:2] == [["7", None, None, "0"], ["7", "7", "N'a'", None]]
+    assert compressed.decode_told(spec, pa.array([], pa.binary()))[2] == []

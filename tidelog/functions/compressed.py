@@ -134,19 +134,30 @@ def column_literals(c: R.ColumnSpec, kinds: list[int], pieces: list[bytes | None
     return values.of_bytes(c, raw)
 
 
-def decode_images(spec: R.TableSpec, column: pa.Array) -> tuple[list, pa.Array]:
-    """(error or None of each row, array<string> of literals); the layout is that of the physical columns, the result that of the columns."""
+def decode_told(spec: R.TableSpec, column: pa.Array) -> tuple[list, pa.Array, list[list[str]]]:
+    """(error or None of each row, array<string> of literals, names of the columns whose bytes gave no value and are NULL in the literals); the layout is
+    that of the physical columns, the result that of the columns."""
     physical = spec.physical or spec.columns
     rows = [split(image, len(physical)) for image in column.to_pylist()]
-    err, out = [r[0] for r in rows], []
+    err, out, lost = [r[0] for r in rows], [], [[] for _ in rows]
     where = {c.id: i for i, c in enumerate(physical) if not c.dropped}
     for c in spec.columns:
         i = where.get(c.id)
         if i is None:
             out.append(pa.nulls(len(rows), pa.string()))
-        else:
-            out.append(column_literals(c, [r[1][i] if r[0] is None else 0 for r in rows], [r[2][i] if r[0] is None else None for r in rows]))
-    return err, values.interleaved(out, np.array([e is not None for e in err], bool))
+            continue
+        pieces = [r[2][i] if r[0] is None else None for r in rows]
+        made = column_literals(c, [r[1][i] if r[0] is None else 0 for r in rows], pieces)
+        for k in np.flatnonzero(made.is_null().to_numpy(zero_copy_only=False)):
+            if pieces[k] is not None:
+                lost[k].append(c.name)
+        out.append(made)
+    return err, values.interleaved(out, np.array([e is not None for e in err], bool)), lost
+
+
+def decode_images(spec: R.TableSpec, column: pa.Array) -> tuple[list, pa.Array]:
+    """(error or None of each row, array<string> of literals), as `decode_told` has them."""
+    return decode_told(spec, column)[:2]
 
 
 def decode(df: DataFrame, spec: R.TableSpec, image: str, out: str) -> DataFrame:

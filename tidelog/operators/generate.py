@@ -24,15 +24,15 @@ from ..sources import catalog_history
 from ..sources.catalog import Catalog
 from . import deltas, images, resolve, transactions
 
-ROUTED = "struct<status:string,used:string,vals:array<string>>"
+ROUTED = "struct<status:string,used:string,vals:array<string>,lost:array<string>>"
 #: What an image that cannot be decoded ends in, by the error of the decoder.
 PLAIN_STATUS = {"off_row_lob": "OFF_ROW_LOB_NOT_SUPPORTED", "schema_mismatch": "SCHEMA_MISMATCH", "truncated": "DECODE_ERROR", "compressed_row": "compressed_row_parse_failed"}
 PACKED_STATUS = {"truncated": "compressed_row_parse_failed", "not_compressed": "compressed_row_parse_failed", "parse_failed": "compressed_row_parse_failed", "tail_parse_failed": "compressed_tail_parse_failed", "page_dictionary": "page_dictionary_required"}
 NO_METADATA = "schema_compression_metadata_missing"
 
 
-def decode_routed(spec: TableSpec, compression: str, column: pa.Array) -> tuple[list, list, pa.Array]:
-    """(status, compression that was used, literals) of one table's images under its compression.
+def decode_routed(spec: TableSpec, compression: str, column: pa.Array) -> tuple[list, list, pa.Array, list]:
+    """(status, compression that was used, literals, columns whose bytes gave no value) of one table's images under its compression.
 
     A row that the compressed form refuses and whose header lacks the mark of that form is read in the plain one: catalogs lag behind partitions.
     A row that the plain form finds to be compressed gets the status that the compressed one would give it, but never values."""
@@ -45,9 +45,9 @@ def decode_routed(spec: TableSpec, compression: str, column: pa.Array) -> tuple[
             why = compressed.decode_images(spec, column.take(pa.array(packed)))[0]
             for i, e in zip(packed, why, strict=True):
                 status[i] = PACKED_STATUS.get(e, "compressed_row_parse_failed")
-        return status, [compression] * n, vals
+        return status, [compression] * n, vals, [None] * n
     if compression in ("ROW", "PAGE"):
-        err, vals = compressed.decode_images(spec, column)
+        err, vals, lost = compressed.decode_told(spec, column)
         status, used = [PACKED_STATUS.get(e) for e in err], [compression] * n
         plain = [i for i, s in enumerate(status) if s == "compressed_row_parse_failed" and (raw := column[i].as_py()) and not raw[0] & 0x20]
         if plain:
@@ -56,8 +56,8 @@ def decode_routed(spec: TableSpec, compression: str, column: pa.Array) -> tuple[
             for i in good:
                 status[i], used[i] = None, "NONE"
             vals = pa.concat_arrays([vals, more]).take(pa.array([n + good[i] if i in good else i for i in range(n)]))
-        return status, used, vals
-    return [NO_METADATA] * n, [compression] * n, pa.nulls(n, pa.list_(pa.string()))
+        return status, used, vals, lost
+    return [NO_METADATA] * n, [compression] * n, pa.nulls(n, pa.list_(pa.string())), [None] * n
 
 
 def _by_table(catalog: Catalog, object_id: pa.Array, partition_id: pa.Array, *more: pa.Array):
@@ -76,23 +76,24 @@ def _light(catalog: Catalog) -> Catalog:
 
 
 def image_values(catalog: Catalog):
-    """Arrow function (object_id, partition_id, compression, image) -> struct<status, used, vals>; all null without an image."""
+    """Arrow function (object_id, partition_id, compression, image) -> struct<status, used, vals, lost>; all null without an image."""
     catalog = _light(catalog)
 
     def run(object_id, partition_id, compression, image):
-        order, status, used, vals = [], [], [], []
+        order, status, used, vals, lost = [], [], [], [], []
         for spec, (how, there), rows in _by_table(catalog, object_id, partition_id, compression, pc.is_valid(image)):
             order.append(rows)
             if spec is None or not there:
-                parts = [None] * len(rows), [None] * len(rows), pa.nulls(len(rows), pa.list_(pa.string()))
+                parts = [None] * len(rows), [None] * len(rows), pa.nulls(len(rows), pa.list_(pa.string())), [None] * len(rows)
             else:
                 parts = decode_routed(spec, how, image.take(rows))
             status += parts[0]
             used += parts[1]
             vals.append(parts[2].cast(pa.list_(pa.string())))
+            lost += parts[3]
         back = pa.array(np.argsort(np.concatenate([np.asarray(o) for o in order]))) if order else pa.array([], pa.int64())
         flat = pa.concat_arrays(vals) if vals else pa.array([], pa.list_(pa.string()))
-        return pa.StructArray.from_arrays([pa.array(status, pa.string()).take(back), pa.array(used, pa.string()).take(back), flat.take(back)], ["status", "used", "vals"])
+        return pa.StructArray.from_arrays([pa.array(status, pa.string()).take(back), pa.array(used, pa.string()).take(back), flat.take(back), pa.array(lost, pa.list_(pa.string())).take(back)], ["status", "used", "vals", "lost"])
 
     return R.arrow_function(run, ROUTED)
 
@@ -162,12 +163,13 @@ _BAD_KEY = """array_join(filter(transform(_t.names, (n, i) -> case when not _t.k
   when not (try_cast(_b.vals[i] as bigint) between coalesce(_t.low[i], -9223372036854775808) and coalesce(_t.high[i], 9223372036854775807)) and _t.low[i] is not null then concat(n, ' is out of range') end), x -> x is not null), ', ')"""
 
 
-def debug_json() -> Column:
-    """The raw fields of a record, as JSON; absent ones are left out."""
+def debug_json(lost: Column) -> Column:
+    """The raw fields of a record, and a warning that names the columns lost in decoding, as JSON; absent ones are left out."""
     text = lambda c: F.when(F.length(c) > 0, F.lower(F.hex(c)))
     return F.to_json(F.struct(
         "operation", "context", "page_id", "slot_id", "alloc_unit_id", "partition_id", "offset_in_row", "modify_size", F.col("fold_path").alias("images"),
         *[text(f"contents{k}").alias(f"rowlog{k}_hex") for k in range(5)], text("log_record").alias("raw_log_record_hex"),
+        F.when(F.size(lost) > 0, F.concat(F.size(lost).cast("string"), F.lit(" column(s) set to NULL, their bytes cannot be decoded: "), F.array_join(lost, ", "))).alias("warning"),
     ))
 
 
@@ -176,7 +178,8 @@ def statements(folded: DataFrame, catalog: Catalog) -> DataFrame:
     compression_decode_status to data records with before_image, after_image, fold_path, object_id and compression.
 
     An update is told by both images, else by its fragment at a known offset, else by a whole image and the one it was XORed from, else by the
-    fragment at the end of the raw record, else by a comment. Rows that cannot be decoded give comments, never statements."""
+    fragment at the end of the raw record, else by a comment. Rows that cannot be decoded give comments, never statements.
+    A compressed row of which some columns cannot be decoded is told with NULL for them, at medium confidence, and the debug text names them."""
     d = folded.join(resolve.small(table_rows(catalog)), "object_id")
     op = operation_of(F.col("operation"))
     insert, delete = F.col("operation") == S.INSERT, F.col("operation") == S.DELETE
@@ -227,12 +230,13 @@ def statements(folded: DataFrame, catalog: Catalog) -> DataFrame:
     reason = F.coalesce("_failed", F.when(bad_key, "compressed_key_decode_invalid"))
     partial = reason.isNotNull() & ~F.coalesce(reason.isin("OFF_ROW_LOB_NOT_SUPPORTED", "SCHEMA_MISMATCH", "DECODE_ERROR"), F.lit(False))
     status = F.when(partial, reason).when(packed & reason.isNull(), "ok")
+    lost = F.array_distinct(F.concat(*[F.coalesce(f"{c}.lost", F.array().cast("array<string>")) for c in ("_b", "_a")]))
     image = F.coalesce(F.when(F.col("_how") == "images", F.col("after_image")), F.col("contents0"))
     decoding = F.col("_how").isin("insert", "delete", "images")
     out = d.select(
         *folded.columns, op.alias("logical_operation"), F.col("_t.schema").alias("schema_name"), F.col("_t.name").alias("table_name"), forward.alias("sql_stmt"), inverse.alias("rollback_sql"), status.alias("status"), reason.alias("skip_reason"),
-        F.when(partial, "low").when(packed & reason.isNull(), "high").alias("confidence"), F.when(status.isNotNull() & decoding, F.coalesce(used, F.col("compression"))).alias("compression_type"),
-        F.when(status.isNotNull() & decoding, F.lower(F.hex(image))).alias("compressed_row_hex"), F.when(status.isNotNull(), debug_json()).alias("decompressed_debug_json"), F.when(status.isNotNull() & decoding, status).alias("compression_decode_status"),
+        F.when(partial, "low").when(packed & reason.isNull(), F.when(F.size(lost) > 0, "medium").otherwise("high")).alias("confidence"), F.when(status.isNotNull() & decoding, F.coalesce(used, F.col("compression"))).alias("compression_type"),
+        F.when(status.isNotNull() & decoding, F.lower(F.hex(image))).alias("compressed_row_hex"), F.when(status.isNotNull(), debug_json(lost)).alias("decompressed_debug_json"), F.when(status.isNotNull() & decoding, status).alias("compression_decode_status"),
     )
     return out
 

@@ -1,17 +1,22 @@
-"""Registered queries over the source by cursor, catalog versions, the event table in ranges, shared folding and the analyzer of many tables, each with SQL for comparison."""
+"""Registered queries over the source by cursor, catalog versions, the event table in ranges and what is kept beside it, pages by rank, shared folding and the
+analyzer of many tables, each with SQL for comparison."""
 
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from .functions import rows as R
 from .more_queries import _DATE, _LITERALS, _NAMES, _ORDER_VALUES, ORDERS, _read
 from .operators import analyzer, generate, images, shared_fold, transactions
+from .operators.indexed_store import IndexedStore
 from .operators.ranged_store import RangedStore
 from .plans import fixtures
-from .scan_queries import _LSN, _ORDERS_ID, _catalog, _record
+from .plans import log_queries as Q
+from .plans.ranked_pages import RankedPages
+from .scan_queries import _C_NAME, _CUSTOMER_ID, _LSN, _ORDERS_ID, CUSTOMER, _catalog, _customers, _record
 from .sources import catalog as cat
 from .sources import log_sources, log_table
 from .sources.catalog_history import Version
@@ -100,6 +105,80 @@ def upsert_ranged(spark, sf_dir):
     return table.read().select("db_name", "lsn", "id", F.coalesce("status", F.lit("-")).alias("status"))
 
 
+# ---- what is kept beside the event table -------------------------------------------------------------------------------------------------
+
+#: What upserts and retractions leave: every fifth event came again as an INSERT, every seventh is taken back, and so are some transactions of db1.
+_LEFT = f"""(SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'INSERT' ELSE operation END AS operation) FROM {_EV} WHERE id % 7 <> 0 AND NOT (db_name = 'db1' AND txn_id IN (SELECT txn_id FROM {_EV} WHERE id % 50 = 0) AND id % 5 <> 0))"""
+_COUNTS = ", ".join(f"CAST(sum(CASE WHEN operation = '{o}' THEN 1 ELSE 0 END) AS BIGINT) AS {a}" for o, a in (("INSERT", "inserts"), ("UPDATE", "updates"), ("DELETE", "deletes")))
+_SINCE, _UNTIL = datetime(2024, 1, 5, 3, 4, 5, 678000), datetime(2024, 2, 20, 1, 2, 3, 456000)
+_START, _STEP = int((_SINCE - datetime(1970, 1, 1)).total_seconds() * 1000), int((_UNTIL - _SINCE).total_seconds() * 1000) // 72
+
+
+def _indexed(spark, sf_dir) -> IndexedStore:
+    events = fixtures.log_events(spark, sf_dir)
+    table = IndexedStore(spark, new_folder(spark, "indexed"), max(2000, events.count() // 16), 200)
+    table.upsert(events, 0)
+    table.upsert(events.where("id % 5 = 0").withColumn("operation", F.lit("INSERT")), 1, events.where("id % 50 = 0 and db_name = 'db1'").select("db_name", "txn_id"))
+    table.upsert(events.where("id % 7 = 0").withColumn("is_deleted", F.lit(True)), 2)
+    return table
+
+
+@query(f"""SELECT bucket, {_COUNTS}, CAST(count(*) AS BIGINT) AS total FROM (SELECT CAST(floor((epoch_ms(event_time) - {_START}) / {_STEP}) AS BIGINT) AS bucket, operation FROM {_LEFT}
+WHERE event_time >= TIMESTAMP '2024-01-05 03:04:05' AND event_time <= TIMESTAMP '2024-02-20 01:02:03') WHERE bucket BETWEEN 0 AND 71 GROUP BY bucket""")
+def timeline_kept(spark, sf_dir):
+    """Activity over time from counts by minute; only the minutes that a border cuts are read as events."""
+    return _indexed(spark, sf_dir).timeline(_SINCE, _UNTIL)
+
+
+@query(f"""SELECT db_name, txn_id, min(event_time) AS event_time, max(commit_time) AS commit_time, min(lsn) AS first_lsn, max(lsn) AS last_lsn, count(*) AS events, {_COUNTS} FROM {_LEFT}
+WHERE txn_id IS NOT NULL AND txn_id <> '' GROUP BY db_name, txn_id ORDER BY max(coalesce(commit_time, event_time)) DESC NULLS LAST, max(lsn) DESC LIMIT 50 OFFSET 50""")
+def txn_groups_kept(spark, sf_dir):
+    """A page of transactions from what is kept of each in the ranges that hold its events."""
+    return _indexed(spark, sf_dir).transaction_groups(page=2, limit=50)
+
+
+@query(f"SELECT operation, count(*) AS n, CAST(sum(CASE WHEN trim(rollback_sql) <> '' AND NOT starts_with(trim(rollback_sql), '--') THEN 1 ELSE 0 END) AS BIGINT) AS rollbacks FROM {_LEFT} GROUP BY operation")
+def stats_kept(spark, sf_dir):
+    """Counts by operation, and rollbacks that can run, after events were replaced and taken back."""
+    return _indexed(spark, sf_dir).counts("operation")
+
+
+@query(f"SELECT id, lsn, operation, sql_stmt FROM {_LEFT} WHERE sql_stmt LIKE '%purchase%77%' AND db_name = 'db2'")
+def search_indexed(spark, sf_dir):
+    """A search term by an index of three-character pieces, then LIKE."""
+    return _indexed(spark, sf_dir).matching(Q.LogFilter(search="purchase%77", db="db2")).select("id", "lsn", "operation", "sql_stmt")
+
+
+_PAGE = "id, lsn, txn_id, operation, db_name, schema_name, table_name, sql_stmt, rollback_sql, event_time, commit_time, status"
+
+
+@query(f"(SELECT {_PAGE} FROM {_EV} ORDER BY event_time DESC NULLS LAST, id DESC LIMIT 200 OFFSET 800) UNION ALL (SELECT {_PAGE} FROM {_EV} WHERE operation = 'DELETE' ORDER BY event_time DESC NULLS LAST, id DESC LIMIT 30 OFFSET 120)")
+def logs_page_ranked(spark, sf_dir):
+    """A page of all events and one of those that a filter keeps, read from the partitions of the order that hold them."""
+    events = fixtures.log_events(spark, sf_dir)
+    pages = RankedPages.build(events, new_folder(spark, "order"), rows_each=max(500, events.count() // 16))
+    return pages.page(page=5).unionByName(pages.page(Q.LogFilter(operation="DELETE"), page=5, limit=30))
+
+
+# ---- columns lost in decoding ------------------------------------------------------------------------------------------------------------
+
+_CENTS = "CAST(round(c_acctbal * 10000) AS BIGINT)"
+_FITS = f"{_CENTS} BETWEEN -32768 AND 32767"
+
+
+@query(f"""SELECT CAST(c_custkey AS BIGINT) AS k, 'ok' AS status, CASE WHEN {_FITS} THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN NOT ({_FITS}) THEN '1 column(s) set to NULL, their bytes cannot be decoded: c_acctbal' END AS warning,
+ 'INSERT INTO [sales].[customer] ([c_custkey], [c_name], [c_nationkey], [c_acctbal], [c_mktsegment], [c_odd]) VALUES (' || c_custkey || ', ''' || {_C_NAME} || ''', ' || c_nationkey || ', ' || CASE WHEN {_FITS} THEN CAST({_CENTS} AS VARCHAR) ELSE 'NULL' END || ', '
+ || CASE WHEN c_custkey % 5 > 0 THEN 'N''' || c_mktsegment || '''' ELSE 'NULL' END || ', ' || (c_custkey % 2) || ');' AS sql_stmt FROM customer""")
+def scan_lost_columns(spark, sf_dir):
+    """Compressed rows whose catalog has a narrower type for one column: told with NULL where its bytes are too many, with a warning."""
+    narrow = lambda columns: tuple(replace(c, type=R.SMALLINT) if c.name == "c_acctbal" else c for c in columns)
+    spec = replace(CUSTOMER, columns=narrow(CUSTOMER.columns), physical=narrow(CUSTOMER.physical), base_index="PK_customer", places={})
+    customers, k = _customers(spark, sf_dir), "c_custkey"
+    parts = [_record(customers, k, 1, "LOP_BEGIN_XACT", "c"), _record(customers, k, 2, "LOP_INSERT_ROWS", "c", name="sales.customer.PK_customer", c0=F.col("image")), _record(customers, k, 3, "LOP_COMMIT_XACT", "c")]
+    made = generate.scan(parts[0].unionByName(parts[1]).unionByName(parts[2]), cat.of_specs(spark, {_CUSTOMER_ID: spec}))
+    return made.select(F.conv(F.substring("lsn", 10, 8), 16, 10).cast("long").alias("k"), "status", "confidence", F.get_json_object("decompressed_debug_json", "$.warning").alias("warning"), "sql_stmt")
+
+
 # ---- folding and analysis ----------------------------------------------------------------------------------------------------------------
 
 
