@@ -215,3 +215,27 @@ def test_old_open_transactions_are_dropped(spark):
 
 def test_orders_spec_reads_as_declared():
     assert [type_name(c) for c in ORDERS.columns] == ["bigint", "bigint", "varchar(1)", "decimal(15,2)", "datetime2(6)", "varchar(15)"]
+
+
+def test_unknown_storage_asks_for_a_new_version(spark):
+    """A table that the catalog lacks gets a version from its first record on; another index, or system tables that are the same, do not."""
+    from tidelog.functions.types import BIGINT, TableSpec
+    from tidelog.sources.catalog_history import Version, renewed
+
+    frames = catalog_frames(spark, SF)
+    frames |= {"tables": frames["tables"].withColumn("modify_date", F.lit("2024-01-01").cast("timestamp"))}
+    name = frames["tables"].where("not is_ms_shipped").orderBy("object_id").first().table_name
+    old = catalog.of_specs(spark, {1: TableSpec("dbo", "known", (ColumnSpec(1, "id", BIGINT),), (1,), base_index="PK")})
+    rows = [("db0", "3", "dbo.known.PK", "LOP_INSERT_ROWS"), ("db0", "4", "dbo.known.IX", "LOP_INSERT_ROWS"), ("db0", "6", f"dbo.{name}", "LOP_INSERT_ROWS"), ("db0", "5", f"DBO.{name}", "LOP_DELETE_ROWS"), ("db0", "2", f"dbo.{name}", "LOP_BEGIN_XACT")]
+    records = spark.createDataFrame(rows, "db_name string, lsn string, alloc_unit_name string, operation string").withColumns({"alloc_unit_id": F.lit(0).cast("long"), "partition_id": F.lit(0).cast("long")})
+    history = [Version("db0", "", old)]
+    same, changed = renewed(records.where("lsn < '5'"), history, lambda db: frames)
+    assert same == history and not changed
+    found, changed = renewed(records, history, lambda db: frames)
+    assert changed and [(v.db_name, v.lsn) for v in found] == [("db0", ""), ("db0", "5")]
+    # The records are known now; the one of a table that no system table names asks again, for nothing new.
+    more = records.unionByName(records.limit(1).withColumns({"lsn": F.lit("7"), "alloc_unit_name": F.lit("dbo.nowhere")}))
+    assert renewed(records, found, lambda db: frames) == (found, False) and renewed(more, found, lambda db: frames) == (found, False)
+    # A database without any version.
+    assert [(v.db_name, v.lsn) for v in renewed(records.withColumn("db_name", F.lit("db9")), found, lambda db: frames)[0]] == [("db0", ""), ("db0", "5"), ("db9", "3")]
+    assert renewed(records.limit(0), [], lambda db: frames) == ([], False)

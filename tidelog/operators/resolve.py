@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import is_data_op, is_other_index
+
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows."""
@@ -35,6 +37,22 @@ def resolve_storage(records: DataFrame, tables: DataFrame, partitions: DataFrame
     return r.withColumn("object_id", F.col("_known")).drop("_pieces", "_name", "_unit", "_part", "_named", "_base", "_object", "_known")
 
 
+def unknown_storage(records: DataFrame, catalog) -> DataFrame:
+    """What data records of no known table name: db_name, alloc_unit_name, alloc_unit_id, partition_id, records, first_lsn (and the catalog's further keys).
+
+    A catalog that lacks them may be out of date. Other indexes of known tables are left out, since none of their rows is told anyway."""
+    by, tables = catalog.by, catalog.tables
+    data = records.where(is_data_op(F.col("operation"))).select("db_name", "lsn", "alloc_unit_name", "alloc_unit_id", "partition_id", *by)
+    keys = ("db_name", "alloc_unit_name", "alloc_unit_id", "partition_id", *by)
+    # A log names few allocation units; they are looked up, not its records.
+    units = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.min("lsn").alias("first_lsn"))
+    lost = resolve_storage(units, tables, catalog.partitions.select("object_id", "alloc_unit_id", "partition_id", *by), by).where("object_id is null").drop("object_id", "match")
+    names = tables.groupBy(*by, F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("_name")).agg(F.min_by("base_index", "object_id").alias("_base"))
+    piece = F.split("alloc_unit_name", r"\.", 3)
+    lost = lost.withColumn("_name", F.lower(F.concat_ws(".", piece[0], F.get(piece, F.lit(1))))).join(small(names), [*by, "_name"], "left")
+    return lost.where(~is_other_index(F.col("alloc_unit_name"), F.coalesce("_base", F.lit("")))).select(*keys, "records", "first_lsn")
+
+
 def compression_name(code: Column) -> Column:
     return F.when(code == 0, "NONE").when(code == 1, "ROW").when(code == 2, "PAGE").when(code.isin(3, 4), "COLUMNSTORE").otherwise("UNKNOWN")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import rows as R
 from .more_queries import _DATE, _LITERALS, _NAMES, _ORDER_VALUES, ORDERS, _read
-from .operators import analyzer, generate, images, shared_fold, transactions
+from .operators import analyzer, generate, images, resolve, shared_fold, transactions
 from .operators.indexed_store import IndexedStore
 from .operators.ranged_store import RangedStore
 from .plans import fixtures
@@ -219,6 +219,31 @@ def analyze_many(spark, sf_dir):
     made = analyzer.analyze_many(folded, _catalog(spark), pages)
     return made.select(F.conv(F.substring("lsn", 10, 8), 16, 10).cast("long").alias("k"), "status", F.col("image_source").alias("source"), "redo")
 
+@query(f"""SELECT CAST(o_orderkey AS BIGINT) AS k, CASE WHEN o_orderkey % 3 = 0 THEN '-- no decoded column of [dbo].[orders] changed' ELSE 'UPDATE [dbo].[orders] SET [o_custkey] = ' || (o_custkey + 1) || ' WHERE [o_orderkey] = ' || o_orderkey || ';' END AS forward,
+ CASE WHEN o_orderkey % 3 = 0 THEN '-- no decoded column of [dbo].[orders] changed' ELSE 'UPDATE [dbo].[orders] SET [o_custkey] = ' || o_custkey || ' WHERE [o_orderkey] = ' || o_orderkey || ';' END AS inverse FROM orders""")
+def scan_xor_images(spark, sf_dir):
+    """Updates that hold the whole row after them, and what it was XORed by; every third lacks the latter."""
+    orders, k = _read(spark, sf_dir, "orders", *_ORDER_VALUES), "o_orderkey"
+    image = F.expr(R.encode_sql(ORDERS, _ORDER_VALUES | {"o_custkey": "o_custkey + 1"}))
+    mask = F.when(F.col(k) % 3 > 0, F.concat(F.lit(bytes(12)), F.expr(R._bytes("o_custkey ^ (o_custkey + 1)", 8))))
+    records = _record(orders, k, 2, "LOP_MODIFY_ROW", "x", unit=7001, c0=image, c1=mask)
+    made = generate.statements(images.fold(generate.resolved(records, _catalog(spark))), _catalog(spark))
+    return made.select(F.conv(F.substring("lsn", 10, 8), 16, 10).cast("long").alias("k"), F.col("sql_stmt").alias("forward"), F.col("rollback_sql").alias("inverse"))
+
+
+@query("""SELECT CASE o_orderkey % 5 WHEN 3 THEN 'dbo.new_' || (o_custkey % 3) ELSE '' END AS alloc_unit_name, CAST(CASE o_orderkey % 5 WHEN 4 THEN 9000 + o_custkey % 2 ELSE 0 END AS BIGINT) AS alloc_unit_id, count(*) AS records,
+ min(printf('%08x:%08x:%04x', CAST(1 AS BIGINT), CAST(o_orderkey AS BIGINT), CAST(2 AS BIGINT))) AS first_lsn FROM orders WHERE o_orderkey % 5 > 2 GROUP BY 1, 2""")
+def unknown_storage(spark, sf_dir):
+    """What records of no known table name; other indexes of known tables are none of it."""
+    orders, k = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey"
+    kind = F.col(k) % 5
+    records = _record(orders.withColumn("kind", kind), k, 2, "LOP_INSERT_ROWS", "u").drop("alloc_unit_name", "alloc_unit_id")
+    names = F.when(kind == 1, "SALES.customer.pk_customer").when(kind == 2, "sales.customer.IX_name").when(kind == 3, F.concat(F.lit("dbo.new_"), F.col("o_custkey") % 3)).otherwise("")
+    units = F.when(kind == 0, 7001).when(kind == 4, 9000 + F.col("o_custkey") % 2).otherwise(0).cast("long")
+    known = orders.select(F.format_string("%08x:%08x:%04x", F.lit(1).cast("long"), F.col(k).cast("long"), F.lit(2).cast("long")).alias("lsn"), names.alias("alloc_unit_name"), units.alias("alloc_unit_id"))
+    found = resolve.unknown_storage(records.join(known, "lsn"), _catalog(spark))
+    return found.select("alloc_unit_name", "alloc_unit_id", "records", "first_lsn")
+
 
 def queries() -> dict:
     return _queries

@@ -4,12 +4,13 @@ A version is (db_name, lsn from which on it holds, catalog). `merged` makes one
 versions that follow each other share one, and the frames of resolution carry the version as a further key. So the log is scanned once, whatever
 the number of versions and databases, and joins stay equi-joins.
 
-`refreshed` compares fingerprints of the system tables and adds a version where they differ. Stored columns of a partition that change between versions are those of its
+`refreshed` compares fingerprints of the system tables and adds a version where they differ; `renewed` asks for that where records are of no known table. Stored columns of a partition that change between versions are those of its
 table's layout."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rows as R
+from ..functions.predicates import is_data_op
+from ..operators import resolve
 from . import catalog as cat
 from . import log_sources as src
 
@@ -77,13 +80,31 @@ def merged(spark: SparkSession, history: list[Version]) -> cat.Catalog:
 
 def refreshed(spark: SparkSession, history: list[Version], db: str, lsn: str, frames: dict[str, DataFrame]) -> tuple[list[Version], bool]:
     """(history, whether it changed): with a version of the system tables' frames from the lsn on, if they are not what the database's last version was made of."""
-    now = tuple(src.fingerprint(frames["tables"], frames["columns"], frames["partitions"]).first())
+    partitions = frames["partitions"]
+    partitions = partitions if "code" in partitions.columns else partitions.withColumnRenamed("data_compression", "code")
+    now = tuple(src.fingerprint(frames["tables"], frames["columns"], partitions).first())
     own = [v for v in _sorted(history) if v.db_name == db]
     if own and own[-1].fingerprint == now:
         return history, False
     return [*history, Version(db, lsn, cat.extract(spark, frames), now)], True
 
 
+def renewed(records: DataFrame, history: list[Version], frames_of: Callable[[str], dict[str, DataFrame]]) -> tuple[list[Version], bool]:
+    """(history, whether it changed): where records are of no known table, `refreshed` by the database's system tables (frames_of its name), from the first of
+    these records on. One row for each database comes to the driver."""
+    spark = records.sparkSession
+    known = {v.db_name for v in history}
+    bare = records.where(is_data_op(F.col("operation")) & ~F.col("db_name").isin(*known)) if known else records.where(is_data_op(F.col("operation")))
+    lost = bare.select("db_name", F.col("lsn").alias("first_lsn"))
+    if history:
+        lost = lost.unionByName(resolve.unknown_storage(with_version(records, history).where(F.col("db_name").isin(*known)), merged(spark, history)).select("db_name", "first_lsn"))
+    changed = False
+    for r in lost.where("db_name is not null").groupBy("db_name").agg(F.min("first_lsn").alias("lsn")).orderBy("db_name").collect():
+        history, new = refreshed(spark, history, r.db_name, r.lsn, frames_of(r.db_name))
+        changed |= new
+    return history, changed
+
+
 def forgotten(history: list[Version], db: str, lsn: str) -> list[Version]:
     """Without versions that no record past the lsn is read by."""
     own = [v for v in _sorted(history) if v.db_name == db and v.lsn <= lsn]
