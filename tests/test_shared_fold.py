@@ -84,3 +84,17 @@ def test_one_slot_fills_all_partitions(spark):
     assert out.where("fold_path = 'splice'").count() == n - 1
     last = out.orderBy(F.desc("lsn")).first()
     assert bytes(last.after_image) == b"xx%08xyy" % (n - 1)
+
+
+def test_one_slot_query_numbers_over_sampled_ranges(spark, tmp_path):
+    """Range partitions are cut by a sample that differs from run to run; the numbers are of one cut."""
+    from tidelog import source_queries
+
+    n, was = 30_000, spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.range(n).select((F.col("id") * 2 + 1).alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = source_queries.fold_one_slot(spark, str(tmp_path))
+        assert out.where("path = 'splice' and k = 2 * nth - 1").count() == n
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)

@@ -20,7 +20,7 @@ from .scan_queries import _C_NAME, _CUSTOMER_ID, _LSN, _ORDERS_ID, CUSTOMER, _ca
 from .sources import catalog as cat
 from .sources import log_sources, log_table
 from .sources.catalog_history import Version
-from .storage import new_folder
+from .storage import durable, new_folder
 
 _queries: dict = {}
 _oracles: dict = {}
@@ -186,8 +186,8 @@ def scan_lost_columns(spark, sf_dir):
 def fold_one_slot(spark, sf_dir):
     """A slot with a change for each order, shared by all partitions: the number in the row counts them."""
     orders = _read(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").cast("long").alias("k"))
-    # Numbers by range partitions, from the rows before each.
-    ranged = orders.repartitionByRange("k").sortWithinPartitions("k").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % F.lit(1 << 33))
+    # Numbers by range partitions, from the rows before each. The ranges are cut by a sample, another one in each run, so they are kept: counts and places are of the same ranges.
+    ranged = durable(orders.repartitionByRange("k").sortWithinPartitions("k").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % F.lit(1 << 33)))
     before = {r.part: r.n for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts = spark.createDataFrame([(p, sum(n for q, n in before.items() if q < p)) for p in before] or [(0, 0)], "part int, start long")
     numbered = ranged.join(F.broadcast(starts), "part").select("k", (F.col("at") + F.col("start") + 1).alias("nth"))
