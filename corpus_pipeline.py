@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of documents whose 5-word shingles are similar by 0.8 or more.
 
-    SimHash at radius 3 finds few pairs of that similarity (see near_copies), so pairs are proposed by MinHash bands and verified."""
+    Pairs are proposed by SimHash (covering masks of radius 3), those too far apart for it by MinHash bands, and verified (see near_copies)."""
     return near_copies.one_of_each(docs)
 
 

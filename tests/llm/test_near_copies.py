@@ -44,3 +44,27 @@ def test_near_copies_are_found_as_by_brute_force(spark):
     frame = spark.createDataFrame([*rows, (None, rows[0][1]), (None, rows[0][1]), (0, rows[0][1])], "doc_id long, text string").repartition(5)
     found = [r.doc_id for r in cp.near_dedup(spark, frame, SF).collect()]
     assert sorted(i for i in found if i is not None) == sorted(_kept(rows)) and found.count(None) == 2
+
+
+def test_fingerprints_propose_pairs(spark):
+    """Without any bands the stage finds the similar pairs whose fingerprints differ in at most three bits, through the covering masks."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import near_copies as nc
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(80):
+        text = rng.choices(words, k=600)
+        texts += [text, [*text[:300], "changed", *text[301:]]]
+    data = [" ".join(t).encode() for t in texts]
+    s, edges = nc.shingle_sets(b"".join(data), np.concatenate([[0], np.cumsum([len(d) for d in data])]), 5)
+    prints = nc.fingerprints(s, edges)
+    near = [int(prints[k] ^ prints[k + 1]).bit_count() <= 3 for k in range(0, len(texts), 2)]
+    assert 20 < sum(near)
+    frame = spark.createDataFrame([(k, d.decode()) for k, d in enumerate(data)], "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in nc.one_of_each(frame, bands=0).select(F.col("doc_id")).collect()}
+    # Pairs a little farther apart may share a mask too.
+    assert set(range(0, len(texts), 2)) <= kept and not any(near[k // 2] for k in kept if k % 2)

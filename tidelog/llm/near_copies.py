@@ -1,10 +1,11 @@
 """Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose pairs, each pair is verified on its whole shingle sets.
 
 A document's set holds the hashes of each run of `width` words, A-Z lower-cased (a shorter text is one shingle; texts without words are
-equal). SimHash cannot propose pairs of similarity 0.8: they differ in some 10 of 64 bits, and a covering search of radius r needs
-2^(r+1) - 1 rows for each fingerprint. `bands` keys of `rows` minima each meet with probability 1 - (1 - s^rows)^bands: 0.9996 at s = 0.8.
+equal). Pairs are proposed by SimHash: the fingerprint of a set has 64 bits, and all sets whose fingerprints differ in at most `radius` bits share a key of the
+covering masks of `simhash`. That finds the closer pairs only: those of similarity 0.8 differ in some 10 bits, and a covering search of radius r needs
+2^(r+1) - 1 keys. For the rest there are `bands` keys of `rows` minima each, which meet with probability 1 - (1 - s^rows)^bands: 0.9996 at s = 0.8.
 
-Equal sets are one node, named by a 64-bit digest, so copies cost nothing further. The nodes that share a band's key with another one are a
+Equal sets are one node, named by a 64-bit digest, so copies cost nothing further. The nodes that share a key with another one are a
 bucket; each gets its set once (six bytes a shingle), and all pairs of the bucket are verified but for those whose sizes alone rule out the
 similarity (an exact bound) or that other links have joined. Only links that join components leave. A bucket too large for a task
 (`most_nodes`, `most_bytes`) is cut into blocks, and each pair of blocks is a task; no candidate pair is left out. Rows grow in proportion to
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .shared import checkpoint, written
-from .simhash import components
+from .simhash import BITS, components, masks
 
 
 def shingle_sets(data, offsets, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +66,31 @@ def band_keys(s: np.ndarray, edges: np.ndarray, bands: int, rows: int) -> np.nda
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node, size of the set, and the band keys of each document; no shuffle."""
+def fingerprints(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: a bit is 1 if it is set in over half of the set's hashes."""
+    x, n = tx.mix(s ^ np.uint64(0x9E3779B97F4A7C15)), np.diff(edges)
+    out = np.zeros(len(n), np.uint64)
+    for b in range(BITS):
+        ones = np.add.reduceat((x >> np.uint64(b) & np.uint64(1)).astype(np.int64), edges[:-1])
+        out |= (2 * ones > n).astype(np.uint64) << np.uint64(b)
+    return out
+
+
+def covering_keys(fps: np.ndarray, radius: int) -> np.ndarray:
+    """(document, mask): a hash of the bits of the fingerprint in each covering mask."""
+    out = np.zeros((len(fps), (2 << radius) - 1), np.uint64)
+    for k, m in enumerate(masks(radius)):
+        out[:, k] = tx.mix((fps & np.uint64(m)) ^ tx.mix(np.full(1, k + 1, np.uint64) << np.uint64(32)))
+    return out.view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int, bands: int, rows: int, radius: int = 3) -> DataFrame:
+    """doc_id, node, size of the set, and the keys of each document, of its fingerprint and of bands; no shuffle."""
 
     def per_slice(ids, data, offsets):
         s, edges = shingle_sets(data, offsets, width)
-        return [tx.plain_ids(ids), digests(s, edges), np.diff(edges), list(band_keys(s, edges, bands, rows))]
+        keys = np.concatenate([covering_keys(fingerprints(s, edges), radius), band_keys(s, edges, bands, rows)], axis=1)
+        return [tx.plain_ids(ids), digests(s, edges), np.diff(edges), list(keys)]
 
     return tx.map_documents(docs, per_slice, "doc_id bigint, node bigint, size bigint, keys array<bigint>")
 
