@@ -239,3 +239,15 @@ def test_unknown_storage_asks_for_a_new_version(spark):
     # A database without any version.
     assert [(v.db_name, v.lsn) for v in renewed(records.withColumn("db_name", F.lit("db9")), found, lambda db: frames)[0]] == [("db0", ""), ("db0", "5"), ("db9", "3")]
     assert renewed(records.limit(0), [], lambda db: frames) == ([], False)
+
+
+def test_tasks_of_a_scan_grow_in_number(spark, monkeypatch):
+    """Twice the records give twice the tasks that sort them, not larger ones."""
+    from tidelog import scan_queries
+    from tidelog.operators import generate, images
+
+    monkeypatch.setattr(images, "ROWS_EACH", 500)
+    records = scan_queries._records(spark, "/root/testdata/sf0.001")
+    made = generate.scan(records, scan_queries._catalog(spark))
+    n = -(-records.count() // 500)
+    assert n > 10 and made.rdd.getNumPartitions() == n

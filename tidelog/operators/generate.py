@@ -192,14 +192,14 @@ def statements(folded: DataFrame, catalog: Catalog) -> DataFrame:
     d = d.withColumn("_after", F.when(insert | legacy, F.col("contents0")).when(both, F.col("after_image")))
     read = image_values(catalog)
     args = (F.col("object_id"), F.col("partition_id"), F.col("_compression"))
-    d = d.withColumn("_b", read(*args, F.col("_before"))).withColumn("_a", read(*args, F.col("_after")))
+    # Fragments are read in the same pass as images, so that one Python worker serves both; those of whole images are not looked at.
+    piece, raw = fragment_values(catalog), deltas.fragment_offset("log_record", "contents0", "contents1")
+    d = d.withColumn("_at", F.when(placed, F.col("offset_in_row")).when(legacy, raw).cast("long"))
+    fragment = lambda was, now: piece(F.col("object_id"), F.when(placed, F.col(was)).when(legacy & F.col("_at").isNotNull(), F.col(now)), F.col("_at"))
+    d = d.withColumns({"_b": read(*args, F.col("_before")), "_a": read(*args, F.col("_after")), "_old": fragment("contents0", "contents1"), "_new": fragment("contents1", "contents0")})
     # A whole image of which every value is null is no image but a fragment.
     blank = (F.col("_how") == "legacy") & F.col("_a.status").isNull() & ~F.exists("_a.vals", lambda v: v.isNotNull())
     d = d.withColumn("_how", F.when(blank, "raw").otherwise(F.col("_how")))
-    d = d.withColumn("_at", F.when(placed, F.col("offset_in_row")).when(F.col("_how") == "raw", deltas.fragment_offset("log_record", "contents0", "contents1")).cast("long"))
-    piece = fragment_values(catalog)
-    d = d.withColumn("_old", piece(F.col("object_id"), F.when(placed, F.col("contents0")).when(F.col("_how") == "raw", F.col("contents1")), F.col("_at")))
-    d = d.withColumn("_new", piece(F.col("object_id"), F.when(placed, F.col("contents1")).when(F.col("_how") == "raw", F.col("contents0")), F.col("_at")))
     # A before image that fails only for its bytes counts as equal to the one after.
     d = d.withColumn("_b", F.when((F.col("_how") == "legacy") & (F.col("_b.status") == "DECODE_ERROR"), F.col("_a")).otherwise(F.col("_b")))
     failed = F.when(F.col("_how").isin("insert", "delete", "images", "legacy"), F.coalesce("_b.status", "_a.status"))
@@ -275,13 +275,15 @@ def scan(records: DataFrame, catalog: Catalog, pages: DataFrame | None = None, s
     Records have the columns of schemas.LOG_RECORDS, seen_at (time of a begin or an end) and cleanup. Row images follow every record that is
     not excluded; events are those of committed transactions (committed=False: of all that are not excluded) that began since then.
     pages: current row images (db_name, page_id, slot_id, image) for changes of several places without a known image.
+    The records are counted first: a task sorts some images.ROWS_EACH of them, however many there are.
     watch: two observations that get the counters of the pass itself, of records and of events, once the events are written (see `counters`)."""
-    marked = transactions.with_epochs(records)
+    parts = images.parts_for(records.count(), records)
+    marked = transactions.with_epochs(records, parts=parts)
     if watch:
         marked = marked.observe(watch[0], *transactions.counters())
     data = marked.where(is_data_op(F.col("operation")) & is_base_row(F.col("context")) & (F.col("excluded_from").isNull() | (F.col("lsn") < F.col("excluded_from"))))
     known = resolved(data, catalog).where(F.col("object_id").isNotNull())
-    folded = images.fold(images.with_page_images(known, pages) if pages is not None else known)
+    folded = images.fold(images.with_page_images(known, pages) if pages is not None else known, parts)
     wanted = F.col("excluded_from").isNull() & ~F.col("undone")
     if committed:
         wanted &= F.coalesce(F.col("kind") == S.COMMIT, F.lit(False))

@@ -152,12 +152,21 @@ def _changes(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def fold(records: DataFrame) -> DataFrame:
+#: Rows of a task that sorts whole records: they set its memory, whatever the input.
+ROWS_EACH = 100_000
+
+
+def parts_for(rows: int, records: DataFrame) -> int:
+    """Partitions for so many rows: a task for each ROWS_EACH, and one for each core at least."""
+    return max(records.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_EACH))
+
+
+def fold(records: DataFrame, parts: int | None = None) -> DataFrame:
     """Records with page and slot, with before and after images. Needs KEY, lsn, operation, contents0, contents1, offset_in_row; contents3 and log_record serve
     changes of several places, page_image (the row's current image, see `with_page_images`) those of rows without a known image.
 
     One shuffle by slot and a sort within partitions; the walk keeps the image of the slot at hand, across batches. A record without a page
-    or slot has no image but its own, so such records need not meet and are dealt by lsn."""
+    or slot has no image but its own, so such records need not meet and are dealt by lsn. parts: partitions of that shuffle (else the session's number)."""
     names = records.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields) + ", " + ADDED
 
@@ -180,7 +189,8 @@ def fold(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(paths, pa.string())], [*names, "before_image", "after_image", "fold_path"])
 
     loose = F.col("page_id").isNull() | F.col("slot_id").isNull()
-    return records.repartition(*KEY, F.when(loose, F.xxhash64("lsn"))).sortWithinPartitions(*KEY, "lsn").mapInArrow(run, schema)
+    keys = (*KEY, F.when(loose, F.xxhash64("lsn")))
+    return (records.repartition(parts, *keys) if parts else records.repartition(*keys)).sortWithinPartitions(*KEY, "lsn").mapInArrow(run, schema)
 
 
 #: Paths after which a slot's image is the record's after image (none after a deletion).

@@ -23,20 +23,22 @@ def first_seen(records: DataFrame, rank: str = "source_rank") -> DataFrame:
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def with_epochs(records: DataFrame, lsn_prefix: int = 14) -> DataFrame:
+def with_epochs(records: DataFrame, lsn_prefix: int = 14, parts: int | None = None) -> DataFrame:
     """Adds epoch, kind (COMMIT, ABORT or null), begin_at, end_at, excluded_from (lsn) and undone (a later epoch of the id is excluded).
 
     Needs columns lsn, operation, transaction_name, seen_at (timestamp of a begin or an end) and cleanup (boolean).
 
     A transaction may hold a third of the log, so records never meet by id: they are shuffled once, by id and stretch of the log (records that
     share `lsn_prefix` characters of the lsn). Begins, ends and clean-ups alone tell what an epoch is like; each stretch gets
-    the epochs of its ids that reach into it, so what goes by id is a narrow row for each stretch, or each begin and end."""
+    the epochs of its ids that reach into it, so what goes by id is a narrow row for each stretch, or each begin and end.
+    parts: partitions of these shuffles (else the session's number)."""
     ended, begun = F.col("operation").isin(S.COMMIT, S.ABORT), F.col("operation") == S.BEGIN
     excludes = (begun & is_internal_transaction(F.col("transaction_name"))) | F.col("cleanup")
     # One text for both parts of the id, null or not: quicker to sort than a struct, and equal where both have a null.
     part = records.withColumn("_id", F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in reversed(KEY)])).withColumn("_stretch", F.substring("lsn", 1, lsn_prefix))
     so_far = Window.partitionBy("_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    control = part.where(ended | begun | F.col("cleanup")).withColumn("epoch", F.coalesce(F.sum(ended.cast("long")).over(so_far), F.lit(0)))
+    by_id = lambda df: df.repartition(parts, "_id") if parts else df
+    control = by_id(part.where(ended | begun | F.col("cleanup"))).withColumn("epoch", F.coalesce(F.sum(ended.cast("long")).over(so_far), F.lit(0)))
     epochs = control.groupBy("_id", "epoch").agg(
         F.max(F.when(ended, F.col("operation"))).alias("kind"),
         F.max_by(F.when(begun, F.col("seen_at")), F.when(begun, F.col("lsn"))).alias("begin_at"),
@@ -50,7 +52,7 @@ def with_epochs(records: DataFrame, lsn_prefix: int = 14) -> DataFrame:
 
     counts = part.groupBy("_id", "_stretch").agg(F.sum(ended.cast("long")).alias("_ends"))
     before = F.sum("_ends").over(Window.partitionBy("_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    counts = by_id(counts).withColumn("_before", F.coalesce(before, F.lit(0)))
     # A row for each stretch and epoch that reaches into it: as many as stretches and ends together.
     reached = counts.withColumn("epoch", F.explode(F.sequence("_before", F.col("_before") + F.col("_ends")))).join(epochs, ["_id", "epoch"], "left")
     told = F.struct("epoch", "kind", "begin_at", "end_at", "excluded_from", F.coalesce("undone", F.lit(False)).alias("undone"), "end_lsn")
@@ -58,6 +60,8 @@ def with_epochs(records: DataFrame, lsn_prefix: int = 14) -> DataFrame:
 
     # A record's epoch: as many ends of the stretch lie before it. So the payload is shuffled once and not sorted.
     inside = F.size(F.filter("_epochs", lambda e: e["end_lsn"] < F.col("lsn")))
+    if parts:
+        part, stretches = part.repartition(parts, "_id", "_stretch"), stretches.repartition(parts, "_id", "_stretch")
     own = part.join(stretches.hint("shuffle_hash"), ["_id", "_stretch"]).withColumn("_own", F.element_at("_epochs", inside + 1))
     every = [F.col("`" + c.replace("`", "``") + "`") for c in records.columns]
     return own.select(*every, *[F.col(f"_own.{c}").alias(c) for c in ("epoch", "kind", "begin_at", "end_at", "excluded_from", "undone")])
