@@ -37,8 +37,8 @@ KEPT = {
 OPERATIONS = (("INSERT", "inserts"), ("UPDATE", "updates"), ("DELETE", "deletes"))
 
 
-def _minute():
-    return F.floor(F.unix_millis(F.col("event_time").cast("timestamp")) / F.lit(MINUTE)).cast("long")
+def _minute(events: DataFrame):
+    return F.floor(Q.unix_micros(events) / F.lit(MINUTE * 1000)).cast("long")
 
 
 def grams_of(term: str) -> list[str]:
@@ -83,7 +83,7 @@ class IndexedStore(RangedStore):
     def _written(self, folder: str) -> None:
         events = self.spark.read.parquet(folder).withColumn("r", F.col("r").cast("string"))
         rolled = F.sum(is_executable(F.col("rollback_sql")).cast("long")).alias("rollbacks")
-        times = events.withColumn("minute", _minute()).withColumn("name", F.col("r")).groupBy("r", "name", *TIME_KEYS).agg(F.count(F.lit(1)).alias("n"), rolled)
+        times = events.withColumn("minute", _minute(events)).withColumn("name", F.col("r")).groupBy("r", "name", *TIME_KEYS).agg(F.count(F.lit(1)).alias("n"), rolled)
         counts = [F.sum((F.coalesce(F.col("operation") == op, F.lit(False))).cast("long")).alias(a) for op, a in OPERATIONS]
         own = events.groupBy("r", "db_name", "txn_id").agg(
             F.min("event_time").alias("event_time"), F.max("commit_time").alias("commit_time"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"),
@@ -153,7 +153,7 @@ class IndexedStore(RangedStore):
         names = [r.name for r in times.where(F.col("minute").isin(cut)).select("name").distinct().collect()]
         events = self._rows(state, names)
         if events is not None:
-            sums = sums.unionByName(Q.timeline(events.where(_minute().isin(cut)), since, until, buckets, where, dense=False))
+            sums = sums.unionByName(Q.timeline(events.where(_minute(events).isin(cut)), since, until, buckets, where, dense=False))
         return sums.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("inserts", "updates", "deletes", "total")])
 
     # ---- text ----

@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ..functions.predicates import is_executable
 from ..operators.resolve import small
@@ -144,15 +145,31 @@ def transaction_details(events: DataFrame, groups: DataFrame, where: LogFilter =
     )
 
 
+def unix_micros(events: DataFrame, name: str = "event_time") -> Column:
+    """Microseconds since 1970 of a time. One without a zone is read as UTC by its fields, whatever the session's zone is; a cast would shift it by that zone."""
+    c = F.col(name)
+    if not isinstance(events.schema[name].dataType, TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    seconds = F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return seconds * 1_000_000 + F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(1_000_000))  # a zone shifts whole seconds
+
+
+def _moment(events: DataFrame, t: datetime) -> Column:
+    """A naive time as a literal of the type of event_time, read as UTC."""
+    if isinstance(events.schema["event_time"].dataType, TimestampNTZType):
+        return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(t.replace(tzinfo=UTC))
+
+
 def timeline(events: DataFrame, since: datetime, until: datetime, buckets: int = 72, where: LogFilter = LogFilter(), dense: bool = True) -> DataFrame:
     """Counts by operation in equal steps from since on; dense: a row for every bucket. Milliseconds that the steps don't divide are left out.
 
-    An event counts if its time lies in the whole seconds of [since, until]; the steps start at since itself."""
+    An event counts if its time lies in the whole seconds of [since, until]; the steps start at since itself. Times without a zone are UTC."""
     buckets = buckets if 1 <= buckets <= 2000 else 72
     start = int((since - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
     step = max(int((until - since) / timedelta(milliseconds=1)) // buckets, 1)
-    kept = where.apply(events).where((F.col("event_time") >= F.lit(since.replace(microsecond=0))) & (F.col("event_time") <= F.lit(until.replace(microsecond=0))))
-    number = F.floor((F.unix_millis(F.col("event_time").cast("timestamp")) - F.lit(start)) / F.lit(step)).cast("long")
+    kept = where.apply(events).where((F.col("event_time") >= _moment(events, since.replace(microsecond=0))) & (F.col("event_time") <= _moment(events, until.replace(microsecond=0))))
+    number = F.floor((F.floor(unix_micros(events) / 1000) - F.lit(start)) / F.lit(step)).cast("long")
     count = lambda op: F.sum(F.when(F.col("operation") == op, 1).otherwise(0))
     sums = kept.withColumn("bucket", number).where(F.col("bucket").between(0, buckets - 1)).groupBy("bucket").agg(
         count("INSERT").alias("inserts"), count("UPDATE").alias("updates"), count("DELETE").alias("deletes"), F.count(F.lit(1)).alias("total")
