@@ -72,3 +72,34 @@ def test_filters():
     data = bloom(inside)
     assert all(may_have(data, inside[k : k + 1]) for k in range(1000)) and sum(may_have(data, outside[k : k + 1]) for k in range(1000)) < 40
     assert not may_have(bloom(inside[:0]), outside)
+
+
+def test_one_shuffle_and_no_count_of_small_ranges(spark, tmp_path):
+    """The rows of a batch and those of its ranges are dealt once, by range; they are merged for their number only where a range may have grown too large."""
+    plans = []
+
+    class Seen(RangedStore):
+        def _arranged(self, rows):
+            plans.append(rows._jdf.queryExecution().sparkPlan().toString() + rows._jdf.queryExecution().executedPlan().toString())
+            return rows
+
+    table, rng = Seen(spark, str(tmp_path / "t"), 300), random.Random(5)
+    for seq in range(2):
+        table.upsert(spark.createDataFrame(list({r[:2]: r for r in rows(rng, 900)}.values()), SCHEMA), seq)
+    assert len(plans) == 2 and all(p.split("AdaptiveSparkPlan")[1].count("Exchange hashpartitioning") == 1 for p in plans)
+    state = table.state()
+    out, hit = {}, sorted(state.ranges)
+    assert table._split(None, state, hit, out, dict.fromkeys(hit, 600 - max(r["n"] for r in state.ranges.values()))) is None and sorted(out) == hit
+
+
+def test_long_lists_of_transactions_are_not_read_to_their_end(monkeypatch):
+    from tidelog.operators import ranged_store
+
+    import numpy as np
+
+    seen, mixed = [], ranged_store._mixed
+    every = np.random.default_rng(1).integers(-(2**62), 2**62, 100_000)
+    data, absent = bloom(every[:200]), bloom(np.arange(0))
+    monkeypatch.setattr(ranged_store, "_mixed", lambda h: seen.append(len(h)) or mixed(h))
+    assert may_have(data, every[::-1]) and sum(seen) < 10_000
+    assert not may_have(absent, every) and may_have(data, every[199:200])

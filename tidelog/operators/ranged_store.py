@@ -29,6 +29,8 @@ MANIFEST = "total int, kind string, name string, low string, folder string, n bi
 #: Bits of a filter for each transaction of its range, and looks at it: one in 100 ranges without a transaction is read all the same.
 BITS, LOOKS = 10, 7
 MOST_BITS = 1 << 16
+#: Transactions taken back that are sent to every task; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def _key(db: str = "db_name", lsn: str = "lsn"):
@@ -49,14 +51,21 @@ def bloom(hashes: np.ndarray) -> bytes:
     return np.int32(size).tobytes() + np.packbits(out).tobytes()
 
 
+#: Hashes looked up at a time; of so many, some are found in a filter sooner or later, so a long list is hardly ever read to its end.
+LOOKED_UP = 512
+
+
 def may_have(data: bytes, hashes: np.ndarray) -> bool:
     size = int(np.frombuffer(data, np.int32, 1)[0])
     bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=4))[:size].astype(bool)
-    a, b = _mixed(hashes)
-    hit = np.ones(len(hashes), bool)
-    for k in range(LOOKS):
-        hit &= bits[((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64)]
-    return bool(hit.any())
+    for at in range(0, len(hashes), LOOKED_UP):
+        a, b = _mixed(hashes[at : at + LOOKED_UP])
+        hit = np.ones(len(a), bool)
+        for k in range(LOOKS):
+            hit &= bits[((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64)]
+        if hit.any():
+            return True
+    return False
 
 
 @dataclass
@@ -130,31 +139,34 @@ class RangedStore:
         batch = batch.withColumn("ingest_seq", F.lit(seq).cast("long"))
         if "is_deleted" not in batch.columns:
             batch = batch.withColumn("is_deleted", F.lit(False))
-        count = batch.count()
         if not state.ranges:
-            new = {uuid.uuid4().hex: {"low": k, "folder": "", "n": 0, "filter": b""} for k in self._cuts(batch, -(-count // self.rows_each))}
+            new = {uuid.uuid4().hex: {"low": k, "folder": "", "n": 0, "filter": b""} for k in self._cuts(batch, -(-batch.count() // self.rows_each))}
             state = State(state.seq, new, state.checkpoints)
         lows = state.lows()
         keys, names = [k for k, _ in lows], [n for _, n in lows]
         name_of = R.arrow_function(lambda k: pa.array([names[bisect_right(keys, x) - 1] for x in k.to_pylist()], pa.string()), "string")
         dealt = batch.withColumn("r", name_of(_key()))
-        hit = {r.r for r in dealt.select("r").distinct().collect()}
+        more = {r.r: r["count"] for r in dealt.groupBy("r").count().collect()}
+        hit = set(more)
         if gone is not None:
             gone = gone.select("db_name", "txn_id").distinct()
             hashes = np.array([r.h for r in gone.select(F.xxhash64("db_name", "txn_id").alias("h")).collect()], np.int64)
-            hit |= {n for n, r in state.ranges.items() if len(hashes) and r["n"] and may_have(r["filter"], hashes)}
+            hit |= {n for n, r in state.ranges.items() if n not in hit and r["n"] and may_have(r["filter"], hashes)}
         before = self._rows(state, sorted(hit))
         if before is not None:
-            before = before.withColumn("r", name_of(_key())).withColumn("is_deleted", F.lit(False))
+            # The folder of a range names it.
+            before = before.withColumn("r", F.regexp_extract("_metadata.file_path", "/r=([^/]+)/[^/]+$", 1)).withColumn("is_deleted", F.lit(False))
             if gone is not None:
-                before = before.join(gone, ["db_name", "txn_id"], "left_anti")
+                before = before.join(F.broadcast(gone) if len(hashes) <= MOST_BROADCAST else gone, ["db_name", "txn_id"], "left_anti")
             dealt = dealt.unionByName(before, allowMissingColumns=True)
-        merged = latest(dealt).drop("is_deleted")
+        # Dealt by range, the versions of a key are in one task, which sorts by range and key once, for the last of each key and for the files.
+        merged = latest(dealt.repartition("r"), "r").drop("is_deleted")
         out = dict(state.ranges)
         if hit:
-            merged = self._split(merged, state, sorted(hit), out, count)
+            split = self._split(merged, state, sorted(hit), out, more)
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            self._arranged(merged.repartition("r").sortWithinPartitions("r", "db_name", "lsn")).write.partitionBy("r").parquet(folder)
+            split = split if split is merged else split.repartition("r")
+            self._arranged(split.sortWithinPartitions("r", "db_name", "lsn")).write.partitionBy("r").parquet(folder)
             self._written(folder)
             for name, n, data in self._filters(merged.sparkSession.read.schema(merged.schema).parquet(folder)):
                 out[name] = out[name] | {"folder": f"{folder}/r={name}", "n": n, "filter": data}
@@ -168,9 +180,10 @@ class RangedStore:
     def _written(self, folder: str) -> None:
         """Called with the folder of a batch before the batch is committed."""
 
-    def _split(self, merged: DataFrame, state: State, hit: list[str], out: dict[str, dict], count: int) -> DataFrame:
-        """Names in column r for the rows of the ranges hit, those too large cut anew; `out` gets the new ranges, empty so far."""
-        large = [n for n in hit if state.ranges[n]["n"] + count > 2 * self.rows_each]
+    def _split(self, merged: DataFrame, state: State, hit: list[str], out: dict[str, dict], more: dict[str, int]) -> DataFrame:
+        """Names in column r for the rows of the ranges hit, those too large cut anew; `out` gets the new ranges, empty so far. more: rows of the batch in each range.
+        Rows are merged for their number only in ranges that may have become too large."""
+        large = [n for n in hit if state.ranges[n]["n"] + more.get(n, 0) > 2 * self.rows_each]
         sizes = {r.r: r["count"] for r in merged.where(F.col("r").isin(large)).groupBy("r").count().collect()} if large else {}
         for n in hit:
             out[n] = state.ranges[n] | {"n": 0, "folder": "", "filter": b""}

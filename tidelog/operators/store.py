@@ -29,13 +29,15 @@ def first_kept(events: DataFrame) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def latest(versions: DataFrame) -> DataFrame:
+def latest(versions: DataFrame, *by: str) -> DataFrame:
     """Of appended versions (column ingest_seq; is_deleted marks a retraction) the last of each (db_name, lsn), without retracted ones.
 
-    max_by aggregates before the shuffle, so a key's versions don't meet in one sort."""
-    columns = [c for c in versions.columns if c not in ("db_name", "lsn")]
+    max_by aggregates before the shuffle, so a key's versions don't meet in one sort. by: further columns, the same in all versions of a key; versions
+    that are dealt by them already are not shuffled again."""
+    keys = (*by, "db_name", "lsn")
+    columns = [c for c in versions.columns if c not in keys]
     # Of versions with one sequence number the one of larger hash, so that the choice doesn't depend on the run.
-    last = versions.groupBy("db_name", "lsn").agg(F.max_by(F.struct(*columns), F.struct("ingest_seq", F.xxhash64(*columns))).alias("v")).select("db_name", "lsn", "v.*")
+    last = versions.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("ingest_seq", F.xxhash64(*columns))).alias("v")).select(*keys, "v.*")
     return last.where(~F.coalesce("is_deleted", F.lit(False))) if "is_deleted" in versions.columns else last
 
 
