@@ -61,7 +61,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield rows(key, grams)
                 key, grams = (name, block), {""}
             if text:
-                grams.update(text[i : i + 3] for i in range(len(text) - 2))
+                grams.update([text[i : i + 3] for i in range(len(text) - 2)])
     if key is not None:
         yield rows(key, grams)
 
@@ -83,15 +83,17 @@ class IndexedStore(RangedStore):
     def _written(self, folder: str) -> None:
         events = self.spark.read.parquet(folder).withColumn("r", F.col("r").cast("string"))
         rolled = F.sum(is_executable(F.col("rollback_sql")).cast("long")).alias("rollbacks")
-        times = events.withColumn("minute", _minute(events)).withColumn("name", F.col("r")).groupBy("r", "name", *TIME_KEYS).agg(F.count(F.lit(1)).alias("n"), rolled)
+        # Minutes hold few events of one table, operation and status in a range: rows are dealt by range at once, not summed up first and dealt then.
+        timed = events.select("r", *TIME_KEYS[:-1], _minute(events).alias("minute"), "rollback_sql").repartition("r")
+        times = timed.groupBy("r", *TIME_KEYS).agg(F.count(F.lit(1)).alias("n"), rolled).withColumn("name", F.col("r"))
         counts = [F.sum((F.coalesce(F.col("operation") == op, F.lit(False))).cast("long")).alias(a) for op, a in OPERATIONS]
         own = events.groupBy("r", "db_name", "txn_id").agg(
             F.min("event_time").alias("event_time"), F.max("commit_time").alias("commit_time"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"),
             F.count(F.lit(1)).alias("events"), *counts, F.max(F.coalesce("commit_time", "event_time")).alias("newest"), rolled,
         )
         grams = events.select(F.col("r").alias("name"), "block", "sql_stmt").mapInArrow(_posted, "name string, block bigint, gram string").withColumn("r", F.col("name"))
-        for what, rows, order in (("times", times, "minute"), ("transactions", own, "txn_id"), ("grams", grams, "gram")):
-            rows.repartition("r").sortWithinPartitions("r", order).write.mode("overwrite").partitionBy("r").parquet(self._beside(folder, what))
+        for what, rows, order in (("times", times, "minute"), ("transactions", own.repartition("r"), "txn_id"), ("grams", grams.repartition("r"), "gram")):
+            rows.sortWithinPartitions("r", order).write.mode("overwrite").partitionBy("r").parquet(self._beside(folder, what))
 
     def _beside(self, folder: str, what: str) -> str:
         return f"{self.path}/{what}/{folder.removeprefix(f'{self.path}/data/')}"
