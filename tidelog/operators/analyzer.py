@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def update_images(operation: pa.Array, new: pa.Array, old: pa.Array, before: pa.
 
 
 def analyses(catalog: Catalog):
-    """Arrow function (object_id, status so far, values before, values after; both of generate.image_values) -> ANALYSIS."""
+    """Function of Arrow arrays (object_id, status so far, values before, values after; both of generate.image_reader) -> ANALYSIS."""
     specs = catalog.specs
 
     def one(table, status, before, after):
@@ -150,7 +151,22 @@ def analyses(catalog: Catalog):
         columns = list(zip(*made, strict=True)) or [()] * len(names)
         return pa.StructArray.from_arrays([pa.array(c, change if n == "changed" else pa.string()) for n, c in zip(names, columns, strict=True)], list(names))
 
-    return rows.arrow_function(run, ANALYSIS)
+    return run
+
+
+def update_reader(catalog: Catalog):
+    """Arrow function (object_id, partition_id, compression, and the arguments of update_images) -> struct<found: FOUND, told: ANALYSIS>. Images, their values
+    and what is told of them are worked out in one pass, so that values do not go back and forth between Python and the JVM."""
+    read, tell = generate.image_reader(catalog), analyses(generate._light(catalog))
+
+    def run(object_id, partition_id, compression, operation, new, old, before, after, path, page):
+        found = update_images(operation, new, old, before, after, path, page)
+        status = found.field("status")
+        value = lambda c: read(object_id, partition_id, compression, pc.if_else(pc.is_null(status), found.field(c), pa.scalar(None, pa.binary())))
+        told = tell(object_id, status, value("before"), value("after"))
+        return pa.StructArray.from_arrays([found, told], ["found", "told"])
+
+    return rows.arrow_function(run, f"struct<found:{FOUND},told:{ANALYSIS}>")
 
 
 def analyze_many(folded: DataFrame, catalog: Catalog, pages: DataFrame | None = None, new: str = "contents0", old: str = "contents1") -> DataFrame:
@@ -162,14 +178,9 @@ def analyze_many(folded: DataFrame, catalog: Catalog, pages: DataFrame | None =
         updates = images.with_page_images(updates, pages)
     elif "page_image" not in updates.columns:
         updates = updates.withColumn("page_image", F.lit(None).cast("binary"))
-    found = rows.arrow_function(update_images, FOUND)(*map(F.col, ("operation", new, old, "before_image", "after_image", "fold_path", "page_image")))
-    d = updates.withColumn("_found", found)
-    read = generate.image_values(catalog)
-    told = F.col("_found.status").isNull()
-    value = lambda c: read(F.col("object_id"), F.col("partition_id"), F.col("compression"), F.when(told, F.col(f"_found.{c}")))
-    d = d.withColumn("_b", value("before")).withColumn("_a", value("after"))
-    d = d.withColumn("_told", analyses(catalog)(F.col("object_id"), F.col("_found.status"), F.col("_b"), F.col("_a")))
+    args = ("object_id", "partition_id", "compression", "operation", new, old, "before_image", "after_image", "fold_path", "page_image")
+    d = updates.withColumn("_read", update_reader(catalog)(*map(F.col, args)))
     names = generate.resolve.small(generate.table_rows(catalog)).select("object_id", F.col("_t.schema").alias("schema_name"), F.col("_t.name").alias("table_name"))
     kept = [c for c in updates.columns if c not in ("before_image", "after_image", "page_image")]
     d = d.join(names, "object_id", "left")
-    return d.select(*kept, "schema_name", "table_name", F.col("_found.before").alias("before_image"), F.col("_found.after").alias("after_image"), F.col("_found.source").alias("image_source"), "_told.*")
+    return d.select(*kept, "schema_name", "table_name", F.col("_read.found.before").alias("before_image"), F.col("_read.found.after").alias("after_image"), F.col("_read.found.source").alias("image_source"), "_read.told.*")

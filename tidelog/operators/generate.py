@@ -77,6 +77,11 @@ def _light(catalog: Catalog) -> Catalog:
 
 def image_values(catalog: Catalog):
     """Arrow function (object_id, partition_id, compression, image) -> struct<status, used, vals, lost>; all null without an image."""
+    return R.arrow_function(image_reader(catalog), ROUTED)
+
+
+def image_reader(catalog: Catalog):
+    """What image_values runs, as a function of Arrow arrays."""
     catalog = _light(catalog)
 
     def run(object_id, partition_id, compression, image):
@@ -95,7 +100,7 @@ def image_values(catalog: Catalog):
         flat = pa.concat_arrays(vals) if vals else pa.array([], pa.list_(pa.string()))
         return pa.StructArray.from_arrays([pa.array(status, pa.string()).take(back), pa.array(used, pa.string()).take(back), flat.take(back), pa.array(lost, pa.list_(pa.string())).take(back)], ["status", "used", "vals", "lost"])
 
-    return R.arrow_function(run, ROUTED)
+    return run
 
 
 def fragment_values(catalog: Catalog):
@@ -135,8 +140,8 @@ def _insert(v: str) -> str:
     return f"concat('INSERT INTO ', _t.full, ' (', array_join(transform(_t.names, n -> concat('[', n, ']')), ', '), ') VALUES (', array_join(transform({v}, v -> coalesce(v, 'NULL')), ', '), ');')"
 
 
-def _delete(v: str) -> str:
-    return f"concat('DELETE FROM ', _t.full, ' WHERE ', {_where(v)}, ';')"
+def _delete(where: str) -> str:
+    return f"concat('DELETE FROM ', _t.full, ' WHERE ', {where}, ';')"
 
 
 def _changed(old: str, new: str) -> str:
@@ -209,21 +214,26 @@ def statements(folded: DataFrame, catalog: Catalog) -> DataFrame:
     note = F.concat(F.lit("-- "), F.col("_failed"), F.lit(": "), F.col("_t.full"))
     unsafe = lambda what: F.concat(F.lit(f"-- {what} unsafe: no column finds the row of "), F.col("_t.full"))
     guarded = lambda sql, where, what: F.when(F.expr(f"{where} = ''"), unsafe(what)).otherwise(F.expr(sql))
-    update = lambda old, new: f"concat('UPDATE ', _t.full, ' SET ', {_changed(old, new)}, ' WHERE ', {_where(old)}, ';')"
-    same = F.expr(_changed("_b.vals", "_a.vals")) == ""
-    whole = F.col("_how").isin("images", "legacy")
+    whole, read_well = F.col("_how").isin("images", "legacy"), F.col("_failed").isNull()
+    # Lambdas over arrays are interpreted: the pieces that several branches of both statements need are put together once a row.
+    d = d.withColumns({
+        "_there": F.when(read_well & whole, F.expr(_changed("_b.vals", "_a.vals"))), "_back": F.when(read_well & whole, F.expr(_changed("_a.vals", "_b.vals"))),
+        "_by_b": F.when(read_well & (whole | (F.col("_how") == "delete")), F.expr(_where("_b.vals"))), "_by_a": F.when(read_well & (whole | (F.col("_how") == "insert")), F.expr(_where("_a.vals"))),
+    })
+    update = lambda sets, where: f"concat('UPDATE ', _t.full, ' SET ', {sets}, ' WHERE ', {where}, ';')"
+    same = F.col("_there") == ""
     unchanged = F.concat(F.lit("-- no decoded column of "), F.col("_t.full"), F.lit(" changed"))
     told = F.expr(f"size({_told('_old', '_new', '_new')}) > 0")
     silent = F.concat(F.lit("-- "), F.col("_t.full"), F.lit(": the log tells no column of this update"))
     bad_key = F.coalesce("_key", F.lit("")) != ""
     forward = (
         F.when(F.col("_failed").isNotNull(), note).when(bad_key, F.concat(F.lit("-- compressed_key_decode_invalid: "), F.col("_t.full"), F.lit(": "), F.col("_key"))).when(F.col("_how") == "insert", F.expr(_insert("_a.vals")))
-        .when(F.col("_how") == "delete", guarded(_delete("_b.vals"), _where("_b.vals"), "DELETE")).when(whole & same, unchanged).when(whole, guarded(update("_b.vals", "_a.vals"), _where("_b.vals"), "UPDATE"))
+        .when(F.col("_how") == "delete", guarded(_delete("_by_b"), "_by_b", "DELETE")).when(whole & same, unchanged).when(whole, guarded(update("_there", "_by_b"), "_by_b", "UPDATE"))
         .when(told, F.expr(_delta("_old", "_new"))).otherwise(silent)
     )
     inverse = (
-        F.when(F.col("_failed").isNotNull(), note).when(F.col("_how") == "insert", guarded(_delete("_a.vals"), _where("_a.vals"), "INSERT rollback")).when(F.col("_how") == "delete", F.expr(_insert("_b.vals")))
-        .when(whole & same, unchanged).when(whole, guarded(update("_a.vals", "_b.vals"), _where("_a.vals"), "UPDATE rollback")).when(told, F.expr(_delta("_new", "_old"))).otherwise(silent)
+        F.when(F.col("_failed").isNotNull(), note).when(F.col("_how") == "insert", guarded(_delete("_by_a"), "_by_a", "INSERT rollback")).when(F.col("_how") == "delete", F.expr(_insert("_b.vals")))
+        .when(whole & same, unchanged).when(whole, guarded(update("_back", "_by_a"), "_by_a", "UPDATE rollback")).when(told, F.expr(_delta("_new", "_old"))).otherwise(silent)
     )
     used = F.coalesce("_a.used", "_b.used")
     packed = F.col("_how").isin("insert", "delete", "images") & F.coalesce(used.isin("ROW", "PAGE"), F.lit(False))
