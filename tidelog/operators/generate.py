@@ -31,6 +31,13 @@ PACKED_STATUS = {"truncated": "compressed_row_parse_failed", "not_compressed": "
 NO_METADATA = "schema_compression_metadata_missing"
 
 
+#: What events need of a record once its epoch and its table are known; the fold cannot leave out columns by itself.
+TOLD = (
+    "db_name", "lsn", "operation", "context", "transaction_id", "alloc_unit_id", "partition_id", "page_id", "slot_id", "contents0", "contents1", "contents2", "contents3", "contents4", "log_record",
+    "offset_in_row", "modify_size", "object_id", "compression", "begin_at", "end_at",
+)
+
+
 def decode_routed(spec: TableSpec, compression: str, column: pa.Array) -> tuple[list, list, pa.Array, list]:
     """(status, compression that was used, literals, columns whose bytes gave no value) of one table's images under its compression.
 
@@ -288,16 +295,18 @@ def scan(records: DataFrame, catalog: Catalog, pages: DataFrame | None = None, s
     The records are counted first: a task sorts some images.ROWS_EACH of them, however many there are.
     watch: two observations that get the counters of the pass itself, of records and of events, once the events are written (see `counters`)."""
     parts = images.parts_for(records.count(), records)
-    marked = transactions.with_epochs(records, parts=parts)
+    rows = is_data_op(F.col("operation")) & is_base_row(F.col("context"))
+    # Counters are of all records; without them, only those that may become events are shuffled.
+    marked = transactions.with_epochs(records, parts=parts, only=None if watch else rows)
     if watch:
         marked = marked.observe(watch[0], *transactions.counters())
-    data = marked.where(is_data_op(F.col("operation")) & is_base_row(F.col("context")) & (F.col("excluded_from").isNull() | (F.col("lsn") < F.col("excluded_from"))))
-    known = resolved(data, catalog).where(F.col("object_id").isNotNull())
-    folded = images.fold(images.with_page_images(known, pages) if pages is not None else known, parts)
+    data = marked.where(rows & (F.col("excluded_from").isNull() | (F.col("lsn") < F.col("excluded_from"))))
     wanted = F.col("excluded_from").isNull() & ~F.col("undone")
     if committed:
         wanted &= F.coalesce(F.col("kind") == S.COMMIT, F.lit(False))
     if since is not None:
         wanted &= F.coalesce("begin_at", "end_at") >= F.lit(since)
-    events = event_columns(statements(folded.where(wanted), catalog))
+    known = resolved(data, catalog).where(F.col("object_id").isNotNull()).select(*TOLD, wanted.alias("_wanted"))
+    folded = images.fold(images.with_page_images(known, pages) if pages is not None else known, parts)
+    events = event_columns(statements(folded.where("_wanted"), catalog))
     return events.observe(watch[1], *transactions.event_counters()) if watch else events

@@ -23,48 +23,57 @@ def first_seen(records: DataFrame, rank: str = "source_rank") -> DataFrame:
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def with_epochs(records: DataFrame, lsn_prefix: int = 14, parts: int | None = None) -> DataFrame:
+def with_epochs(records: DataFrame, lsn_prefix: int = 14, parts: int | None = None, only: Column | None = None) -> DataFrame:
     """Adds epoch, kind (COMMIT, ABORT or null), begin_at, end_at, excluded_from (lsn) and undone (a later epoch of the id is excluded).
 
     Needs columns lsn, operation, transaction_name, seen_at (timestamp of a begin or an end) and cleanup (boolean).
 
     A transaction may hold a third of the log, so records never meet by id: they are shuffled once, by id and stretch of the log (records that
     share `lsn_prefix` characters of the lsn). Begins, ends and clean-ups alone tell what an epoch is like; each stretch gets
-    the epochs of its ids that reach into it, so what goes by id is a narrow row for each stretch, or each begin and end.
-    parts: partitions of these shuffles (else the session's number)."""
+    the epochs of its ids that reach into it, so what goes by id is a narrow row for each stretch, or each begin and end, and it goes there once.
+    parts: partitions of these shuffles (else the session's number). only: the records that are wanted back, of those all (a term over columns of
+    records); epochs follow from the others too, but these are not shuffled as they are."""
     ended, begun = F.col("operation").isin(S.COMMIT, S.ABORT), F.col("operation") == S.BEGIN
     excludes = (begun & is_internal_transaction(F.col("transaction_name"))) | F.col("cleanup")
     # One text for both parts of the id, null or not: quicker to sort than a struct, and equal where both have a null.
     part = records.withColumn("_id", F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in reversed(KEY)])).withColumn("_stretch", F.substring("lsn", 1, lsn_prefix))
-    so_far = Window.partitionBy("_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    by_id = lambda df: df.repartition(parts, "_id") if parts else df
-    control = by_id(part.where(ended | begun | F.col("cleanup"))).withColumn("epoch", F.coalesce(F.sum(ended.cast("long")).over(so_far), F.lit(0)))
-    epochs = control.groupBy("_id", "epoch").agg(
-        F.max(F.when(ended, F.col("operation"))).alias("kind"),
-        F.max_by(F.when(begun, F.col("seen_at")), F.when(begun, F.col("lsn"))).alias("begin_at"),
-        F.max(F.when(ended, F.col("seen_at"))).alias("end_at"),
-        F.min(F.when(excludes, F.col("lsn"))).alias("excluded_from"),
-        F.max(F.when(ended, F.col("lsn"))).alias("end_lsn"),
+    control = part.where(ended | begun | F.col("cleanup")).select(
+        "_id", "lsn", F.when(ended, F.col("operation")).alias("_end"), F.coalesce(begun, F.lit(False)).alias("_begin"), F.col("seen_at"), F.coalesce(excludes, F.lit(False)).alias("_excludes"), F.lit(1).alias("_place")
     )
-    # What an exclusion takes back: everything of the same id that was written before it.
-    after = Window.partitionBy("_id").orderBy(F.desc("epoch")).rowsBetween(Window.unboundedPreceding, -1)
-    epochs = epochs.withColumn("undone", F.coalesce(F.max(F.col("excluded_from").isNotNull()).over(after), F.lit(False)))
-
-    counts = part.groupBy("_id", "_stretch").agg(F.sum(ended.cast("long")).alias("_ends"))
-    before = F.sum("_ends").over(Window.partitionBy("_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    counts = by_id(counts).withColumn("_before", F.coalesce(before, F.lit(0)))
-    # A row for each stretch and epoch that reaches into it: as many as stretches and ends together.
-    reached = counts.withColumn("epoch", F.explode(F.sequence("_before", F.col("_before") + F.col("_ends")))).join(epochs, ["_id", "epoch"], "left")
-    told = F.struct("epoch", "kind", "begin_at", "end_at", "excluded_from", F.coalesce("undone", F.lit(False)).alias("undone"), "end_lsn")
-    stretches = reached.groupBy("_id", "_stretch").agg(F.sort_array(F.collect_list(told)).alias("_epochs"))
+    if only is not None:
+        part = part.where(only)
+    # A row for each stretch of an id; the stretch itself comes before each lsn of it, and behind those of the stretches before.
+    starts = part.select("_id", "_stretch").distinct().select("_id", F.col("_stretch").alias("lsn"), F.lit(None).cast("string").alias("_end"), F.lit(False).alias("_begin"), F.lit(None).cast(records.schema["seen_at"].dataType).alias("seen_at"), F.lit(False).alias("_excludes"), F.lit(0).alias("_place"))
+    rows = control.unionByName(starts)
+    rows = rows.repartition(parts, "_id") if parts else rows
+    # Behind each end another epoch reaches into the stretch, which may have no begin nor end of its own.
+    rows = rows.withColumn("_place", F.explode(F.when(F.col("_end").isNotNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.array("_place"))))
+    own = F.col("_place") == 1
+    end, begin, excluding = own & F.col("_end").isNotNull(), own & F.col("_begin"), own & F.col("_excludes")
+    so_far = Window.partitionBy("_id").orderBy("lsn", "_place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("epoch", F.coalesce(F.sum(end.cast("long")).over(so_far), F.lit(0).cast("long")))
+    # All of these go by id, so that nothing is shuffled again. What an exclusion takes back: everything of the same id that was written before it.
+    epoch, all_of_id = Window.partitionBy("_id", "epoch"), Window.partitionBy("_id")
+    told = {
+        "kind": F.max(F.when(end, F.col("_end"))).over(epoch),
+        "begin_at": F.max_by(F.when(begin, F.col("seen_at")), F.when(begin, F.col("lsn"))).over(epoch),
+        "end_at": F.max(F.when(end, F.col("seen_at"))).over(epoch),
+        "excluded_from": F.min(F.when(excluding, F.col("lsn"))).over(epoch),
+        "undone": F.coalesce(F.max(F.when(excluding, F.col("epoch"))).over(all_of_id) > F.col("epoch"), F.lit(False)),
+        "end_lsn": F.max(F.when(end, F.col("lsn"))).over(epoch),
+    }
+    reached = rows.withColumns(told).groupBy("_id", F.substring("lsn", 1, lsn_prefix).alias("_stretch")).agg(
+        F.sort_array(F.collect_list(F.when(~own, F.struct("epoch", *told)))).alias("_epochs"), F.max(F.col("_place") == 0).alias("_there")
+    )
+    stretches = reached.where("_there").drop("_there")
 
     # A record's epoch: as many ends of the stretch lie before it. So the payload is shuffled once and not sorted.
     inside = F.size(F.filter("_epochs", lambda e: e["end_lsn"] < F.col("lsn")))
     if parts:
         part, stretches = part.repartition(parts, "_id", "_stretch"), stretches.repartition(parts, "_id", "_stretch")
-    own = part.join(stretches.hint("shuffle_hash"), ["_id", "_stretch"]).withColumn("_own", F.element_at("_epochs", inside + 1))
+    own_epoch = part.join(stretches.hint("shuffle_hash"), ["_id", "_stretch"]).withColumn("_own", F.element_at("_epochs", inside + 1))
     every = [F.col("`" + c.replace("`", "``") + "`") for c in records.columns]
-    return own.select(*every, *[F.col(f"_own.{c}").alias(c) for c in ("epoch", "kind", "begin_at", "end_at", "excluded_from", "undone")])
+    return own_epoch.select(*every, *[F.col(f"_own.{c}").alias(c) for c in ("epoch", "kind", "begin_at", "end_at", "excluded_from", "undone")])
 
 
 def committed(records: DataFrame, since: datetime | None = None) -> DataFrame:
